@@ -1 +1 @@
-"""(filled in below)"""
+"""(pending)"""
