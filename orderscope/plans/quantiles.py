@@ -16,6 +16,10 @@ windows over small value ranges:
 5. Only the values in the chosen level-2 buckets are ranked with a window
    (partitioned by group and bucket), and the value at rank ``k`` is picked.
 
+``vc`` is written with a reliable ``checkpoint()`` (the shared folder named by
+``spark.checkpoint.dir``): the input is scanned once, the lineage is cut, and
+a lost executor never forces recomputing the input.
+
 The interpolation matches NumPy bit for bit: virtual index ``(n-1)*p``,
 ``gamma = index - floor(index)`` and NumPy's two-sided ``_lerp``; the median
 mode is ``np.median`` (mean of the middle pair).
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import lerp
+from ..session import checkpoint_dir
 
 BUCKETS = 1024
 _G = "_qgroup"
@@ -39,6 +44,11 @@ def _prep(df: DataFrame, value: str, by: Sequence[str]):
     src = df if by else df.withColumn(_G, F.lit(0))
     x = src.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
     vc = x.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    # The counts feed several branches below; a reliable checkpoint in the
+    # shared checkpoint folder computes the input once and keeps the plan
+    # small when quantile plans are nested (e.g. describe over scores).
+    checkpoint_dir(df.sparkSession)
+    vc = vc.checkpoint(eager=True)
     g = vc.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     return keys, vc, g
 
