@@ -60,3 +60,25 @@ def lerp(a, b, t) -> Column:
     a, b, t = _c(a), _c(b), _c(t)
     d = b - a
     return F.when(t >= F.lit(0.5), b - d * (F.lit(1.0) - t)).otherwise(a + d * t)
+
+
+_TWO32 = 4294967296
+
+
+def exact_double(x) -> Column:
+    """Correctly rounded ``double`` of an exact integer ``decimal`` (|x| < 2^85).
+
+    ``hi * 2^32 + lo`` with both parts exact in double: the one final addition
+    rounds correctly, so every IEEE engine gets the same bits (a plain
+    decimal/128-bit cast is not correctly rounded everywhere).
+    """
+    x = _c(x).cast("decimal(38,0)")
+    a = F.abs(x)
+    lo = F.pmod(a, F.lit(_TWO32).cast("decimal(38,0)"))
+    hi = ((a - lo) / F.lit(_TWO32).cast("decimal(38,0)")).cast("decimal(38,0)")
+    mag = hi.cast("double") * F.lit(float(_TWO32)) + lo.cast("double")
+    return F.when(x < 0, -mag).otherwise(mag)
+
+
+def dec(x) -> Column:
+    return _c(x).cast("decimal(38,0)")

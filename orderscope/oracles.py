@@ -40,6 +40,18 @@ def money(cents: str) -> str:
     return f"({D(cents)} / {lit(100.0)})"
 
 
+def exact_double(x: str) -> str:
+    """Correctly rounded double of an exact integer (same split as the Spark side)."""
+    a = f"abs(CAST({x} AS HUGEINT))"
+    return (f"(CASE WHEN CAST({x} AS HUGEINT) < 0 THEN -1 ELSE 1 END * "
+            f"(CAST(({a} - {a} % 4294967296) // 4294967296 AS DOUBLE) * {lit(4294967296.0)} "
+            f"+ CAST({a} % 4294967296 AS DOUBLE)))")
+
+
+def H(x: str) -> str:
+    return f"CAST({x} AS HUGEINT)"
+
+
 def ratio(num: str, den: str) -> str:
     return f"({D(num)} / NULLIF({D(den)}, {lit(0.0)}))"
 

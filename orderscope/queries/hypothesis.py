@@ -1 +1,153 @@
-"""(pending)"""
+"""Test statistics (SQL oracles) and the p-value report (rows-only check)."""
+
+from __future__ import annotations
+
+from ..operators import hypothesis as J
+from ..operators import trends as T
+from ..operators.rfm import rfm_base
+from ..oracles import D, H, exact_double, lit, q_quantiles, with_base
+from ..registry import register
+from ..sources.sales import ROLES, load_sales
+from ._common import MONTH
+from .rfm import RFM_CTE
+
+
+def welch_sql(rel: str, flag: str, cents: str) -> str:
+    def side(cond, k):
+        return (f"count(*) FILTER (WHERE {cond}) AS n{k}, sum({cents}) FILTER (WHERE {cond}) AS s{k}, "
+                f"sum({H(cents)} * {H(cents)}) FILTER (WHERE {cond}) AS ss{k}")
+    base = f"SELECT {side(flag, '1')}, {side('NOT ' + flag, '2')} FROM {rel}"
+    mv = ", ".join(
+        f"{D(f's{k}')} / {D(f'n{k}')} / {lit(100.0)} AS mean{k}, "
+        f"{exact_double(f'{H(f'n{k}')} * ss{k} - {H(f's{k}')} * {H(f's{k}')}')} "
+        f"/ ({D(f'n{k}')} * {D(f'n{k} - 1')}) / {lit(10000.0)} AS var{k}" for k in ("1", "2"))
+    s1, s2 = f"(var1 / {D('n1')})", f"(var2 / {D('n2')})"
+    return (f"SELECT n1, n2, mean1, mean2, var1, var2, (mean1 - mean2) / sqrt({s1} + {s2}) AS t, "
+            f"({s1} + {s2}) * ({s1} + {s2}) / ({s1} * {s1} / {D('n1 - 1')} + {s2} * {s2} / {D('n2 - 1')}) AS df "
+            f"FROM (SELECT *, {mv} FROM ({base}) _b) _w")
+
+
+_WELCH = ["mean1", "mean2", "var1", "var2", "t", "df"]
+
+
+@register("welch_weekend_aov", group="hypothesis", doubles=_WELCH, sql=with_base(
+    ("wk", "SELECT isodow(order_date) >= 6 AS is_weekend, revenue, cents FROM sales"),
+    final=welch_sql("wk", "is_weekend", "cents")))
+def q_welch_weekend_aov(spark, sf):
+    return J.welch_stats(J.weekend_flag(load_sales(spark, sf)), "cents", "is_weekend")
+
+
+SAMPLE_CTES = [
+    RFM_CTE,
+    ("em", f"SELECT DISTINCT customer_id FROM sales WHERE channel = '{ROLES.email_channel}'"),
+    ("so", f"SELECT DISTINCT customer_id FROM sales WHERE channel = '{ROLES.social_channel}'"),
+    ("smp", "SELECT 1 AS sample, customer_id, monetary FROM rfm WHERE customer_id IN (SELECT customer_id FROM em) "
+            "UNION ALL SELECT 2 AS sample, customer_id, monetary FROM rfm "
+            "WHERE customer_id IN (SELECT customer_id FROM so)"),
+]
+
+
+def _samples(spark, sf):
+    s = load_sales(spark, sf)
+    return J.channel_samples(s, rfm_base(s), ROLES.email_channel, ROLES.social_channel)
+
+
+@register("channel_ltv", group="hypothesis", doubles=["monetary"],
+          sql=with_base(*SAMPLE_CTES, final="SELECT * FROM smp"))
+def q_channel_ltv(spark, sf):
+    return _samples(spark, sf)
+
+
+_N1N2 = f"({D('n1')} * {D('n2')})"
+_MW_CTES = SAMPLE_CTES + [
+    ("vc", "SELECT monetary, count(*) FILTER (WHERE sample = 1) AS c1, count(*) FILTER (WHERE sample = 2) AS c2, "
+           "count(*) AS c FROM smp GROUP BY monetary"),
+    ("rk", "SELECT *, coalesce(sum(c) OVER (ORDER BY monetary ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+           "AS below FROM vc"),
+    ("ag", "SELECT sum(c1) AS n1, sum(c2) AS n2, sum(CAST(c1 AS HUGEINT) * (2 * below + c + 1)) AS two_r1, "
+           "sum(CAST(c AS HUGEINT) * c * c - c) AS tie FROM rk"),
+    ("u", f"SELECT n1, n2, {D('two_r1')} / {lit(2.0)} - {D('n1')} * ({D('n1')} + {lit(1.0)}) / {lit(2.0)} AS u1, "
+          f"{D('tie')} AS tie_term, "
+          f"sqrt({_N1N2} / {lit(12.0)} * (({D('n1 + n2')} + {lit(1.0)}) - {D('tie')} / "
+          f"({D('n1 + n2')} * ({D('n1 + n2')} - {lit(1.0)})))) AS sigma FROM ag"),
+    ("md", q_quantiles("smp", "monetary", [0.5], ["sample"], ["median"], median=True)),
+]
+
+
+@register("mannwhitney_channel_ltv", group="hypothesis",
+          doubles=["u1", "tie_term", "sigma", "u2", "z", "median1", "median2"],
+          sql=with_base(*_MW_CTES, final=f"""
+SELECT CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, u1, tie_term, sigma, {_N1N2} - u1 AS u2,
+       (greatest(u1, {_N1N2} - u1) - {_N1N2} / {lit(2.0)} - {lit(0.5)}) / sigma AS z,
+       (SELECT median FROM md WHERE sample = 1) AS median1, (SELECT median FROM md WHERE sample = 2) AS median2
+FROM u"""))
+def q_mannwhitney_channel_ltv(spark, sf):
+    return J.mann_whitney_stats(_samples(spark, sf))
+
+
+@register("pearson_freq_ltv", group="hypothesis", doubles=["r", "t", "df"], sql=with_base(RFM_CTE, final=f"""
+SELECT r, n, CASE WHEN abs(r) >= 1.0 THEN NULL ELSE r * sqrt({D('n - 2')} / ({lit(1.0)} - r * r)) END AS t,
+       {D('n - 2')} AS df, CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength,
+       CASE WHEN r > 0 THEN 'positive' WHEN r < 0 THEN 'negative' ELSE 'none' END AS sign
+FROM (SELECT corr(frequency, monetary) AS r, count(*) AS n FROM rfm)"""))
+def q_pearson_freq_ltv(spark, sf):
+    return J.pearson_stats(rfm_base(load_sales(spark, sf)), "frequency", "monetary")
+
+
+_Q4 = ("q4", f"SELECT {MONTH} AS year_month, sum(cents) AS cents, {D('sum(cents)')} / {lit(100.0)} AS revenue, "
+             f"quarter({MONTH}) = 4 AS is_q4 FROM sales GROUP BY {MONTH}")
+
+
+def _q4(spark, sf):
+    return J.q4_monthly_split(T.monthly_cents(load_sales(spark, sf)))
+
+
+@register("q4_monthly_split", group="hypothesis", doubles=["revenue"],
+          sql=with_base(_Q4, final="SELECT year_month, CAST(cents AS BIGINT) AS cents, revenue, is_q4 FROM q4"))
+def q_q4_monthly_split(spark, sf):
+    return _q4(spark, sf)
+
+
+@register("welch_q4", group="hypothesis", doubles=_WELCH,
+          sql=with_base(_Q4, final=welch_sql("q4", "is_q4", "cents")))
+def q_welch_q4(spark, sf):
+    return J.welch_stats(_q4(spark, sf), "cents", "is_q4")
+
+
+@register("hypothesis_report", group="hypothesis", sql=None)
+def q_hypothesis_report(spark, sf):
+    """P-values need the incomplete beta / erfc, so this one is rows-only
+    (the tail helper is unit-tested against known values)."""
+    s = load_sales(spark, sf)
+    rfm = rfm_base(s)
+    w = J.welch_stats(J.weekend_flag(s), "cents", "is_weekend")
+    mw = J.mann_whitney_stats(J.channel_samples(s, rfm, ROLES.email_channel, ROLES.social_channel))
+    pe = J.pearson_stats(rfm, "frequency", "monetary")
+    q4 = J.welch_stats(J.q4_monthly_split(T.monthly_cents(s)), "cents", "is_q4")
+    return J.hypothesis_report(w, mw, pe, q4)
+
+
+_SAMPLE = ("samp", "SELECT customer_id, frequency, monetary FROM rfm ORDER BY "
+                   "CAST(CAST(customer_id AS HUGEINT) * 2654435761 % 4294967296 AS BIGINT), customer_id LIMIT 1000")
+
+
+@register("sample_customers", group="hypothesis", doubles=["monetary"],
+          sql=with_base(RFM_CTE, _SAMPLE, final="SELECT * FROM samp"))
+def q_sample_customers(spark, sf):
+    return J.sample_customers(rfm_base(load_sales(spark, sf)))
+
+
+@register("freq_ltv_line", group="hypothesis", doubles=["x", "slope", "intercept", "y"], sql=with_base(
+    RFM_CTE, _SAMPLE,
+    ("sc", "SELECT frequency, CAST(round_even(monetary * 100.0::DOUBLE, 0) AS BIGINT) AS cents FROM samp"),
+    ("sm", f"SELECT count(*) AS n, sum(frequency) AS sx, sum(cents) AS sy, sum({H('frequency')} * cents) AS sxy, "
+           f"sum({H('frequency')} * frequency) AS sxx, {D('min(frequency)')} AS lo, {D('max(frequency)')} AS hi FROM sc"),
+    ("fl", f"SELECT {exact_double(f'{H('n')} * sxy - {H('sx')} * {H('sy')}')} "
+           f"/ {exact_double(f'{H('n')} * sxx - {H('sx')} * {H('sx')}')} / {lit(100.0)} AS slope, "
+           f"{exact_double(f'{H('sy')} * sxx - {H('sx')} * sxy')} "
+           f"/ {exact_double(f'{H('n')} * sxx - {H('sx')} * {H('sx')}')} / {lit(100.0)} AS intercept, lo, hi FROM sm"),
+    ("pts", f"SELECT CAST(i AS INTEGER) AS i, CASE WHEN i = 99 THEN hi ELSE {D('i')} * ((hi - lo) / {lit(99.0)}) + lo END "
+            f"AS x, slope, intercept FROM fl, (SELECT unnest(range(0, 100)) AS i) r"),
+    final="SELECT i, x, slope, intercept, slope * x + intercept AS y FROM pts"))
+def q_freq_ltv_line(spark, sf):
+    return J.fit_line(J.with_cents(J.sample_customers(rfm_base(load_sales(spark, sf)))))
