@@ -73,3 +73,13 @@ def time_features(df, date_col: str = "order_date"):
         "year_month": month_start(d),
         "is_weekend": is_weekend(d),
     })
+
+
+def in_years(d, *years: int) -> Column:
+    """``year(d) IN years`` as date ranges, so the predicate reaches the scan
+    (Parquet min/max pruning) instead of being evaluated after it."""
+    import datetime as _dt
+    cond = F.lit(False)
+    for y in sorted(set(int(v) for v in years)):
+        cond = cond | ((_c(d) >= F.lit(_dt.date(y, 1, 1))) & (_c(d) < F.lit(_dt.date(y + 1, 1, 1))))
+    return cond

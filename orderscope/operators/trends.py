@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import MONTH_ABBR, WEEKDAYS, day_name, month_start
+from ..functions.dates import MONTH_ABBR, WEEKDAYS, day_name, in_years, month_start
 from ..functions.numeric import money, ratio
 
 
@@ -64,7 +64,7 @@ def revenue_trend(sales: DataFrame, category: str | None = None, year: int | Non
     if category not in (None, "All"):
         df = df.where(F.col("category") == F.lit(category))
     if year not in (None, "All"):
-        df = df.where(F.year("order_date") == F.lit(int(year)))
+        df = df.where(in_years("order_date", int(year)))
     m = monthly_cents(df)
     return rolling_mean(m, window, min_periods).select(
         "year_month", money("cents").alias("revenue"), "rolling_revenue")
@@ -86,7 +86,7 @@ def mom_growth(sales: DataFrame) -> DataFrame:
 def yoy_growth(sales: DataFrame, year_a: int, year_b: int) -> DataFrame:
     """E5: revenue of two years and the growth of ``year_b`` over ``year_a`` in %."""
     y = F.year("order_date")
-    t = sales.where(y.isin(year_a, year_b)).agg(
+    t = sales.where(in_years("order_date", year_a, year_b)).agg(
         F.sum(F.when(y == year_a, F.col("cents")).otherwise(F.lit(0))).alias("ca"),
         F.sum(F.when(y == year_b, F.col("cents")).otherwise(F.lit(0))).alias("cb"))
     ra, rb = money(F.coalesce("ca", F.lit(0))), money(F.coalesce("cb", F.lit(0)))
@@ -99,7 +99,7 @@ def seasonality_by_year(sales: DataFrame, years: Sequence[int]) -> DataFrame:
     """Month x year revenue grid (``revenue_<year>`` columns; NULL when empty)."""
     y = [int(v) for v in years]
     base = sales.select(F.month("order_date").alias("month"), F.year("order_date").alias("year"),
-                        "cents").where(F.col("year").isin(*y))
+                        "cents", "order_date").where(in_years("order_date", *y)).drop("order_date")
     p = base.groupBy("month").pivot("year", y).agg(F.sum("cents"))
     return p.select("month", *[money(F.col(str(v))).alias(f"revenue_{v}") for v in y])
 

@@ -11,9 +11,10 @@ windows over small value ranges:
 3. Every distinct value gets a two-level bucket ``(b1, b2)``: ``b1`` splits
    ``[lo, hi]`` into ``B`` equal parts, ``b2`` splits each part again.  Both are
    monotone in the value, so a bucket is a contiguous range of the sorted values.
-4. Bucket counts give, per wanted rank ``k``, the level-1 bucket that holds it,
-   then the level-2 bucket inside it (tables of at most ``groups x B`` rows).
-5. Only the values in the chosen level-2 buckets are ranked with a window
+4. Counts per composite bucket ``b1*B + b2`` (at most ``B²`` rows per group,
+   bounded by construction) get a running start per group; each wanted rank
+   ``k`` finds the bucket that holds it.
+5. Only the values in the chosen buckets are ranked with a window
    (partitioned by group and bucket), and the value at rank ``k`` is picked.
 
 ``vc`` is written with a reliable ``checkpoint()`` (the shared folder named by
@@ -91,41 +92,30 @@ def _targets(g: DataFrame, keys: list[str], probs: Sequence[float], median: bool
     return rows.select(*keys, "i", "t", side.alias("s")).select(*keys, "i", "t", "s.j", "s.k")
 
 
-def _locate(bk: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+def _locate(bk: DataFrame, targets: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     """Value at rank ``k`` for every target row: (keys, i, t, j, v)."""
-    # level 1: counts per b1, cumulative start within the group
-    c1 = bk.groupBy(*keys, "b1").agg(F.sum("c").alias("c1"))
-    w1 = Window.partitionBy(*keys).orderBy("b1").rowsBetween(Window.unboundedPreceding, -1)
-    c1 = c1.withColumn("s1", F.coalesce(F.sum("c1").over(w1), F.lit(0)))
-    t1 = targets.alias("t").join(
-        c1.alias("c"),
+    # bucket totals: at most B^2 rows per group (bounded by construction), so the
+    # running start per group is a bounded window
+    bk = bk.withColumn("b", F.col("b1") * F.lit(buckets) + F.col("b2"))
+    cnt = bk.groupBy(*keys, "b").agg(F.sum("c").alias("bc"))
+    wb = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    cnt = cnt.withColumn("bs", F.coalesce(F.sum("bc").over(wb), F.lit(0)))
+    tb = targets.alias("t").join(
+        cnt.alias("c"),
         [F.col(f"t.{k}") == F.col(f"c.{k}") for k in keys]
-        + [F.col("t.k") >= F.col("c.s1"), F.col("t.k") < F.col("c.s1") + F.col("c.c1")],
-    ).select(*[F.col(f"t.{k}") for k in keys], "t.i", "t.t", "t.j", "t.k", "c.b1", "c.s1")
-
-    # level 2: inside the chosen b1 buckets only
-    in1 = bk.join(t1.select(*keys, "b1").distinct(), keys + ["b1"], "left_semi")
-    c2 = in1.groupBy(*keys, "b1", "b2").agg(F.sum("c").alias("c2"))
-    w2 = Window.partitionBy(*keys, "b1").orderBy("b2").rowsBetween(Window.unboundedPreceding, -1)
-    c2 = c2.withColumn("s2", F.coalesce(F.sum("c2").over(w2), F.lit(0)))
-    t2 = t1.alias("t").join(
-        c2.alias("c"),
-        [F.col(f"t.{k}") == F.col(f"c.{k}") for k in keys] + [F.col("t.b1") == F.col("c.b1")]
-        + [F.col("t.k") >= F.col("t.s1") + F.col("c.s2"),
-           F.col("t.k") < F.col("t.s1") + F.col("c.s2") + F.col("c.c2")],
-    ).select(*[F.col(f"t.{k}") for k in keys], "t.i", "t.t", "t.j", "t.k", "t.b1", "c.b2",
-             (F.col("t.s1") + F.col("c.s2")).alias("base"))
-
-    # leaf: rank the values of the chosen (b1, b2) buckets
-    leaf = bk.join(t2.select(*keys, "b1", "b2").distinct(), keys + ["b1", "b2"], "left_semi")
-    w3 = Window.partitionBy(*keys, "b1", "b2").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+        + [F.col("t.k") >= F.col("c.bs"), F.col("t.k") < F.col("c.bs") + F.col("c.bc")],
+    ).select(*[F.col(f"t.{k}") for k in keys], "t.i", "t.t", "t.j", "t.k", "c.b", "c.bs")
+
+    # leaf: rank the values of the chosen buckets only
+    leaf = bk.join(tb.select(*keys, "b").distinct(), keys + ["b"], "left_semi")
+    w3 = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     leaf = leaf.withColumn("s3", F.coalesce(F.sum("c").over(w3), F.lit(0)))
-    hit = t2.alias("t").join(
+    hit = tb.alias("t").join(
         leaf.alias("l"),
         [F.col(f"t.{k}") == F.col(f"l.{k}") for k in keys]
-        + [F.col("t.b1") == F.col("l.b1"), F.col("t.b2") == F.col("l.b2"),
-           F.col("t.k") >= F.col("t.base") + F.col("l.s3"),
-           F.col("t.k") < F.col("t.base") + F.col("l.s3") + F.col("l.c")],
+        + [F.col("t.b") == F.col("l.b"),
+           F.col("t.k") >= F.col("t.bs") + F.col("l.s3"),
+           F.col("t.k") < F.col("t.bs") + F.col("l.s3") + F.col("l.c")],
     )
     return hit.select(*[F.col(f"t.{k}") for k in keys], "t.i", "t.t", "t.j", "l.v")
 
@@ -152,7 +142,7 @@ def _quantiles(df, value, probs, by, out, buckets, with_count, median):
     keys, vc, g = _prep(df, value, by)
     bk = _bucketed(vc, g, keys, buckets)
     tg = _targets(g, keys, probs, median)
-    hit = _locate(bk, tg, keys)
+    hit = _locate(bk, tg, keys, buckets)
     pair = hit.groupBy(*keys, "i", "t").agg(
         F.max(F.when(F.col("j") == 0, F.col("v"))).alias("a"),
         F.max(F.when(F.col("j") == 1, F.col("v"))).alias("b"))
