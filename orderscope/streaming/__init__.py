@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analyses this package rebuilds work on one finite order table; none of
+them has a watermark, event-time window, late-data rule or per-key state, so
+there is no Structured Streaming operator to provide.  Every operator here is
+a batch DataFrame job and runs unchanged on a Delta/Parquet snapshot that a
+streaming ingest keeps up to date; the ``sales`` table is rebuilt when the
+source snapshot changes (see ``orderscope.sources.sales.materialize_sales``).
+"""
