@@ -198,6 +198,18 @@ def segment_summary(seg: DataFrame, digits: int = 1) -> DataFrame:
                     r(F.col("sc").cast("double") / tot.cast("double") * F.lit(100.0), "revenue_share"))
 
 
+def segment_treemap(seg: DataFrame) -> DataFrame:
+    """The treemap feed — customers, total, mean LTV and mean orders per
+    segment (unrounded, from exact sums)."""
+    g = seg.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"),
+                                   F.sum(F.rint(F.col("monetary") * 100.0).cast("bigint")).alias("sc"),
+                                   F.sum(F.col("frequency").cast("bigint")).alias("sf"))
+    n = F.col("customers").cast("double")
+    return g.select("segment", "customers", (F.col("sc").cast("double") / F.lit(100.0)).alias("total"),
+                    (F.col("sc").cast("double") / n / F.lit(100.0)).alias("avg_ltv"),
+                    (F.col("sf").cast("double") / n).alias("avg_freq"))
+
+
 def _order() -> DataFrame:
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()

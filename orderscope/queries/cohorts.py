@@ -37,6 +37,12 @@ def q_cohort_assignment(spark, sf):
     return C.cohort_assignment(load_sales(spark, sf))
 
 
+@register("cohort_activity", group="cohorts", sql=with_base(*CTES, final="SELECT * FROM act"))
+def q_cohort_activity(spark, sf):
+    """I2 + I3: active (customer, month) pairs with their cohort and age."""
+    return C.cohort_activity(load_sales(spark, sf))
+
+
 @register("cohort_counts", group="cohorts", sql=with_base(*CTES, final="SELECT * FROM counts"))
 def q_cohort_counts(spark, sf):
     return _counts(spark, sf)

@@ -122,6 +122,7 @@ def summary_sql(src: str = "seg") -> str:
 
 
 _SC = "sum(CAST(round_even(monetary * 100.0::DOUBLE, 0) AS BIGINT))"
+_SF = "sum(CAST(frequency AS BIGINT))"
 
 
 @register("segment_summary", group="segments", doubles=_SUMMARY,
@@ -147,6 +148,14 @@ def q_segment_revenue(spark, sf):
     return G.segment_revenue(_seg(spark, sf))
 
 
+@register("segment_treemap", group="segments", doubles=["total", "avg_ltv", "avg_freq"], sql=with_base(
+    *SEG_CTES, final=f"SELECT segment, count(*) AS customers, {D(_SC)} / {lit(100.0)} AS total, "
+                     f"{D(_SC)} / {D('count(*)')} / {lit(100.0)} AS avg_ltv, "
+                     f"{D(_SF)} / {D('count(*)')} AS avg_freq FROM seg GROUP BY segment"))
+def q_segment_treemap(spark, sf):
+    return G.segment_treemap(_seg(spark, sf))
+
+
 SEGMENT_FILTER = G.SEGMENTS[0]
 
 
