@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import money
+from ..plans.scalars import attach_row
 
 
 def _aov(c: str = "c", n: str = "n"):
@@ -47,7 +48,7 @@ def category_product_rollup(sales: DataFrame) -> DataFrame:
     r = r.withColumn("level", level)
     cat = r.where(F.col("gid") == 1).select("category", F.col("c").alias("pc"))
     tot = r.where(F.col("gid") == 3).select(F.col("c").alias("tc"))
-    j = r.join(cat, "category", "left").crossJoin(F.broadcast(tot))  # tot: one row
+    j = attach_row(r.join(cat, "category", "left"), tot)  # tot: one row
     parent = F.when(F.col("gid") == 0, F.col("pc")).when(F.col("gid") == 1, F.col("tc"))
     return j.select("level", "category", "product", money("c").alias("revenue"),
                     (F.col("c").cast("double") / parent.cast("double") * F.lit(100.0)).alias("pct_of_parent"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import WEEKDAYS, day_name
 from ..plans.quantiles import medians, quantiles
+from ..plans.scalars import attach_row
 
 
 def _edge(i: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -44,7 +45,7 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
                      F.when(same, F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
                      F.when(same, F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
     # one range row per group; the global case is exactly one row
-    j = x.join(rng, keys) if keys else x.crossJoin(F.broadcast(rng))
+    j = x.join(rng, keys) if keys else attach_row(x, rng)
     counts = j.select(*keys, bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin")) \
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(*keys, "lo", "hi", "total",
@@ -63,7 +64,7 @@ def revenue_histogram(sales: DataFrame, bins: int = 60) -> DataFrame:
     stats = sales.agg((F.sum("cents").cast("double") / F.count(F.lit(1)).cast("double") / F.lit(100.0))
                       .alias("mean_revenue"))
     med = medians(sales, "revenue", out="median_revenue")
-    return h.crossJoin(F.broadcast(stats.crossJoin(med)))  # one row
+    return attach_row(h, attach_row(stats, med))  # one row each
 
 
 def weekend_density(sales: DataFrame, bins: int = 50) -> DataFrame:

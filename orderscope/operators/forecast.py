@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import month_start
 from ..functions.numeric import money
+from ..plans.scalars import attach_row
 
 
 def monthly_series(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +66,7 @@ def trend_seasonal_fit(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """K3 report: slope and each month's effect ``ȳₘ - b t̄ₘ``."""
     by = list(by)
     mm, sl = fit(series, by)
-    j = mm.join(sl, by) if by else mm.crossJoin(F.broadcast(sl))  # one row
+    j = mm.join(sl, by) if by else attach_row(mm, sl)  # one row
     return j.select(*by, "month", F.col("n_m").alias("months"), "mean_t", "mean_y", "slope",
                     (F.col("mean_y") - F.col("slope") * F.col("mean_t")).alias("month_effect"))
 
@@ -75,7 +76,7 @@ def fitted_values(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     mm, sl = fit(series, by)
     j = series.join(mm, by + ["month"])
-    j = j.join(sl, by) if by else j.crossJoin(F.broadcast(sl))
+    j = j.join(sl, by) if by else attach_row(j, sl)
     fitted = F.col("mean_y") + F.col("slope") * (F.col("t").cast("double") - F.col("mean_t"))
     return j.select(*by, "year_month", "t", "revenue", fitted.alias("fitted")) \
             .withColumn("residual", F.col("revenue") - F.col("fitted"))
@@ -87,7 +88,7 @@ def diagnostics(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     fv = fitted_values(series, by)
     ybar = series.groupBy(*by).agg((F.sum("cents").cast("double") / F.count(F.lit(1)).cast("double")
                                     / F.lit(100.0)).alias("ybar"))
-    j = fv.join(ybar, by) if by else fv.crossJoin(F.broadcast(ybar))
+    j = fv.join(ybar, by) if by else attach_row(fv, ybar)
     d = j.groupBy(*by).agg(F.sum(F.col("residual") * F.col("residual")).alias("ssr"),
                            F.sum((F.col("revenue") - F.col("ybar")) * (F.col("revenue") - F.col("ybar"))).alias("sst"),
                            F.count(F.lit(1)).alias("n"),
@@ -107,11 +108,11 @@ def forecast(series: DataFrame, horizon: int = 6, z: float = 1.96, by: Sequence[
     fut = fut.select(*by, F.add_months("last_month", F.col("h")).alias("year_month"),
                      (F.col("last_t") + F.col("h")).alias("t"), "resid_std")
     fut = fut.withColumn("month", F.month("year_month"))
-    fut = fut.join(sl, by) if by else fut.crossJoin(F.broadcast(sl))
-    eff = mm.join(sl, by) if by else mm.crossJoin(F.broadcast(sl))
+    fut = fut.join(sl, by) if by else attach_row(fut, sl)
+    eff = mm.join(sl, by) if by else attach_row(mm, sl)
     seen_mean = eff.groupBy(*by).agg(F.avg(F.col("mean_y") - F.col("slope") * F.col("mean_t")).alias("a_bar"))
     j = fut.join(mm, by + ["month"], "left")
-    j = j.join(seen_mean, by) if by else j.crossJoin(F.broadcast(seen_mean))
+    j = j.join(seen_mean, by) if by else attach_row(j, seen_mean)
     tt = F.col("t").cast("double")
     fc = F.when(F.col("mean_y").isNotNull(), F.col("mean_y") + F.col("slope") * (tt - F.col("mean_t"))) \
           .otherwise(F.col("a_bar") + F.col("slope") * tt)
@@ -131,5 +132,5 @@ def forecast_summary(series: DataFrame, horizon: int = 6, z: float = 1.96) -> Da
     """K5 + K8: one row — R², residual std, horizon, forecast total."""
     dg = diagnostics(series)
     tot = forecast(series, horizon, z).agg(F.sum("forecast").alias("forecast_total"))
-    return dg.crossJoin(F.broadcast(tot)).select(  # both one row
+    return attach_row(dg, tot).select(  # both one row
         "r2", "resid_std", F.lit(horizon).alias("horizon"), "forecast_total", "n", "last_month")

@@ -16,6 +16,7 @@ from ..functions.distributions import t_pvalue, z_pvalue
 from ..functions.numeric import dec, exact_double, money
 from ..plans.quantiles import medians
 from ..plans.ranks import values_below
+from ..plans.scalars import attach_row
 
 ALPHA = 0.05
 
@@ -92,7 +93,7 @@ def mann_whitney_stats(samples: DataFrame, value: str = "monetary") -> DataFrame
     med = medians(samples, value, ["sample"], out="median")
     mm = med.agg(F.max(F.when(F.col("sample") == 1, F.col("median"))).alias("median1"),
                  F.max(F.when(F.col("sample") == 2, F.col("median"))).alias("median2"))
-    return a.crossJoin(F.broadcast(mm))  # both one row
+    return attach_row(a, mm)  # both one row
 
 
 def pearson_stats(df: DataFrame, x: str, y: str) -> DataFrame:

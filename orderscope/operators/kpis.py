@@ -14,6 +14,7 @@ from ..functions.numeric import money
 from . import cohorts as I
 from . import forecast as K
 from . import segments as G
+from ..plans.scalars import attach_row
 
 
 def _one(df: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def overview_kpis(sales: DataFrame, seg: DataFrame, year_a: int, year_b: int, ho
     yoy = yt.select(((F.col("cb") - F.col("ca")).cast("double") / F.col("ca").cast("double") * F.lit(100.0))
                     .alias("yoy_pct"))
     fc = K.forecast(K.monthly_series(sales), horizon).agg(F.sum("forecast").alias("forecast_total"))
-    out = totals(sales).crossJoin(_one(yoy)).crossJoin(_one(champions(seg))).crossJoin(_one(fc))
+    out = attach_row(attach_row(attach_row(totals(sales), yoy), champions(seg)), fc)
     return out.select("total_revenue", "yoy_pct", "customers", "aov", "champions_share_pct", "forecast_total")
 
 
@@ -65,6 +66,6 @@ def project_summary(sales: DataFrame, seg: DataFrame, year_a: int, year_b: int,
           .select(F.col("customers").alias("champion_customers"), F.col("revenue_share").alias("champion_share_pct"))
     fc = K.forecast(K.monthly_series(sales), horizon).agg(F.sum("forecast").alias("forecast_total"))
     t = totals(sales).select("total_revenue", "customers")
-    out = t.crossJoin(_one(yoy)).crossJoin(_one(m1)).join(_one(ss), how="left").crossJoin(_one(fc))
+    out = attach_row(attach_row(attach_row(t, yoy), m1), fc).join(F.broadcast(ss), how="left")  # ss: <= 1 row
     return out.select("total_revenue", "yoy_pct", "month1_retention_pct", "customers", "champion_customers",
                       "champion_share_pct", "forecast_total")

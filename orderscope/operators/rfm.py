@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import money
 from ..plans.quantiles import quantiles
 from .quality import describe
+from ..plans.scalars import attach_row
 
 
 def snapshot_date(sales: DataFrame) -> DataFrame:
@@ -26,11 +27,23 @@ def rfm_base(sales: DataFrame) -> DataFrame:
     per = sales.groupBy("customer_id").agg(F.max("order_date").alias("last"),
                                            F.count(F.lit(1)).alias("frequency"),
                                            F.sum("cents").alias("cents"))
-    j = per.crossJoin(F.broadcast(snapshot_date(sales)))  # one row
+    j = attach_row(per, snapshot_date(sales))  # one row
     return j.select("customer_id", F.datediff("snapshot", "last").alias("recency"), "frequency",
                     money("cents").alias("monetary"))
 
 
+def customer_table(sales: DataFrame) -> DataFrame:
+    """``rfm_base`` written once with a reliable checkpoint (shared folder).
+
+    Segment pipelines read the per-customer table in half a dozen branches
+    (scores, scaling, centroids, profiles, labels); the checkpoint computes it
+    from ``sales`` once and cuts the lineage.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(sales.sparkSession)
+    return rfm_base(sales).checkpoint(eager=True)
+
+
 # pandas qcut(q=5) asks for np.linspace(0, 1, 6): note the 0.6000000000000001.
 QUINTILE_PROBS = [i * 0.2 for i in range(5)] + [1.0]
 EDGES = [f"e{i}" for i in range(6)]
@@ -86,7 +99,7 @@ def quintile_scores(df: DataFrame, specs: list[tuple[str, str, bool]],
     method_cols = method_cols or {}
     values = [v for v, _, _ in specs]
     edges = quintile_edges(df, values)
-    j = df.crossJoin(F.broadcast(edges))  # exactly one row
+    j = attach_row(df, edges)  # exactly one row
     for v, out, rev in specs:
         s, m = score_expr(F.col(v).cast("double"), [F.col(f"{v}_{e}") for e in EDGES], rev)
         j = j.withColumn(out, s)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dec, exact_double, round_half_even
+from ..plans.scalars import attach_row
 
 FEATURES = ["recency", "frequency", "monetary"]
 Z = [f"{c}_z" for c in FEATURES]
@@ -58,7 +59,7 @@ def _z(x, c: str):
 
 def rfm_scaled(rfm: DataFrame) -> DataFrame:
     """H1: ``(x - mean) / std_pop`` for recency, frequency, monetary."""
-    j = _int_features(rfm).crossJoin(F.broadcast(scaling_stats(rfm)))  # one row of statistics
+    j = attach_row(_int_features(rfm), scaling_stats(rfm))  # one row of statistics
     return j.select("customer_id", *[_z(F.col(f"i_{c}").cast("double") / F.lit(SCALE[c]), c).alias(f"{c}_z")
                                      for c in FEATURES])
 
@@ -71,7 +72,7 @@ def seed_centroids(rfm: DataFrame, scores: DataFrame) -> DataFrame:
     j = _int_features(rfm).join(scores.select("customer_id", band.alias("cluster")), "customer_id")
     g = j.groupBy("cluster").agg(F.count(F.lit(1)).alias("nb"),
                                  *[F.sum(f"i_{c}").alias(f"b_{c}") for c in FEATURES])
-    g = g.crossJoin(F.broadcast(scaling_stats(rfm)))  # one row
+    g = attach_row(g, scaling_stats(rfm))  # one row
     nb = F.col("nb").cast("double")
     return g.select("cluster", *[_z(F.col(f"b_{c}").cast("double") / nb / F.lit(SCALE[c]), c).alias(f"{c}_z")
                                  for c in FEATURES])
@@ -80,7 +81,7 @@ def seed_centroids(rfm: DataFrame, scores: DataFrame) -> DataFrame:
 def assign_centroids(scaled: DataFrame, centroids: DataFrame) -> DataFrame:
     """H5: nearest centroid (squared Euclidean; ties to the lower cluster id)."""
     one = centroids.agg(F.collect_list(F.struct("cluster", *Z)).alias("cs"))  # k rows -> one row
-    j = scaled.crossJoin(F.broadcast(one))
+    j = attach_row(scaled, one)  # one row: the k centroids as an array
     d = "+".join(f"(c.{z} - {z}) * (c.{z} - {z})" for z in Z)
     best = F.expr(f"array_min(transform(cs, c -> named_struct('d', {d}, 'cluster', c.cluster)))")
     return j.select("customer_id", *Z, best["cluster"].alias("cluster"))

@@ -17,6 +17,11 @@ windows over small value ranges:
 5. Only the values in the chosen buckets are ranked with a window
    (partitioned by group and bucket), and the value at rank ``k`` is picked.
 
+Size check: when every group has at most ``DIRECT_MAX_DISTINCT`` distinct
+values (read from the checkpointed counts by one small job), step 3–5 collapse
+into one running count per group — a bounded sort per task; otherwise the
+bucketed plan above runs.
+
 ``vc`` is written with a reliable ``checkpoint()`` (the shared folder named by
 ``spark.checkpoint.dir``): the input is scanned once, the lineage is cut, and
 a lost executor never forces recomputing the input.
@@ -37,6 +42,9 @@ from ..functions.numeric import lerp
 from ..session import checkpoint_dir
 
 BUCKETS = 1024
+# Groups with at most this many distinct values are ranked by one window per
+# group (a bounded sort in one task); larger groups take the bucketed plan.
+DIRECT_MAX_DISTINCT = 1_000_000
 _G = "_qgroup"
 
 
@@ -120,6 +128,24 @@ def _locate(bk: DataFrame, targets: DataFrame, keys: list[str], buckets: int) ->
     return hit.select(*[F.col(f"t.{k}") for k in keys], "t.i", "t.t", "t.j", "l.v")
 
 
+def _locate_direct(vc: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Small groups: running count over each group's (bounded) distinct values."""
+    w = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    r = vc.withColumn("s", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    hit = targets.alias("t").join(
+        r.alias("r"),
+        [F.col(f"t.{k}") == F.col(f"r.{k}") for k in keys]
+        + [F.col("t.k") >= F.col("r.s"), F.col("t.k") < F.col("r.s") + F.col("r.c")],
+    )
+    return hit.select(*[F.col(f"t.{k}") for k in keys], "t.i", "t.t", "t.j", "r.v")
+
+
+def _max_distinct(vc: DataFrame, keys: list[str]) -> int:
+    """Size check on the checkpointed counts: the largest group's distinct values."""
+    row = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).collect()[0]
+    return int(row[0] or 0)
+
+
 def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
               out: Sequence[str] | None = None, buckets: int = BUCKETS,
               with_count: bool = False) -> DataFrame:
@@ -140,9 +166,11 @@ def medians(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "media
 def _quantiles(df, value, probs, by, out, buckets, with_count, median):
     out = list(out) if out else [f"q{i}" for i in range(len(probs))]
     keys, vc, g = _prep(df, value, by)
-    bk = _bucketed(vc, g, keys, buckets)
     tg = _targets(g, keys, probs, median)
-    hit = _locate(bk, tg, keys, buckets)
+    if _max_distinct(vc, keys) <= DIRECT_MAX_DISTINCT:
+        hit = _locate_direct(vc, tg, keys)
+    else:
+        hit = _locate(_bucketed(vc, g, keys, buckets), tg, keys, buckets)
     pair = hit.groupBy(*keys, "i", "t").agg(
         F.max(F.when(F.col("j") == 0, F.col("v"))).alias("a"),
         F.max(F.when(F.col("j") == 1, F.col("v"))).alias("b"))

@@ -65,7 +65,7 @@ ZD = [f"{c}_z" for c in _F]
 def _fixed(spark, sf):
     """(rfm, cluster assignment) on the seed centroids."""
     s = load_sales(spark, sf)
-    rfm = R.rfm_base(s)
+    rfm = R.customer_table(s)
     scores = R.rfm_scores(rfm)
     scaled = G.rfm_scaled(rfm)
     return rfm, G.assign_centroids(scaled, G.seed_centroids(rfm, scores))
@@ -185,7 +185,7 @@ def q_kmeans_silhouette(spark, sf):
 
 
 def _kmeans_seg(spark, sf):
-    rfm = R.rfm_base(load_sales(spark, sf))
+    rfm = R.customer_table(load_sales(spark, sf))
     cl = G.kmeans_clusters(G.rfm_scaled(rfm), 4, FINAL_N_INIT)
     return G.segmented(rfm, cl)
 

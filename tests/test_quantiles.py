@@ -20,8 +20,16 @@ def _frame(seed=3):
     return pd.DataFrame(rows, columns=["g", "x"])
 
 
+@pytest.fixture(params=["direct", "bucketed"])
+def path(request, monkeypatch):
+    import orderscope.plans.quantiles as Q
+    if request.param == "bucketed":
+        monkeypatch.setattr(Q, "DIRECT_MAX_DISTINCT", 0)
+    return request.param
+
+
 @pytest.mark.parametrize("parts", [1, 4, 32])
-def test_quantiles_bit_equal_to_pandas(spark, parts):
+def test_quantiles_bit_equal_to_pandas(spark, parts, path):
     pdf = _frame()
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
@@ -37,7 +45,7 @@ def test_quantiles_bit_equal_to_pandas(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def test_hot_group_holding_a_third(spark):
+def test_hot_group_holding_a_third(spark, path):
     # one group holds a third of all rows; result stays exact
     rng = np.random.default_rng(7)
     hot = pd.DataFrame({"g": "hot", "x": np.round(rng.random(3000) * 1000, 2)})
