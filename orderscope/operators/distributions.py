@@ -3,7 +3,8 @@
 Histogram binning reproduces ``numpy.histogram`` with equal bins exactly:
 edges ``lo + i*step`` (``linspace``), index ``int((v-lo)/(hi-lo)*bins)``
 corrected against the edges, last bin closed.  The per-group ranges come
-from a one-row-per-group aggregate joined back (never a window over a group).
+from a one-row-per-group aggregate joined back with a size-checked
+broadcast (never a window over a group, never a shuffle of rows by a few keys).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import WEEKDAYS, day_name
 from ..plans.quantiles import medians, quantiles
+from ..plans.lookups import checked, lookup_join
 from ..plans.scalars import attach_row
 
 
@@ -44,8 +46,10 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     rng = rng.select(*keys, "total",
                      F.when(same, F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
                      F.when(same, F.col("hi0") + 0.5).otherwise(F.col("hi0")).alias("hi"))
-    # one range row per group; the global case is exactly one row
-    j = x.join(rng, keys) if keys else attach_row(x, rng)
+    # one range row per group (the global case is exactly one row), computed
+    # once: it feeds both the binning join and the grid of empty bins
+    rng, size = checked(rng)
+    j = lookup_join(x, rng, keys, size=size)
     counts = j.select(*keys, bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin")) \
               .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(*keys, "lo", "hi", "total",
@@ -78,26 +82,37 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5) -
 
     q1/median/q3 by ``np.percentile``; whiskers at the most extreme values
     inside ``whis * IQR`` (falling back to q3/q1); flier count outside them.
+
+    After the quantiles, one aggregation pass gives everything else: a value
+    is above the upper whisker exactly when it is above ``q3 + whis*IQR``
+    (the whisker is the largest value not above that bound) or, when the
+    whisker falls back to q3, above q3; both counts are taken and the right
+    one picked (the same for the lower side).
     """
     keys = list(by)
     q = quantiles(df, value, [0.25, 0.5, 0.75], keys, out=["q1", "median", "q3"], with_count=True)
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("loval", F.col("q1") - F.lit(whis) * F.col("iqr")) \
          .withColumn("hival", F.col("q3") + F.lit(whis) * F.col("iqr"))
-    v = F.col(value).cast("double")
-    j = df.where(F.col(value).isNotNull()).join(q, keys)
+    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    j = lookup_join(x, q, keys)  # one row of statistics per group
+    v = F.col("_v")
     a = j.groupBy(*keys).agg(
         F.max(F.when(v <= F.col("hival"), v)).alias("hi_in"),
         F.min(F.when(v >= F.col("loval"), v)).alias("lo_in"),
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.first("n").alias("n"))
-    whi = F.when(F.col("hi_in").isNull() | (F.col("hi_in") < F.col("q3")), F.col("q3")).otherwise(F.col("hi_in"))
-    wlo = F.when(F.col("lo_in").isNull() | (F.col("lo_in") > F.col("q1")), F.col("q1")).otherwise(F.col("lo_in"))
-    a = a.withColumn("whisker_hi", whi).withColumn("whisker_lo", wlo)
-    fl = j.join(a.select(*keys, "whisker_lo", "whisker_hi"), keys).groupBy(*keys).agg(
-        F.count_if((v < F.col("whisker_lo")) | (v > F.col("whisker_hi"))).alias("outliers"))
-    return a.join(fl, keys).select(*keys, F.col("n").alias("count"), "q1", "median", "q3",
-                                   "whisker_lo", "whisker_hi", "outliers")
+        F.count_if(v > F.col("hival")).alias("above_hival"),
+        F.count_if(v > F.col("q3")).alias("above_q3"),
+        F.count_if(v < F.col("loval")).alias("below_loval"),
+        F.count_if(v < F.col("q1")).alias("below_q1"),
+        *[F.max(c).alias(c) for c in ("q1", "median", "q3", "n")])
+    hi_falls_back = F.col("hi_in").isNull() | (F.col("hi_in") < F.col("q3"))
+    lo_falls_back = F.col("lo_in").isNull() | (F.col("lo_in") > F.col("q1"))
+    whi = F.when(hi_falls_back, F.col("q3")).otherwise(F.col("hi_in"))
+    wlo = F.when(lo_falls_back, F.col("q1")).otherwise(F.col("lo_in"))
+    outliers = F.when(hi_falls_back, F.col("above_q3")).otherwise(F.col("above_hival")) \
+        + F.when(lo_falls_back, F.col("below_q1")).otherwise(F.col("below_loval"))
+    return a.select(*keys, F.col("n").alias("count"), "q1", "median", "q3",
+                    wlo.alias("whisker_lo"), whi.alias("whisker_hi"), outliers.alias("outliers"))
 
 
 def category_boxplot(sales: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import lerp
 from ..session import checkpoint_dir
+from .lookups import lookup_join
 
 BUCKETS = 1024
 # Groups with at most this many distinct values are ranked by one window per
@@ -64,9 +65,7 @@ def _prep(df: DataFrame, value: str, by: Sequence[str]):
 
 def _bucketed(vc: DataFrame, g: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     B = float(buckets)
-    if keys == [_G]:
-        g = F.broadcast(g)  # exactly one row
-    j = vc.join(g.select(*keys, "lo", "hi"), keys)
+    j = lookup_join(vc, g.select(*keys, "lo", "hi"), keys)  # one row per group
     x = F.when(F.col("hi") > F.col("lo"),
                (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(B)).otherwise(F.lit(0.0))
     b1 = F.least(F.floor(x), F.lit(buckets - 1)).cast("int")

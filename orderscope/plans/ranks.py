@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .scalars import attach_row
+from .lookups import lookup_join
 
 BUCKETS = 1024
 
@@ -29,7 +29,7 @@ def values_below(vc: DataFrame, value: str, count: str, by: Sequence[str] = (),
     checkpoint_dir(vc.sparkSession)
     vc = vc.checkpoint(eager=True)  # used by two branches below
     g = vc.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    j = vc.join(g, keys) if keys else attach_row(vc, g)  # global: one row
+    j = lookup_join(vc, g, keys)  # one row per group
     B = float(buckets)
     v = F.col(value).cast("double")
     x = F.when(F.col("hi") > F.col("lo"),

@@ -23,11 +23,12 @@ Join plan (scale notes):
 * ``nation`` and ``region`` are fixed-size TPC-H dimensions (25 and 5 rows), so
   they are broadcast into the ``customer`` scan — no shuffle of ``customer``
   for the region lookup.
-* ``lineitem`` meets ``part`` first and then ``orders ⋈ customer``; the largest
-  input is shuffled at most twice (by part key, then order key).  No other
-  join is hinted: the planner broadcasts a side only when its measured or
-  estimated size is under the broadcast threshold, else it sort-merge joins,
-  and AQE re-plans from the real shuffle sizes (and splits skewed partitions).
+* ``lineitem`` meets ``part`` first and then ``orders ⋈ customer``.  Line-sized
+  data crosses three exchanges: the dedup (after its map-side combine), the
+  part key and the order key.  No other join is hinted: the planner
+  broadcasts a side only when its measured or estimated size is under the
+  broadcast threshold, else it sort-merge joins, and AQE re-plans from the
+  real shuffle sizes (and splits skewed partitions).
 * Duplicates are removed on ``lineitem`` *before* the joins (the joins are
   lossless key lookups, so this equals deduplicating the joined rows) with a
   partial aggregation, which survives a key holding a third of all rows.
@@ -43,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import line_cents, money
+from ..plans.lookups import lookup_join
 from ..session import checkpoint_dir
 
 # Total order for "keep the first duplicate": the reference keeps the first row
@@ -172,16 +174,15 @@ def category_medians(df: DataFrame, value: str = "unit_price", by: str = "catego
 def impute_prices(df: DataFrame) -> DataFrame:
     """B4 + B5: fill NULL ``unit_price`` with its category median, recompute revenue.
 
-    The medians table has one row per category; the join is left unhinted, so the
-    planner broadcasts it when its size is known to be small and sort-merge joins
-    otherwise.
+    The medians table has one row per category; it is joined with a
+    size-checked broadcast (:func:`~orderscope.plans.lookups.lookup_join`), so
+    the rows are never shuffled by a handful of category keys.
     """
-    # Medians are only needed for categories that actually hold a NULL price.
-    # When none does, the semi-join is empty and AQE prunes the whole median
-    # plan at run time (empty-relation propagation).
-    gaps = df.where(F.col("unit_price").isNull()).select("category").distinct()
-    med = category_medians(df.join(gaps, "category", "left_semi"))
-    out = df.join(med, "category", "left").withColumn(
+    # Only NULL rows read their category's median, so taking the medians of
+    # every category gives the same rows and needs no pre-pass to find the
+    # categories with gaps (build_sales skips imputation when none can exist).
+    med = category_medians(df)
+    out = lookup_join(df, med, ["category"], "left").withColumn(
         "unit_price", F.coalesce(F.col("unit_price"), F.col("median_price")))
     cents = line_cents("unit_price", "quantity")
     return out.withColumns({"cents": cents, "revenue": money(cents)}) \
@@ -195,18 +196,38 @@ def clean_sales(df: DataFrame, key: str = "order_id") -> DataFrame:
     return impute_prices(dd).filter(F.col("cents") > 0)
 
 
+def prices_complete(spark: SparkSession, sf_dir: str) -> bool:
+    """True when no ``part`` row has a NULL retail price.
+
+    ``unit_price`` comes only from ``p_retailprice``, so then no sales row can
+    need imputing.  The ``IS NULL`` filter is pushed to the Parquet reader,
+    which skips every row group whose statistics count no nulls; the job
+    reads at most one row.
+    """
+    part = read_table(spark, sf_dir, "part", "p_retailprice")
+    return part.where(F.col("p_retailprice").isNull()).limit(1).count() == 0
+
+
 def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned ``sales`` table every analysis starts from (lazy plan).
 
     Duplicates are removed on ``lineitem`` before the joins; then the same
-    impute / recompute / filter steps as :func:`clean_sales`.
+    impute / recompute / filter steps as :func:`clean_sales`.  Imputation
+    needs the medians of the joined rows, i.e. a second pass over the whole
+    join; when the prices are complete it is an exact no-op and is skipped,
+    so the join runs once.
     """
     lines = _lines(spark, sf_dir)
     lines = dedup_keep_first(lines, ["order_id"],
                              ["tb_shipdate", "tb_partkey", "tb_suppkey", "tb_quantity",
                               "tb_extendedprice"])
     joined = _enrich(spark, sf_dir, lines)
-    return impute_prices(joined).filter(F.col("cents") > 0).select(*SALES_COLUMNS)
+    if prices_complete(spark, sf_dir):
+        cents = line_cents("unit_price", "quantity")
+        filled = joined.withColumns({"cents": cents, "revenue": money(cents)})
+    else:
+        filled = impute_prices(joined)
+    return filled.filter(F.col("cents") > 0).select(*SALES_COLUMNS)
 
 
 # Bump when build_sales changes meaning, so old materialisations are not reused.
