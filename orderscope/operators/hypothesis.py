@@ -56,9 +56,11 @@ def channel_samples(sales: DataFrame, rfm: DataFrame, first: str, second: str) -
     """LTV of customers who *ever* ordered via each channel (samples overlap, S14).
 
     ``sample`` is 1 for ``first`` and 2 for ``second``; two left-semi joins.
+    The member lists are distinct customer ids (a partial aggregation), so a
+    customer with a third of all orders is one row before the shuffle.
     """
     def members(ch: str, k: int) -> DataFrame:
-        who = sales.where(F.col("channel") == F.lit(ch)).select("customer_id")
+        who = sales.where(F.col("channel") == F.lit(ch)).select("customer_id").distinct()
         return rfm.join(who, "customer_id", "left_semi").select(
             F.lit(k).alias("sample"), "customer_id", "monetary")
     return members(first, 1).unionByName(members(second, 2))

@@ -3,28 +3,32 @@
 Spark's built-in ``percentile`` keeps one value->count map per group and merges
 it in a single task, and ``percentile_approx`` is not exact.  This plan finds
 the exact order statistics with only aggregations, joins of small tables and
-windows over small value ranges:
+windows over bounded value ranges:
 
 1. ``vc``   distinct-value counts per group (partial aggregation: a group or a
    value holding a third of all rows is collapsed map-side).
-2. ``g``    per group ``n``, ``lo``, ``hi`` (one row per group).
-3. Every distinct value gets a two-level bucket ``(b1, b2)``: ``b1`` splits
-   ``[lo, hi]`` into ``B`` equal parts, ``b2`` splits each part again.  Both are
-   monotone in the value, so a bucket is a contiguous range of the sorted values.
-4. Counts per composite bucket ``b1*B + b2`` (at most ``B²`` rows per group,
-   bounded by construction) get a running start per group; each wanted rank
-   ``k`` finds the bucket that holds it.
-5. Only the values in the chosen buckets are ranked with a window
-   (partitioned by group and bucket), and the value at rank ``k`` is picked.
-
-Size check: when every group has at most ``DIRECT_MAX_DISTINCT`` distinct
-values (read from the checkpointed counts by one small job), step 3–5 collapse
-into one running count per group — a bounded sort per task; otherwise the
-bucketed plan above runs.
-
-``vc`` is written with a reliable ``checkpoint()`` (the shared folder named by
-``spark.checkpoint.dir``): the input is scanned once, the lineage is cut, and
-a lost executor never forces recomputing the input.
+2. ``g``    per group ``n``, ``lo``, ``hi`` (one row per group) and the wanted
+   0-based ranks ``k`` (two per probability: the interpolation pair).
+3. Direct path — every group has at most ``DIRECT_MAX_DISTINCT`` distinct
+   values (one small size-check job on the checkpointed counts): one running
+   count per group over its distinct values, a bounded sort per task.
+4. Narrowing path — otherwise every wanted rank keeps a value *window*
+   (``lo..hi``, the count ``off`` of rows below it, its distinct count ``d``),
+   starting with its group's range.  Each level splits every window into
+   ``BUCKETS`` equal parts of its own actual ``min..max`` (a monotone map, so a
+   part is a contiguous run of sorted values), counts rows per part (at most
+   ``BUCKETS`` rows per window), and keeps the part that holds the rank.  A
+   window with ``d >= 2`` has ``min < max``, so both end parts are non-empty
+   and ``d`` shrinks strictly; the loop stops once every ``d`` is at most
+   ``LEAF_MAX_DISTINCT``.  Only then are values sorted, in a window
+   partitioned by rank.  Equal-width parts of the *own* range adapt to
+   skewed or clustered values: no fixed bucket can end up holding a third of
+   a group's distinct values.
+
+``vc`` and every level's candidates are written with a reliable
+``checkpoint()`` (the shared folder named by ``spark.checkpoint.dir``): the
+input is scanned once, the lineage is cut, and a lost executor never forces
+recomputing the input.
 
 The interpolation matches NumPy bit for bit: virtual index ``(n-1)*p``,
 ``gamma = index - floor(index)`` and NumPy's two-sided ``_lerp``; the median
@@ -40,12 +44,15 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import lerp
 from ..session import checkpoint_dir
-from .lookups import lookup_join
+from .lookups import checked, lookup_join
 
 BUCKETS = 1024
 # Groups with at most this many distinct values are ranked by one window per
-# group (a bounded sort in one task); larger groups take the bucketed plan.
+# group (a bounded sort in one task); larger groups take the narrowing plan.
 DIRECT_MAX_DISTINCT = 1_000_000
+# The narrowing plan sorts a rank's window once it holds at most this many
+# distinct values.
+LEAF_MAX_DISTINCT = 100_000
 _G = "_qgroup"
 
 
@@ -63,18 +70,6 @@ def _prep(df: DataFrame, value: str, by: Sequence[str]):
     return keys, vc, g
 
 
-def _bucketed(vc: DataFrame, g: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    B = float(buckets)
-    j = lookup_join(vc, g.select(*keys, "lo", "hi"), keys)  # one row per group
-    x = F.when(F.col("hi") > F.col("lo"),
-               (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(B)).otherwise(F.lit(0.0))
-    b1 = F.least(F.floor(x), F.lit(buckets - 1)).cast("int")
-    j = j.withColumn("_x", x).withColumn("b1", b1)
-    b2 = F.least(F.greatest(F.floor((F.col("_x") - F.col("b1")) * F.lit(B)), F.lit(0)),
-                 F.lit(buckets - 1)).cast("int")
-    return j.withColumn("b2", b2).select(*keys, "v", "c", "b1", "b2")
-
-
 def _targets(g: DataFrame, keys: list[str], probs: Sequence[float], median: bool) -> DataFrame:
     """One row per (group, prob index i, side j) with the 0-based rank ``k`` to fetch."""
     n1 = (F.col("n") - F.lit(1)).cast("double")
@@ -99,32 +94,60 @@ def _targets(g: DataFrame, keys: list[str], probs: Sequence[float], median: bool
     return rows.select(*keys, "i", "t", side.alias("s")).select(*keys, "i", "t", "s.j", "s.k")
 
 
-def _locate(bk: DataFrame, targets: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """Value at rank ``k`` for every target row: (keys, i, t, j, v)."""
-    # bucket totals: at most B^2 rows per group (bounded by construction), so the
-    # running start per group is a bounded window
-    bk = bk.withColumn("b", F.col("b1") * F.lit(buckets) + F.col("b2"))
-    cnt = bk.groupBy(*keys, "b").agg(F.sum("c").alias("bc"))
-    wb = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    cnt = cnt.withColumn("bs", F.coalesce(F.sum("bc").over(wb), F.lit(0)))
-    tb = targets.alias("t").join(
-        cnt.alias("c"),
-        [F.col(f"t.{k}") == F.col(f"c.{k}") for k in keys]
-        + [F.col("t.k") >= F.col("c.bs"), F.col("t.k") < F.col("c.bs") + F.col("c.bc")],
-    ).select(*[F.col(f"t.{k}") for k in keys], "t.i", "t.t", "t.j", "t.k", "c.b", "c.bs")
-
-    # leaf: rank the values of the chosen buckets only
-    leaf = bk.join(tb.select(*keys, "b").distinct(), keys + ["b"], "left_semi")
-    w3 = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    leaf = leaf.withColumn("s3", F.coalesce(F.sum("c").over(w3), F.lit(0)))
-    hit = tb.alias("t").join(
-        leaf.alias("l"),
-        [F.col(f"t.{k}") == F.col(f"l.{k}") for k in keys]
-        + [F.col("t.b") == F.col("l.b"),
-           F.col("t.k") >= F.col("t.bs") + F.col("l.s3"),
-           F.col("t.k") < F.col("t.bs") + F.col("l.s3") + F.col("l.c")],
-    )
-    return hit.select(*[F.col(f"t.{k}") for k in keys], "t.i", "t.t", "t.j", "l.v")
+def _parts(rows: DataFrame, by: list[str], buckets: int) -> DataFrame:
+    """Split each window (``by``, bounds ``lo..hi``, ``off`` rows below it) into
+    ``buckets`` equal parts of its range: rows, value bounds, distinct count and
+    the running start ``ps`` of every non-empty part (at most ``buckets`` rows
+    per window, so the running count is a bounded window)."""
+    B = float(buckets)
+    x = F.when(F.col("hi") > F.col("lo"),
+               (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(B)).otherwise(F.lit(0.0))
+    part = F.least(F.floor(x), F.lit(buckets - 1)).cast("int")
+    cnt = rows.withColumn("part", part).groupBy(*by, "part").agg(
+        F.sum("c").alias("pc"), F.min("v").alias("plo"), F.max("v").alias("phi"),
+        F.count(F.lit(1)).alias("pd"), F.max("off").alias("off"))
+    w = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return cnt.withColumn("ps", F.col("off") + F.coalesce(F.sum("pc").over(w), F.lit(0)))
+
+
+def _holds_k():
+    return (F.col("k") >= F.col("ps")) & (F.col("k") < F.col("ps") + F.col("pc"))
+
+
+def _window():
+    return [F.col("plo").alias("lo"), F.col("phi").alias("hi"), F.col("ps").alias("off"), F.col("pd").alias("d")]
+
+
+def _in_window(rows: DataFrame, win: DataFrame, on: list[str], size: int) -> DataFrame:
+    """Rows joined with the (size-checked) windows on ``on``, kept when inside."""
+    j = lookup_join(rows, win, on, size=size)
+    return j.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+
+
+def _locate_narrowing(vc: DataFrame, g: DataFrame, targets: DataFrame, keys: list[str],
+                      buckets: int = BUCKETS, leaf_max: int | None = None,
+                      max_levels: int = 8) -> DataFrame:
+    """Large groups: value at rank ``k`` for every target row by narrowing windows."""
+    leaf_max = LEAF_MAX_DISTINCT if leaf_max is None else leaf_max
+    rk = keys + ["k"]
+    # level 0 is shared by all ranks of a group: split the group's own range
+    first = lookup_join(vc, g.select(*keys, "lo", "hi"), keys).withColumn("off", F.lit(0).cast("bigint"))
+    parts = _parts(first, keys, buckets)
+    ranks = targets.select(*keys, "k").distinct()
+    win, size = checked(ranks.join(parts, keys).where(_holds_k()).select(*rk, *_window()))
+    cand = _in_window(vc, win.select(*rk, "lo", "hi", "off"), keys, size)
+    for _ in range(max_levels):
+        if (win.agg(F.max("d")).collect()[0][0] or 0) <= leaf_max:
+            break
+        cand, _n = checked(cand.select(*rk, "v", "c", "lo", "hi", "off"))
+        win, size = checked(_parts(cand, rk, buckets).where(_holds_k()).select(*rk, *_window()))
+        cand = _in_window(cand.select(*rk, "v", "c"), win.select(*rk, "lo", "hi", "off"), rk, size)
+    # leaf: at most leaf_max distinct values per rank (or max_levels reached)
+    wl = Window.partitionBy(*rk).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    leaf = cand.withColumn("s", F.col("off") + F.coalesce(F.sum("c").over(wl), F.lit(0)))
+    found = leaf.where((F.col("k") >= F.col("s")) & (F.col("k") < F.col("s") + F.col("c"))) \
+                .select(*rk, "v")
+    return targets.join(found, rk).select(*keys, "i", "t", "j", "v")
 
 
 def _locate_direct(vc: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,7 +192,7 @@ def _quantiles(df, value, probs, by, out, buckets, with_count, median):
     if _max_distinct(vc, keys) <= DIRECT_MAX_DISTINCT:
         hit = _locate_direct(vc, tg, keys)
     else:
-        hit = _locate(_bucketed(vc, g, keys, buckets), tg, keys, buckets)
+        hit = _locate_narrowing(vc, g, tg, keys, buckets)
     pair = hit.groupBy(*keys, "i", "t").agg(
         F.max(F.when(F.col("j") == 0, F.col("v"))).alias("a"),
         F.max(F.when(F.col("j") == 1, F.col("v"))).alias("b"))

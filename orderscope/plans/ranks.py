@@ -2,10 +2,22 @@
 
 Mid-ranks (Mann-Whitney) need a running count over the values in order.  A
 window ordered by value without a partition would put every distinct value in
-one task; instead the values get the same two-level equal-width buckets as
-the quantile plan: bucket totals (at most ``B²`` rows per group, bounded by
-construction) get a running sum per group, and each bucket's own values get a
-running sum in a window partitioned by bucket.
+one task.  Instead every value belongs to a *part* of its group's value range,
+with ``off`` = rows below the part:
+
+* level 0: one part per group (its whole range);
+* each level splits every part still holding more than ``LEAF_MAX_DISTINCT``
+  distinct values into ``BUCKETS`` equal pieces of the part's own
+  ``min..max`` (monotone, so a piece is a contiguous run of sorted values);
+  piece totals get a running start inside their part (at most ``BUCKETS``
+  rows per part, a bounded window).  A part with two or more values has
+  ``min < max``, so both end pieces are non-empty and parts shrink strictly;
+* finally each part's own values get a running count in a window
+  partitioned by part — a bounded sort per task, even when the values are
+  clustered or heavy-tailed.
+
+Every level's rows are written with a reliable checkpoint (the shared folder
+named by ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -16,32 +28,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .lookups import lookup_join
+from .lookups import checked, lookup_join
 
 BUCKETS = 1024
+LEAF_MAX_DISTINCT = 100_000
+_WORK = ["_lo", "_hi", "_d", "_pid", "_off"]
 
 
 def values_below(vc: DataFrame, value: str, count: str, by: Sequence[str] = (),
-                 buckets: int = BUCKETS) -> DataFrame:
+                 buckets: int = BUCKETS, leaf_max: int | None = None, max_levels: int = 6) -> DataFrame:
     """``vc`` has one row per (by..., value) with a row ``count``; adds ``below``
-    = total count of strictly smaller values in the same group."""
+    = total count of strictly smaller values in the same group.
+
+    ``max_levels`` * log2(``buckets``) must stay under 63 (part ids are longs).
+    """
     keys = list(by)
+    leaf_max = LEAF_MAX_DISTINCT if leaf_max is None else leaf_max
+    cols = vc.columns
     checkpoint_dir(vc.sparkSession)
-    vc = vc.checkpoint(eager=True)  # used by two branches below
-    g = vc.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    j = lookup_join(vc, g, keys)  # one row per group
+    vc = vc.checkpoint(eager=True)
+    g = vc.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+                              F.count(F.lit(1)).alias("_d"))
+    cur = lookup_join(vc, g, keys).withColumns({"_pid": F.lit(0).cast("bigint"),
+                                                "_off": F.lit(0).cast("bigint")})
     B = float(buckets)
-    v = F.col(value).cast("double")
-    x = F.when(F.col("hi") > F.col("lo"),
-               (v - F.col("lo").cast("double")) / (F.col("hi") - F.col("lo")).cast("double") * F.lit(B)) \
-         .otherwise(F.lit(0.0))
-    j = j.withColumn("_x", x).withColumn("_b1", F.least(F.floor("_x"), F.lit(buckets - 1)).cast("int"))
-    j = j.withColumn("_b2", F.least(F.greatest(F.floor((F.col("_x") - F.col("_b1")) * F.lit(B)), F.lit(0)),
-                                    F.lit(buckets - 1)).cast("int")).drop("_x", "lo", "hi")
-    tot = j.groupBy(*keys, "_b1", "_b2").agg(F.sum(count).alias("_bc"))
-    wb = Window.partitionBy(*keys).orderBy("_b1", "_b2").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("_bs", F.coalesce(F.sum("_bc").over(wb), F.lit(0))).drop("_bc")
-    j = j.join(tot, keys + ["_b1", "_b2"])
-    wv = Window.partitionBy(*keys, "_b1", "_b2").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return j.withColumn("below", F.col("_bs") + F.coalesce(F.sum(count).over(wv), F.lit(0))) \
-            .drop("_b1", "_b2", "_bs")
+    pk = keys + ["_pid"]
+    for _ in range(max_levels):
+        cur, _n = checked(cur)
+        big = cur.where(F.col("_d") > F.lit(leaf_max))
+        if big.limit(1).count() == 0:
+            break
+        v = F.col(value).cast("double")
+        lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+        x = F.when(hi > lo, (v - lo) / (hi - lo) * F.lit(B)).otherwise(F.lit(0.0))
+        big = big.withColumn("_sub", F.least(F.floor(x), F.lit(buckets - 1)).cast("bigint"))
+        parts = big.groupBy(*pk, "_sub").agg(
+            F.sum(count).alias("_pc"), F.min(value).alias("_plo"), F.max(value).alias("_phi"),
+            F.count(F.lit(1)).alias("_pd"), F.max("_off").alias("_poff"))
+        w = Window.partitionBy(*pk).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.withColumn("_ps", F.col("_poff") + F.coalesce(F.sum("_pc").over(w), F.lit(0)))
+        split = lookup_join(big.select(*cols, "_pid", "_sub"),
+                            parts.select(*pk, "_sub", "_plo", "_phi", "_pd", "_ps"), pk + ["_sub"])
+        split = split.select(*cols, F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi"),
+                             F.col("_pd").alias("_d"),
+                             (F.col("_pid") * F.lit(buckets) + F.col("_sub")).alias("_pid"),
+                             F.col("_ps").alias("_off"))
+        cur = cur.where(F.col("_d") <= F.lit(leaf_max)).select(*cols, *_WORK).unionByName(split)
+    wv = Window.partitionBy(*pk).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return cur.withColumn("below", F.col("_off") + F.coalesce(F.sum(count).over(wv), F.lit(0))) \
+              .select(*cols, "below")

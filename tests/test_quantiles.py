@@ -24,7 +24,9 @@ def _frame(seed=3):
 def path(request, monkeypatch):
     import orderscope.plans.quantiles as Q
     if request.param == "bucketed":
+        # force the narrowing plan, with small leaves so several levels run
         monkeypatch.setattr(Q, "DIRECT_MAX_DISTINCT", 0)
+        monkeypatch.setattr(Q, "LEAF_MAX_DISTINCT", 3)
     return request.param
 
 
@@ -62,3 +64,29 @@ def test_values_below_matches_sorted_counts(spark):
     df = spark.createDataFrame(pd.DataFrame({"v": vc.index.astype(float), "c": vc.values.astype("int64")}))
     got = values_below(df, "v", "c").toPandas().set_index("v").sort_index()
     assert (got["below"].to_numpy() == (vc.cumsum() - vc).to_numpy()).all()
+
+
+def test_narrowing_on_clustered_values_with_outliers(spark, monkeypatch):
+    # equal-width buckets of the whole range would put almost every value in
+    # one bucket; the narrowing windows re-split their own range each level
+    import orderscope.plans.quantiles as Q
+    monkeypatch.setattr(Q, "DIRECT_MAX_DISTINCT", 0)
+    monkeypatch.setattr(Q, "LEAF_MAX_DISTINCT", 50)
+    rng = np.random.default_rng(23)
+    x = np.concatenate([np.round(rng.random(4000), 6), [1e12, -1e12, 3e11]])
+    pdf = pd.DataFrame({"g": ["a"] * len(x), "x": x})
+    res = quantiles(spark.createDataFrame(pdf), "x", PROBS, ["g"]).toPandas().set_index("g")
+    assert np.array_equal(pdf["x"].quantile(PROBS).to_numpy(), res.loc["a"].to_numpy())
+    med = medians(spark.createDataFrame(pdf), "x").toPandas().to_numpy()[0, 0]
+    assert med == pdf["x"].median()
+
+
+def test_values_below_splits_large_parts(spark, monkeypatch):
+    import orderscope.plans.ranks as RK
+    monkeypatch.setattr(RK, "LEAF_MAX_DISTINCT", 20)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.round(rng.random(2000), 4), [1e9, 5e8, -1e9]])
+    vc = pd.Series(x).value_counts().sort_index()
+    df = spark.createDataFrame(pd.DataFrame({"v": vc.index.astype(float), "c": vc.values.astype("int64")}))
+    got = values_below(df, "v", "c").toPandas().set_index("v").sort_index()
+    assert (got["below"].to_numpy() == (vc.cumsum() - vc).to_numpy()).all()
