@@ -1,11 +1,14 @@
 """Cohort retention.
 
-Plan: ``sales`` is first reduced to distinct (customer, month) pairs — a
-partial aggregation, so a customer holding a third of all orders collapses
-map-side to at most one row per month.  The first month per customer comes
-from those pairs, is joined back on customer (both sides already small and
-keyed by customer), and distinct customers per (cohort, age) are then plain
-row counts.  No window over customers, no count-distinct over ``sales``.
+Plan: one aggregation keyed by customer collects the set of months the
+customer bought in.  The set is bounded by the calendar span of the data (one
+entry per month, whatever the number of orders), and it is merged map-side,
+so a customer holding a third of all orders is one short set per task before
+the shuffle.  The cohort month is the set's minimum; exploding the set gives
+every active (customer, month) with its age, already on the customer's
+partition, so there is no second shuffle and no join back.  Distinct customers
+per (cohort, age) are then plain row counts.  No window over customers, no
+count-distinct over ``sales``.
 """
 
 from __future__ import annotations
@@ -18,21 +21,22 @@ from ..functions.numeric import round_half_even
 
 
 def customer_months(sales: DataFrame) -> DataFrame:
-    """Distinct (customer_id, year_month) pairs."""
-    return sales.select("customer_id", month_start("order_date").alias("year_month")).distinct()
+    """Per customer, the set of months with an order (bounded by the calendar span)."""
+    return sales.groupBy("customer_id").agg(
+        F.collect_set(month_start("order_date")).alias("months"))
 
 
 def cohort_assignment(sales: DataFrame) -> DataFrame:
     """First purchase month per customer."""
-    return customer_months(sales).groupBy("customer_id").agg(F.min("year_month").alias("cohort_month"))
+    return sales.groupBy("customer_id").agg(F.min(month_start("order_date")).alias("cohort_month"))
 
 
 def cohort_activity(sales: DataFrame) -> DataFrame:
     """I2 + I3: every active (customer, month) with its cohort and months since it."""
-    cm = customer_months(sales)
-    first = cm.groupBy("customer_id").agg(F.min("year_month").alias("cohort_month"))
-    j = cm.join(first, "customer_id")
-    return j.withColumn("cohort_index", month_diff("year_month", "cohort_month"))
+    cm = customer_months(sales).select("customer_id", F.array_min("months").alias("cohort_month"),
+                                       F.explode("months").alias("year_month"))
+    return cm.select("customer_id", "year_month", "cohort_month",
+                     month_diff("year_month", "cohort_month").alias("cohort_index"))
 
 
 def cohort_counts(sales: DataFrame) -> DataFrame:
@@ -53,9 +57,11 @@ def cohort_retention(counts: DataFrame, digits: int = 3) -> DataFrame:
 
     Only (cohort, age) cells with buyers exist; nothing is zero-filled (S11).
     """
-    size = counts.where(F.col("cohort_index") == 0) \
-                 .select("cohort_month", F.col("customers").alias("cohort_size"))
-    j = counts.join(size, "cohort_month")
+    # the size is read from the same counts (a window over each cohort's ages,
+    # at most one row per month), so the counts are computed once
+    size = F.max(F.when(F.col("cohort_index") == 0, F.col("customers"))) \
+            .over(Window.partitionBy("cohort_month"))
+    j = counts.withColumn("cohort_size", size).where(F.col("cohort_size").isNotNull())
     r = round_half_even(F.col("customers").cast("double") / F.col("cohort_size").cast("double"), digits)
     return j.withColumn("retention", r)
 
