@@ -63,30 +63,30 @@ def quintile_edges(df: DataFrame, values: list[str]) -> DataFrame:
                    for v in values for e in EDGES])
 
 
-def _count_above(x: Column, edges: list[Column]) -> Column:
-    s = F.lit(1)
-    for e in edges:
-        s = s + F.when(x > e, F.lit(1)).otherwise(F.lit(0))
-    return s
+def _count_above(x: str, edges: list[str]) -> str:
+    return "1 + " + " + ".join(f"(CASE WHEN {x} > {e} THEN 1 ELSE 0 END)" for e in edges)
 
 
-def score_expr(x: Column, e: list[Column], reverse: bool = False) -> tuple[Column, Column]:
-    """Score and method of ``x`` given its six edge columns ``e``.
+def score_expr(value: str, edges: list[str], reverse: bool = False) -> tuple[Column, Column]:
+    """Score and method of column ``value`` given its six edge columns.
 
     ``qcut`` when the six edges are distinct; otherwise ``cut`` with five
     equal-width bins (``linspace(min, max, 6)``), a constant column scoring 3.
     Bins are right-closed: score = 1 + number of inner edges below the value.
+    Built as one SQL expression (a single call to the JVM).
     """
-    distinct = (e[0] < e[1]) & (e[1] < e[2]) & (e[2] < e[3]) & (e[3] < e[4]) & (e[4] < e[5])
-    step = (e[5] - e[0]) / F.lit(5.0)
-    cut_edges = [F.lit(float(i)) * step + e[0] for i in range(1, 5)]
+    x = f"CAST(`{value}` AS DOUBLE)"
+    e = [f"`{c}`" for c in edges]
+    distinct = " AND ".join(f"{e[i]} < {e[i + 1]}" for i in range(5))
+    step = f"(({e[5]} - {e[0]}) / 5.0D)"
+    cut_edges = [f"({float(i)}D * {step} + {e[0]})" for i in range(1, 5)]
     q = _count_above(x, e[1:5])
-    c = F.when(e[0] == e[5], F.lit(3)).otherwise(_count_above(x, cut_edges))
-    s = F.when(distinct, q).otherwise(c)
+    c = f"CASE WHEN {e[0]} = {e[5]} THEN 3 ELSE {_count_above(x, cut_edges)} END"
+    score = f"CASE WHEN {distinct} THEN {q} ELSE {c} END"
     if reverse:
-        s = F.lit(6) - s
-    method = F.when(distinct, F.lit("qcut")).otherwise(F.lit("cut"))
-    return s.cast("int"), method
+        score = f"6 - ({score})"
+    method = f"CASE WHEN {distinct} THEN 'qcut' ELSE 'cut' END"
+    return F.expr(f"CAST({score} AS INT)"), F.expr(method)
 
 
 def quintile_scores(df: DataFrame, specs: list[tuple[str, str, bool]],
@@ -100,12 +100,13 @@ def quintile_scores(df: DataFrame, specs: list[tuple[str, str, bool]],
     values = [v for v, _, _ in specs]
     edges = quintile_edges(df, values)
     j = attach_row(df, edges)  # exactly one row
-    for v, out, rev in specs:
-        s, m = score_expr(F.col(v).cast("double"), [F.col(f"{v}_{e}") for e in EDGES], rev)
-        j = j.withColumn(out, s)
+    cols = [F.col(c) for c in df.columns]
+    for v, out, rev in specs:  # one projection (each withColumn would re-analyse the plan)
+        s, m = score_expr(v, [f"{v}_{e}" for e in EDGES], rev)
+        cols.append(s.alias(out))
         if v in method_cols:
-            j = j.withColumn(method_cols[v], m)
-    return j.drop(*[f"{v}_{e}" for v in values for e in EDGES])
+            cols.append(m.alias(method_cols[v]))
+    return j.select(*cols)
 
 
 def quintile_score(df: DataFrame, value: str, out: str, reverse: bool = False,
