@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import money
+from ..plans.lookups import checked
 from ..plans.scalars import attach_row
 
 
@@ -45,7 +46,9 @@ def category_product_rollup(sales: DataFrame) -> DataFrame:
     r = sales.rollup("category", "product").agg(F.sum("cents").alias("c"),
                                                 F.grouping_id().alias("gid"))
     level = F.when(F.col("gid") == 0, "product").when(F.col("gid") == 1, "category").otherwise("total")
-    r = r.withColumn("level", level)
+    # the rollup rows (categories x products) are read three times below:
+    # write them once so ``sales`` is scanned once
+    r, _ = checked(r.withColumn("level", level))
     cat = r.where(F.col("gid") == 1).select("category", F.col("c").alias("pc"))
     tot = r.where(F.col("gid") == 3).select(F.col("c").alias("tc"))
     j = attach_row(r.join(cat, "category", "left"), tot)  # tot: one row

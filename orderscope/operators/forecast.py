@@ -24,15 +24,23 @@ from pyspark.sql import functions as F
 from ..functions.dates import month_start
 from ..functions.numeric import money
 from ..plans.scalars import attach_row
+from ..session import checkpoint_dir
 
 
 def monthly_series(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """K1: revenue per month with position ``t`` (0, 1, … over months present)."""
+    """K1: revenue per month with position ``t`` (0, 1, … over months present).
+
+    The fit, its diagnostics and the forecast each read the series several
+    times; it is written once with a reliable checkpoint (one row per month
+    and group), so ``sales`` is scanned once per forecast, not once per branch.
+    """
     by = list(by)
     m = sales.groupBy(*by, month_start("order_date").alias("year_month")).agg(F.sum("cents").alias("cents"))
     w = Window.partitionBy(*by).orderBy("year_month")
-    return m.select(*by, "year_month", F.month("year_month").alias("month"),
-                    (F.row_number().over(w) - 1).alias("t"), "cents", money("cents").alias("revenue"))
+    out = m.select(*by, "year_month", F.month("year_month").alias("month"),
+                   (F.row_number().over(w) - 1).alias("t"), "cents", money("cents").alias("revenue"))
+    checkpoint_dir(sales.sparkSession)
+    return out.checkpoint(eager=True)
 
 
 def month_dummies(series: DataFrame) -> DataFrame:

@@ -55,15 +55,18 @@ def weekend_flag(sales: DataFrame) -> DataFrame:
 def channel_samples(sales: DataFrame, rfm: DataFrame, first: str, second: str) -> DataFrame:
     """LTV of customers who *ever* ordered via each channel (samples overlap, S14).
 
-    ``sample`` is 1 for ``first`` and 2 for ``second``; two left-semi joins.
-    The member lists are distinct customer ids (a partial aggregation), so a
-    customer with a third of all orders is one row before the shuffle.
+    ``sample`` is 1 for ``first`` and 2 for ``second``.  One scan: membership
+    flags per customer come from a partial aggregation (a customer with a
+    third of all orders is one row per task before the shuffle), then one join
+    with the per-customer table; a customer in both samples yields two rows.
     """
-    def members(ch: str, k: int) -> DataFrame:
-        who = sales.where(F.col("channel") == F.lit(ch)).select("customer_id").distinct()
-        return rfm.join(who, "customer_id", "left_semi").select(
-            F.lit(k).alias("sample"), "customer_id", "monetary")
-    return members(first, 1).unionByName(members(second, 2))
+    ch = F.col("channel")
+    who = sales.where(ch.isin(first, second)).groupBy("customer_id").agg(
+        F.max(F.when(ch == F.lit(first), F.lit(1))).alias("in1"),
+        F.max(F.when(ch == F.lit(second), F.lit(2))).alias("in2"))
+    j = rfm.join(who, "customer_id")
+    out = j.select(F.explode(F.array("in1", "in2")).alias("sample"), "customer_id", "monetary")
+    return out.where(F.col("sample").isNotNull())
 
 
 def mann_whitney_stats(samples: DataFrame, value: str = "monetary") -> DataFrame:

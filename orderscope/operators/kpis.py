@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import in_years
 from ..functions.numeric import money
 from . import cohorts as I
 from . import forecast as K
@@ -21,17 +20,15 @@ def _one(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def totals(sales: DataFrame) -> DataFrame:
+def totals(sales: DataFrame, year_a: int, year_b: int) -> DataFrame:
+    """One scan, one row: total revenue, distinct customers, AOV and the cents
+    of the two compared years."""
+    y = F.year("order_date")
     return sales.agg(money(F.sum("cents")).alias("total_revenue"),
                      F.countDistinct("customer_id").alias("customers"),
-                     (F.sum("cents").cast("double") / F.count(F.lit(1)).cast("double") / F.lit(100.0)).alias("aov"))
-
-
-def year_totals(sales: DataFrame, year_a: int, year_b: int) -> DataFrame:
-    y = F.year("order_date")
-    return sales.where(in_years("order_date", year_a, year_b)).agg(
-        F.coalesce(F.sum(F.when(y == year_a, F.col("cents"))), F.lit(0)).alias("ca"),
-        F.coalesce(F.sum(F.when(y == year_b, F.col("cents"))), F.lit(0)).alias("cb"))
+                     (F.sum("cents").cast("double") / F.count(F.lit(1)).cast("double") / F.lit(100.0)).alias("aov"),
+                     F.coalesce(F.sum(F.when(y == year_a, F.col("cents"))), F.lit(0)).alias("ca"),
+                     F.coalesce(F.sum(F.when(y == year_b, F.col("cents"))), F.lit(0)).alias("cb"))
 
 
 def champions(seg: DataFrame, name: str = G.SEGMENTS[0]) -> DataFrame:
@@ -45,27 +42,24 @@ def champions(seg: DataFrame, name: str = G.SEGMENTS[0]) -> DataFrame:
 
 def overview_kpis(sales: DataFrame, seg: DataFrame, year_a: int, year_b: int, horizon: int = 6) -> DataFrame:
     """L1: revenue, YoY %, customers, AOV, Champions revenue share, forecast total."""
-    yt = year_totals(sales, year_a, year_b)
-    yoy = yt.select(((F.col("cb") - F.col("ca")).cast("double") / F.col("ca").cast("double") * F.lit(100.0))
-                    .alias("yoy_pct"))
+    t = totals(sales, year_a, year_b)
+    yoy = ((F.col("cb") - F.col("ca")).cast("double") / F.col("ca").cast("double") * F.lit(100.0)).alias("yoy_pct")
     fc = K.forecast(K.monthly_series(sales), horizon).agg(F.sum("forecast").alias("forecast_total"))
-    out = attach_row(attach_row(attach_row(totals(sales), yoy), champions(seg)), fc)
-    return out.select("total_revenue", "yoy_pct", "customers", "aov", "champions_share_pct", "forecast_total")
+    out = attach_row(attach_row(t, champions(seg)), fc)  # one row each
+    return out.select("total_revenue", yoy, "customers", "aov", "champions_share_pct", "forecast_total")
 
 
 def project_summary(sales: DataFrame, seg: DataFrame, year_a: int, year_b: int, horizon: int = 6) -> DataFrame:
     """L2: the notebook's closing table (YoY as ``b/a - 1``; month-1 retention is
     the average curve at column position 1; champion share from the rounded
     segment summary)."""
-    yt = year_totals(sales, year_a, year_b)
-    yoy = yt.select(((F.col("cb").cast("double") / F.col("ca").cast("double") - F.lit(1.0)) * F.lit(100.0))
-                    .alias("yoy_pct"))
+    t = totals(sales, year_a, year_b)
+    yoy = ((F.col("cb").cast("double") / F.col("ca").cast("double") - F.lit(1.0)) * F.lit(100.0)).alias("yoy_pct")
     curve = I.retention_curve(I.cohort_retention(I.cohort_counts(sales)))
     m1 = curve.where(F.col("position") == 1).select(F.col("avg_retention_pct").alias("month1_retention_pct"))
     ss = G.segment_summary(seg).where(F.col("segment") == F.lit(G.SEGMENTS[0])) \
           .select(F.col("customers").alias("champion_customers"), F.col("revenue_share").alias("champion_share_pct"))
     fc = K.forecast(K.monthly_series(sales), horizon).agg(F.sum("forecast").alias("forecast_total"))
-    t = totals(sales).select("total_revenue", "customers")
-    out = attach_row(attach_row(attach_row(t, yoy), m1), fc).join(F.broadcast(ss), how="left")  # ss: <= 1 row
-    return out.select("total_revenue", "yoy_pct", "month1_retention_pct", "customers", "champion_customers",
+    out = attach_row(attach_row(t, m1), fc).join(F.broadcast(ss), how="left")  # ss: <= 1 row
+    return out.select("total_revenue", yoy, "month1_retention_pct", "customers", "champion_customers",
                       "champion_share_pct", "forecast_total")

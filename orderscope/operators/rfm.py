@@ -15,6 +15,7 @@ from ..functions.numeric import money
 from ..plans.quantiles import quantiles
 from .quality import describe
 from ..plans.scalars import attach_row
+from ..session import checkpoint_dir
 
 
 def snapshot_date(sales: DataFrame) -> DataFrame:
@@ -23,25 +24,29 @@ def snapshot_date(sales: DataFrame) -> DataFrame:
 
 
 def rfm_base(sales: DataFrame) -> DataFrame:
-    """Recency (days before the snapshot), frequency (orders), monetary (revenue)."""
+    """Recency (days before the snapshot), frequency (orders), monetary (revenue).
+
+    One aggregation of ``sales`` keyed by customer, written once with a
+    reliable checkpoint (the shared folder); the snapshot is the latest of
+    the customers' last dates, read from that copy, so ``sales`` is scanned
+    once and every later branch (scores, scaling, centroids, profiles,
+    labels) reads the per-customer table.
+    """
     per = sales.groupBy("customer_id").agg(F.max("order_date").alias("last"),
                                            F.count(F.lit(1)).alias("frequency"),
                                            F.sum("cents").alias("cents"))
-    j = attach_row(per, snapshot_date(sales))  # one row
+    checkpoint_dir(sales.sparkSession)
+    per = per.checkpoint(eager=True)
+    snap = per.agg(F.date_add(F.max("last"), 1).alias("snapshot"))
+    j = attach_row(per, snap)  # one row
     return j.select("customer_id", F.datediff("snapshot", "last").alias("recency"), "frequency",
                     money("cents").alias("monetary"))
 
 
 def customer_table(sales: DataFrame) -> DataFrame:
-    """``rfm_base`` written once with a reliable checkpoint (shared folder).
-
-    Segment pipelines read the per-customer table in half a dozen branches
-    (scores, scaling, centroids, profiles, labels); the checkpoint computes it
-    from ``sales`` once and cuts the lineage.
-    """
-    from ..session import checkpoint_dir
-    checkpoint_dir(sales.sparkSession)
-    return rfm_base(sales).checkpoint(eager=True)
+    """The per-customer RFM table (its aggregation is already written once by
+    :func:`rfm_base`; the segment pipelines read it in many branches)."""
+    return rfm_base(sales)
 
 
 # pandas qcut(q=5) asks for np.linspace(0, 1, 6): note the 0.6000000000000001.

@@ -46,6 +46,8 @@ SELECT 'year' AS kind, CAST(y AS VARCHAR) AS value FROM (SELECT DISTINCT year(or
 def q_filter_values(spark, sf):
     """the dashboard's filter choices (distinct categories and years)."""
     s = load_sales(spark, sf)
-    cats = s.select(F.lit("category").alias("kind"), F.col("category").alias("value")).distinct()
-    yrs = s.select(F.lit("year").alias("kind"), F.year("order_date").cast("string").alias("value")).distinct()
-    return cats.unionByName(yrs)
+    # one scan: each row emits its (kind, value) pairs; the distinct is a
+    # partial aggregation, so repeated values collapse before the shuffle
+    pairs = F.array(F.struct(F.lit("category").alias("kind"), F.col("category").alias("value")),
+                    F.struct(F.lit("year").alias("kind"), F.year("order_date").cast("string").alias("value")))
+    return s.select(F.explode(pairs).alias("p")).select("p.kind", "p.value").distinct()
