@@ -28,19 +28,19 @@ def rfm_base(sales: DataFrame) -> DataFrame:
 
     One aggregation of ``sales`` keyed by customer, written once with a
     reliable checkpoint (the shared folder); the snapshot is the latest of
-    the customers' last dates, read from that copy, so ``sales`` is scanned
-    once and every later branch (scores, scaling, centroids, profiles,
-    labels) reads the per-customer table.
+    the customers' last dates, one value read from that copy, so ``sales`` is
+    scanned once and every later branch (scores, scaling, centroids, profiles,
+    labels) is a projection of the per-customer table.
     """
     per = sales.groupBy("customer_id").agg(F.max("order_date").alias("last"),
                                            F.count(F.lit(1)).alias("frequency"),
                                            F.sum("cents").alias("cents"))
     checkpoint_dir(sales.sparkSession)
     per = per.checkpoint(eager=True)
-    snap = per.agg(F.date_add(F.max("last"), 1).alias("snapshot"))
-    j = attach_row(per, snap)  # one row
-    return j.select("customer_id", F.datediff("snapshot", "last").alias("recency"), "frequency",
-                    money("cents").alias("monetary"))
+    # one value (a date) read from the written copy by a one-row job
+    snap = per.agg(F.date_add(F.max("last"), 1)).first()[0]
+    return per.select("customer_id", F.datediff(F.lit(snap), "last").alias("recency"), "frequency",
+                      money("cents").alias("monetary"))
 
 
 def customer_table(sales: DataFrame) -> DataFrame:
