@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import WEEKDAYS, day_name
-from ..plans.quantiles import medians, quantiles
+from ..plans.quantiles import medians, quantiles, value_counts
 from ..plans.lookups import checked, lookup_join
 from ..plans.scalars import attach_row
 
@@ -35,13 +35,19 @@ def bin_index(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     return inc
 
 
-def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = (),
+              counts: DataFrame | None = None) -> DataFrame:
     """``np.histogram(x, bins)`` per group: every bin (empty ones too) with edges,
-    count and density (``count / width / total``)."""
+    count and density (``count / width / total``).
+
+    Works on the distinct-value counts of the column (``counts``, or
+    :func:`~orderscope.plans.quantiles.value_counts` of ``df``): a bin's count
+    is the sum of its values' counts.
+    """
     keys = list(by)
-    x = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    rng = x.groupBy(*keys).agg(F.min("v").alias("lo0"), F.max("v").alias("hi0"),
-                               F.count(F.lit(1)).alias("total"))
+    vc = value_counts(df, value, keys) if counts is None else counts
+    rng = vc.groupBy(*keys).agg(F.min("v").alias("lo0"), F.max("v").alias("hi0"),
+                                F.sum("c").alias("total"))
     same = F.col("lo0") == F.col("hi0")
     rng = rng.select(*keys, "total",
                      F.when(same, F.col("lo0") - 0.5).otherwise(F.col("lo0")).alias("lo"),
@@ -49,12 +55,12 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     # one range row per group (the global case is exactly one row), computed
     # once: it feeds both the binning join and the grid of empty bins
     rng, size = checked(rng)
-    j = lookup_join(x, rng, keys, size=size)
-    counts = j.select(*keys, bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin")) \
-              .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
+    j = lookup_join(vc, rng, keys, size=size)
+    counts_ = j.select(*keys, bin_index(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"), "c") \
+               .groupBy(*keys, "bin").agg(F.sum("c").alias("count"))
     grid = rng.select(*keys, "lo", "hi", "total",
                       F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = grid.join(counts, keys + ["bin"], "left").fillna(0, ["count"])
+    out = grid.join(counts_, keys + ["bin"], "left").fillna(0, ["count"])
     lo_e = _edge(F.col("bin"), F.col("lo"), F.col("hi"), bins)
     hi_e = _edge(F.col("bin") + 1, F.col("lo"), F.col("hi"), bins)
     return out.select(*keys, "bin", lo_e.alias("bin_lo"), hi_e.alias("bin_hi"), "count",
@@ -63,11 +69,19 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
 
 
 def revenue_histogram(sales: DataFrame, bins: int = 60) -> DataFrame:
-    """60-bin order-value histogram with the overall mean and median."""
-    h = histogram(sales, "revenue", bins).select("bin", "bin_lo", "bin_hi", F.col("count").alias("orders"))
-    stats = sales.agg((F.sum("cents").cast("double") / F.count(F.lit(1)).cast("double") / F.lit(100.0))
-                      .alias("mean_revenue"))
-    med = medians(sales, "revenue", out="median_revenue")
+    """60-bin order-value histogram with the overall mean and median.
+
+    One scan of ``sales``: histogram, mean and median all come from the
+    distinct order values with their counts.  The mean is exact: ``revenue``
+    is ``cents / 100``, so ``rint(v * 100)`` gives the cents back.
+    """
+    vc = value_counts(sales, "revenue")
+    h = histogram(sales, "revenue", bins, counts=vc) \
+        .select("bin", "bin_lo", "bin_hi", F.col("count").alias("orders"))
+    cents = F.rint(F.col("v") * F.lit(100.0)).cast("bigint") * F.col("c")
+    stats = vc.agg((F.sum(cents).cast("double") / F.sum("c").cast("double") / F.lit(100.0))
+                   .alias("mean_revenue"))
+    med = medians(sales, "revenue", out="median_revenue", counts=vc)
     return attach_row(h, attach_row(stats, med))  # one row each
 
 
@@ -83,28 +97,34 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str], whis: float = 1.5) -
     q1/median/q3 by ``np.percentile``; whiskers at the most extreme values
     inside ``whis * IQR`` (falling back to q3/q1); flier count outside them.
 
-    After the quantiles, one aggregation pass gives everything else: a value
+    Everything runs on the column's distinct-value counts (one scan of
+    ``df``).  After the quantiles, one aggregation gives the rest: a value
     is above the upper whisker exactly when it is above ``q3 + whis*IQR``
     (the whisker is the largest value not above that bound) or, when the
     whisker falls back to q3, above q3; both counts are taken and the right
-    one picked (the same for the lower side).
+    one picked (the same for the lower side); counts are sums of ``c``.
     """
     keys = list(by)
-    q = quantiles(df, value, [0.25, 0.5, 0.75], keys, out=["q1", "median", "q3"], with_count=True)
+    vc = value_counts(df, value, keys)  # one scan; everything below reads it
+    q = quantiles(df, value, [0.25, 0.5, 0.75], keys, out=["q1", "median", "q3"], with_count=True,
+                  counts=vc)
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("loval", F.col("q1") - F.lit(whis) * F.col("iqr")) \
          .withColumn("hival", F.col("q3") + F.lit(whis) * F.col("iqr"))
-    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    j = lookup_join(x, q, keys)  # one row of statistics per group
-    v = F.col("_v")
+    j = lookup_join(vc, q, keys)  # one row of statistics per group
+    v, c = F.col("v"), F.col("c")
+
+    def rows_where(cond):
+        return F.coalesce(F.sum(F.when(cond, c)), F.lit(0)).cast("bigint")
+
     a = j.groupBy(*keys).agg(
         F.max(F.when(v <= F.col("hival"), v)).alias("hi_in"),
         F.min(F.when(v >= F.col("loval"), v)).alias("lo_in"),
-        F.count_if(v > F.col("hival")).alias("above_hival"),
-        F.count_if(v > F.col("q3")).alias("above_q3"),
-        F.count_if(v < F.col("loval")).alias("below_loval"),
-        F.count_if(v < F.col("q1")).alias("below_q1"),
-        *[F.max(c).alias(c) for c in ("q1", "median", "q3", "n")])
+        rows_where(v > F.col("hival")).alias("above_hival"),
+        rows_where(v > F.col("q3")).alias("above_q3"),
+        rows_where(v < F.col("loval")).alias("below_loval"),
+        rows_where(v < F.col("q1")).alias("below_q1"),
+        *[F.max(x).alias(x) for x in ("q1", "median", "q3", "n")])
     hi_falls_back = F.col("hi_in").isNull() | (F.col("hi_in") < F.col("q3"))
     lo_falls_back = F.col("lo_in").isNull() | (F.col("lo_in") > F.col("q1"))
     whi = F.when(hi_falls_back, F.col("q3")).otherwise(F.col("hi_in"))

@@ -56,16 +56,26 @@ LEAF_MAX_DISTINCT = 100_000
 _G = "_qgroup"
 
 
-def _prep(df: DataFrame, value: str, by: Sequence[str]):
-    keys = list(by) if by else [_G]
-    src = df if by else df.withColumn(_G, F.lit(0))
-    x = src.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    vc = x.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
-    # The counts feed several branches below; a reliable checkpoint in the
-    # shared checkpoint folder computes the input once and keeps the plan
-    # small when quantile plans are nested (e.g. describe over scores).
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., v, c)``: each group's distinct non-NULL values (as double) with
+    their row counts, written once with a reliable checkpoint.
+
+    A partial aggregation (a value or group holding a third of all rows is
+    collapsed map-side).  Quantiles, box statistics and histograms of the
+    same column can all start from one such table, so the input is scanned
+    once.
+    """
+    x = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    vc = x.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("c"))
     checkpoint_dir(df.sparkSession)
-    vc = vc.checkpoint(eager=True)
+    return vc.checkpoint(eager=True)
+
+
+def _prep(df: DataFrame | None, value: str, by: Sequence[str], counts: DataFrame | None = None):
+    vc = value_counts(df, value, by) if counts is None else counts
+    keys = list(by) if by else [_G]
+    if not by:
+        vc = vc.withColumn(_G, F.lit(0))
     g = vc.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     return keys, vc, g
 
@@ -168,26 +178,27 @@ def _max_distinct(vc: DataFrame, keys: list[str]) -> int:
     return int(row[0] or 0)
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+def quantiles(df: DataFrame | None, value: str, probs: Sequence[float], by: Sequence[str] = (),
               out: Sequence[str] | None = None, buckets: int = BUCKETS,
-              with_count: bool = False) -> DataFrame:
+              with_count: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Exact ``np.percentile(x, 100*p, method='linear')`` per group.
 
     Returns one row per group: ``by...`` and one column per prob (named ``out``).
-    NULL values are ignored (pandas ``quantile`` skips NaN).
+    NULL values are ignored (pandas ``quantile`` skips NaN).  ``counts``: a
+    :func:`value_counts` table of the same column to start from.
     """
-    return _quantiles(df, value, probs, by, out, buckets, with_count, median=False)
+    return _quantiles(df, value, probs, by, out, buckets, with_count, median=False, counts=counts)
 
 
-def medians(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "median",
-            buckets: int = BUCKETS, with_count: bool = False) -> DataFrame:
+def medians(df: DataFrame | None, value: str, by: Sequence[str] = (), out: str = "median",
+            buckets: int = BUCKETS, with_count: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Exact ``np.median`` per group (pandas ``groupby().median()``)."""
-    return _quantiles(df, value, [0.5], by, [out], buckets, with_count, median=True)
+    return _quantiles(df, value, [0.5], by, [out], buckets, with_count, median=True, counts=counts)
 
 
-def _quantiles(df, value, probs, by, out, buckets, with_count, median):
+def _quantiles(df, value, probs, by, out, buckets, with_count, median, counts=None):
     out = list(out) if out else [f"q{i}" for i in range(len(probs))]
-    keys, vc, g = _prep(df, value, by)
+    keys, vc, g = _prep(df, value, by, counts)
     tg = _targets(g, keys, probs, median)
     if _max_distinct(vc, keys) <= DIRECT_MAX_DISTINCT:
         hit = _locate_direct(vc, tg, keys)

@@ -74,6 +74,7 @@ def test_sales_is_scanned_once(spark, reg):
     # reads sales again
     for name in ["revenue_forecast", "forecast_by_category", "forecast_diagnostics", "overview_kpis",
                  "category_product_rollup", "rfm_scores", "channel_ltv", "filter_values",
-                 "cohort_retention", "pearson_freq_ltv"]:
+                 "cohort_retention", "pearson_freq_ltv", "revenue_histogram", "category_boxplot",
+                 "weekend_density"]:
         p = _plan(reg[name].run(spark, SF_SMALL))
         assert p.count("FileScan parquet") <= 1, name
