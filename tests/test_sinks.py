@@ -14,3 +14,15 @@ def test_write_report_round_trip(spark):
     assert records(df.orderBy("k"), 5)[0] == {"k": 1, "s": "a", "v": 2.5}
     with pytest.raises(ValueError):
         records(df, 1)
+
+
+def test_build_sales_skip_equals_imputation_path(spark, monkeypatch):
+    # with complete prices the imputation step is an exact no-op: skipping it
+    # must give the same rows as running it
+    from orderscope.sources import sales as S
+    from .conftest import SF_SMALL
+    assert S.prices_complete(spark, SF_SMALL)
+    fast = sorted(map(tuple, S.build_sales(spark, SF_SMALL).collect()))
+    monkeypatch.setattr(S, "prices_complete", lambda spark, sf: False)
+    full = sorted(map(tuple, S.build_sales(spark, SF_SMALL).collect()))
+    assert fast == full and len(fast) > 0
