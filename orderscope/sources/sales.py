@@ -178,6 +178,11 @@ def impute_prices(df: DataFrame) -> DataFrame:
     size-checked broadcast (:func:`~orderscope.plans.lookups.lookup_join`), so
     the rows are never shuffled by a handful of category keys.
     """
+    # The rows are read twice (medians, then filling): write them once with a
+    # reliable checkpoint so their lineage (dedup, joins) runs once and a lost
+    # executor never re-runs it.
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
     # Only NULL rows read their category's median, so taking the medians of
     # every category gives the same rows and needs no pre-pass to find the
     # categories with gaps (build_sales skips imputation when none can exist).
