@@ -17,6 +17,7 @@ from ..functions.numeric import dec, exact_double, money
 from ..plans.quantiles import medians
 from ..plans.ranks import values_below
 from ..plans.scalars import attach_row
+from ..session import checkpoint_dir
 
 ALPHA = 0.05
 
@@ -76,6 +77,10 @@ def mann_whitney_stats(samples: DataFrame, value: str = "monetary") -> DataFrame
     two sample medians.  Rank sums are exact (decimal) and computed per
     distinct value: ``R1 = Σ n1(v)·(below(v) + (n(v)+1)/2)``.
     """
+    # the samples (customer-level rows) feed both the rank counts and the
+    # medians: write them once so the membership scan of sales runs once
+    checkpoint_dir(samples.sparkSession)
+    samples = samples.checkpoint(eager=True)
     vc = samples.groupBy(value).agg(
         F.count_if(F.col("sample") == 1).alias("c1"),
         F.count_if(F.col("sample") == 2).alias("c2")).withColumn("c", F.col("c1") + F.col("c2"))
