@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,19 @@ ARROW_CONF = {
 }
 
 
+#: Where this package lies, for Python workers on the same machine or mount; on
+#: other clusters the package is installed or sent with ``--py-files``.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def tune(spark: SparkSession) -> None:
-    """Set the Arrow batch bounds the Python stages rely on."""
+    """Set the Arrow batch bounds the Python stages rely on, and their import path."""
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [ROOT])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
