@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, near_dedup, wavelet
+from . import byte_bpe, decontaminate, licenses, near_dedup, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hits.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, more = F.col("licenses.places.label"), F.col("licenses.blocks.label")
+    return found.select(
+        "doc_id", "licenses.n_words", F.size("licenses.places").cast("long").alias("n_base"),
+        F.array_min("licenses.places.word").alias("first_word"), F.array_max("licenses.places.word").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(
+            F.coalesce(F.array_max("licenses.blocks.containment"), F.lit(0.0))).alias("score"))
