@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, licenses, near_dedup, wavelet
+from . import byte_bpe, decontaminate, licenses, near_dedup, quality, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
         F.when(F.size(base) > 0, 1.0).otherwise(
             F.coalesce(F.array_max("licenses.blocks.containment"), F.lit(0.0))).alias("score"))
+
+
+@query("op2_pu_quality")
+def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
