@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, licenses, near_dedup, quality, wavelet
+from . import byte_bpe, decontaminate, licenses, line_rules, near_dedup, quality, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,40 @@ def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, model)
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score",
                          (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
+_BOILERPLATE = " OR ".join(f"contains(lower(x), '{p}')" for p in (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript",
+    "click here", "subscribe to our", "sign up for", "powered by", "lorem ipsum", "skip to content", "back to top"))
+
+_OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             string_split(t, chr(10)) AS l FROM d),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
+        FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM win, (SELECT unnest([0, 1, 2]) AS k) WHERE n >= 2 GROUP BY r),
+c AS (SELECT w.*, coalesce(rep.n, 0) AS n_repeat_words,
+  list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines,
+  list_filter(l, lambda x: NOT (length(x) > 0 AND (
+    length(regexp_replace(x, '[^|»›•]+', '', 'g')) >= 3
+    OR 10 * length(regexp_replace(x, '[^#*$%&|<>{{}}~^=_+\\]+', '', 'g')) > length(x)
+    OR regexp_matches(x, '(?s)[!?]{{2}}.*[^!?][!?]{{2,}}.*[^!?][!?]{{2}}')
+    OR (NOT regexp_matches(x, '[.,;:!?…。，！？]') AND
+        regexp_matches(x, '^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{9}}[^\x20\x09-\x0D]'))
+    OR {_BOILERPLATE}))) AS lines_left
+  FROM w LEFT JOIN rep USING (r)),
+b AS (SELECT *, len(w) < 50 OR 100 * n_repeat_words > 50 * len(w) AS base_failed FROM c)
+SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND 100 * length(array_to_string(lines_left, '')) >= 50 * length(array_to_string(l, '')) AS kept
+FROM b"""
+
+
+@query("op4_line_rules", _OP4_SQL)
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_rules.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines",
+                        "rules.n_repeat_words", "rules.base_failed", "rules.kept")
