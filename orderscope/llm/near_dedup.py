@@ -14,17 +14,17 @@ connected component, and the document with the smallest id stays.
 3. Bands of registers key buckets.  Every bucket links its members to its
    smallest one (the hub), so a bucket of k members gives k - 1 pairs.
 4. Pairs are rated by the joint likelihood of both sketches and their known set
-   sizes; those far below the threshold go (``MARGIN``, over five standard
+   sizes; those far below the threshold go (``MARGIN``, over four standard
    errors), the rest is verified on the full sets.  Each member is first held
    against its most similar hub; other pairs follow only if the two are still in
    different components.
-5. The rest of a bucket is exact: once hubs are done, a link can only be missing
-   between members of different components, so every member outside the
-   bucket's largest component is rated against all others of the bucket.  If
-   more than ``SPLIT`` members are outside, the bucket is first divided by
-   each member's other bands (a linked pair shares a further band but for about
-   1e-5), at most ``LEVELS`` times, and then worked off whole; nothing is
-   capped or dropped.
+5. The rest is exact: once hubs are done, a link can only be missing between
+   members of different components of a bucket, one of them outside the bucket's
+   largest.  The shingles of the members of such mixed buckets are counted; a pair
+   needs n p <= m <= n / p and an intersection of p (n + m) / (1 + p), so a member
+   of which less is shared with anyone is in no such pair (the bound of a prefix
+   filter).  In a crowd of documents that share much, but too little, few pairs
+   are left to rate; nothing is capped or dropped.
 
 At similarity 0.75 a band agrees with probability 0.75^4; all 32 miss a pair with
 probability 5e-6, and less above.
@@ -56,8 +56,7 @@ REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate and largest register.
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: Pairs rated below threshold - MARGIN are not verified.
-MARGIN = 0.2
-SPLIT, LEVELS = 32, 3
+MARGIN = 0.16
 
 _rng = np.random.default_rng(textvec.SEED + 10)
 _FACTOR = _rng.integers(1, 2**63, REGISTERS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -183,6 +182,7 @@ class _Links:
 
     def __init__(self, texts: DataFrame, reps: DataFrame, percent: int):
         self.texts, self.reps, self.percent = texts, reps, percent
+        self.sizes = reps.groupBy("id").agg(F.min("n").alias("n"))
         self.sets: list[DataFrame] = []
         self.labels: DataFrame | None = None
 
@@ -206,20 +206,23 @@ class _Links:
         pairs = pairs.withColumn("rating", rating("ra", "rb", "na", "nb"))
         return pairs.where(F.col("rating") >= self.percent / 100 - MARGIN).select("a", "b", "na", "nb", "rating")
 
-    def join(self, pairs: DataFrame) -> None:
-        """Verify the rated pairs on full sets and merge the components that they link."""
-        if is_empty(pairs):
-            return
-        need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        """(id, set) of at least these ids; sets are made once and kept as files."""
         for old in self.sets:
-            need = need.join(old.select("id"), "id", "left_anti")
-        need = written(need, "dedup-need")
-        if not is_empty(need):
-            texts = self.texts.join(need, "id", "left_semi")
-            self.sets.append(written(texts.select("id", set_bytes("text").alias("set")), "dedup-sets"))
+            ids = ids.join(old.select("id"), "id", "left_anti")
+        ids = written(ids.distinct(), "dedup-need")
+        texts = self.texts.join(ids, "id", "left_semi")
+        self.sets.append(written(texts.select("id", set_bytes("text").alias("set")), "dedup-sets"))
         sets = self.sets[0]
         for more in self.sets[1:]:
             sets = sets.union(more)
+        return sets
+
+    def join(self, pairs: DataFrame) -> None:
+        """Verify the rated pairs on full sets and merge the components that they link."""
+        if is_empty(pairs):
+            return
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         full = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         full = full.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         full = full.withColumn("both", common("sa", "sb"))
@@ -248,8 +251,8 @@ def _hubs(members: DataFrame, links: _Links) -> None:
 
 
 def _mixed(members: DataFrame, links: _Links) -> DataFrame:
-    """Members of the buckets that hold several components: key, id, label, ``main``
-    (label of the bucket's largest component) and ``outside`` (members not in it)."""
+    """Members of the buckets that hold several components: key, id, label and
+    ``main`` (label of the bucket's largest component)."""
     if links.labels is None:
         named = members.select("key", "id", F.col("id").alias("label"))
     else:
@@ -258,9 +261,39 @@ def _mixed(members: DataFrame, links: _Links) -> DataFrame:
     named = written(named, "dedup-named")
     parts = named.groupBy("key", "label").count()
     of_key = parts.groupBy("key").agg(
-        F.sum("count").alias("size"), F.max(F.struct("count", F.expr("-label").alias("l"))).alias("top"))
-    of_key = of_key.select("key", F.expr("-top.l").alias("main"), (F.col("size") - F.col("top.count")).alias("outside"))
-    return written(named.join(of_key.where("outside > 0"), "key"), "dedup-mixed")
+        F.count("*").alias("labels"), F.max(F.struct("count", F.expr("-label").alias("l"))).alias("top"))
+    of_key = of_key.where("labels > 1").select("key", F.expr("-top.l").alias("main"))
+    return written(named.join(of_key, "key"), "dedup-mixed")
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = batch.column(1).to_pylist()
+        size = np.array([len(x) // 8 for x in raw], np.int64)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(np.asarray(batch.column(0), np.int64), size)),
+            pa.array(np.frombuffer(b"".join(raw), np.int64))], ["id", "shingle"])
+
+
+def _rest(mixed: DataFrame, links: _Links) -> DataFrame:
+    """Pairs (a, b) of different components of a bucket, one end outside its largest,
+    whose intersection can be large enough."""
+    every = mixed.select("id").distinct()
+    outside = mixed.where("label != main").select("id").distinct()
+    sets = links.sets_of(every).dropDuplicates(["id", "set"])
+    shingles = sets.join(every, "id", "left_semi").mapInArrow(_rows_of, "id long, shingle long")
+    shared = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select("shingle")
+    own = sets.join(outside, "id", "left_semi").mapInArrow(_rows_of, "id long, shingle long")
+    most = own.join(shared, "shingle").groupBy("id").agg(F.count("*").alias("most")).join(links.sizes, "id")
+    most = written(most.where(100 * F.col("most") >= links.percent * F.col("n")), "dedup-open")
+    one = mixed.where("label != main").join(most, "id").select("key", "id", "label", "n", "most")
+    other = mixed.join(links.sizes, "id").select(
+        "key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    p = links.percent
+    enough = (100 + p) * F.col("most") >= p * (F.col("n") + F.col("nb"))
+    ratio = 100 * F.least("n", "nb") >= p * F.greatest("n", "nb")
+    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("label") != F.col("lb")) & enough & ratio)
+    return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
 def _members(keyed: DataFrame) -> DataFrame:
@@ -282,25 +315,11 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
 
     bands = reps.select("id", band_keys("regs").alias("keys"))
     members = _members(bands.select("id", F.explode("keys").alias("key")).distinct())
-    for level in range(LEVELS + 1):
-        if is_empty(members):
-            break
+    if not is_empty(members):
         _hubs(members, links)
         mixed = _mixed(members, links)
-        now = mixed if level == LEVELS else mixed.where(F.col("outside") <= SPLIT)
-        one, other = now.alias("one"), now.select("key", F.col("id").alias("b"), F.col("label").alias("lb")).alias("other")
-        pairs = (one.where("label != main").join(other, "key").where("label != lb")
-                 .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
-        links.join(written(links.rated(pairs), "dedup-rated"))
-        if level == LEVELS:
-            break
-        large = mixed.where(F.col("outside") > SPLIT).select("key", "id")
-        if is_empty(large):
-            break
-        finer = (large.withColumnRenamed("key", "above").join(bands, "id")
-                 .select("above", "id", F.explode("keys").alias("band")).where("band != above")
-                 .select("id", F.xxhash64("above", "band").alias("key")).distinct())
-        members = _members(finer)
+        if not is_empty(mixed):
+            links.join(written(links.rated(_rest(mixed, links)), "dedup-rated"))
 
     rows = sk.select("id", *set_key).join(classes, set_key, "left")
     if links.labels is None:
