@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, licenses, line_rules, near_dedup, quality, wavelet
-from .common import table
+from . import byte_bpe, chat, decontaminate, licenses, line_rules, near_dedup, quality, url_rules, wavelet
+from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,40 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_rules.clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines",
                         "rules.n_repeat_words", "rules.base_failed", "rules.kept")
+
+
+_OP3_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(url_encode(role)) + 1 + CASE WHEN role = 'assistant' THEN 7 ELSE 13 END
+        + length(regexp_replace(text, '(<|\[)(\\*)(/?s>|/?INST\]|\|)', '\1\\\2\3', 'g')) AS chars FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@query("op3_chat_format", _OP3_SQL)
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), control.alias("text"))
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    talks = talks.withColumn("parts", chat.text_parts(F.col("text")))
+    back = chat.read_back(written(chat.format_conversations(talks), "chat"))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    under = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.char_length(under).cast("long").alias("loss_chars"), F.sha2(under, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op9_url_rules")
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
