@@ -3,24 +3,72 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run``
 writes each result as Parquet in the shared folder and reads it back as the next
 stage's documents.  All stages but the last keep the columns of ``documents``.
+
+1. quality classifier: texts scored below ``quality.ACCEPT`` go;
+2. quality rules: lines that fail a rule are removed (``text`` and ``n_chars``
+   change), documents that are rejected go;
+3. near-duplicates: the document with the smallest id of each group stays; rows
+   that repeat an id are one document; rows without an id stay;
+4. decontamination: contaminated documents go;
+5. byte-level BPE: ``ids`` (little-endian unsigned 32-bit) of each whole text.
+
+Null texts are empty texts: the rules reject them.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orderscope.llm import byte_bpe
+from orderscope.llm import byte_bpe, decontaminate, line_rules, near_dedup, quality
 from orderscope.llm.common import table, tune, written
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the quality model accepts."""
+    tune(spark)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, out="_score").where(F.col("_score") >= quality.ACCEPT).drop("_score")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes failing lines, and documents that fail or lose too much."""
+    found = line_rules.clean(docs, out="_rules").where("_rules.kept")
+    found = found.withColumn("text", F.col("_rules.text"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).drop("_rules")
+
+
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates."""
+    tune(spark)
+    kept = written(near_dedup.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id")
+                   .agg(F.count("*").alias("rows")), "kept")
+    once, again = kept.where("rows = 1").select("doc_id"), kept.where("rows > 1").select("doc_id")
+    return (docs.join(once, "doc_id", "left_semi")
+            .union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+            .union(docs.where("doc_id is null")).select(docs.columns))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that are not contaminated by the benchmark."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out="_hits")
+    return found.where(~decontaminate.contaminated("_hits")).drop("_hits")
+
+
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``ids`` (little-endian unsigned 32-bit) of each whole text."""
+    """Adds ``ids`` of each whole text."""
     tune(spark)
     return byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("byte-level BPE", encoding)]
+STAGES = [
+    ("quality classifier", classifier),
+    ("quality rules", rules),
+    ("near-duplicates", duplicates),
+    ("decontamination", benchmark),
+    ("byte-level BPE", encoding),
+]
 
 #: SQL cannot express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
