@@ -16,11 +16,12 @@ Documents are dealt out by ranges of their ids and sorted inside each range; a
 task holds one shard at most (``SHARD_TOKENS``, and at least one document).
 
 Encoding: no token of the vocabulary spans white space, which its splitter drops,
-and neither NFC nor lower-casing acts across a space or a line feed.  So a text
-is cut at those two, and each distinct piece of a batch goes to the tokenizers
-library once; the ids of the whole text are those of its pieces in order.
-Pieces of characters below U+0180 need no normaliser beyond lower-casing; they
-are split by the tokenizer's pattern and each distinct word goes to its model.
+and neither NFC nor lower-casing acts across ASCII white space.  So a text is cut
+there, and each distinct piece of a batch goes to the tokenizers library once; the
+ids of the whole text are those of its pieces in order.  Pieces of characters
+below U+0180 need no normaliser beyond lower-casing; they are split by the
+tokenizer's pattern and each distinct word goes to its model.  Pieces are told
+apart by a hash and then compared byte by byte.
 
 Defined results: null and empty texts have the end id only; repeated rows are
 written each time, those of one id in text order; null ids come first; an empty
@@ -42,13 +43,15 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textvec
 from .common import shared_path, written
 from .files import opened, own_name
 
 MAGIC = b"OSWM0001"
 BLOCK = 64  # bytes between stored ranks
 SHARD_TOKENS = 1 << 24
-MEMO_ENTRIES = 400_000
+#: Pieces and words whose ids a worker keeps; the rest is encoded again.
+MEMO_ENTRIES, MEMO_WORDS = 800_000, 400_000
 
 
 class WaveletMatrix:
@@ -207,50 +210,88 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.levels = max(1, (self.tokenizer.get_vocab_size(True) - 1).bit_length())
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
 
         self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= MEMO_ENTRIES:
+            if len(self.words) >= MEMO_WORDS:
                 self.words.clear()
-            tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_LEVEL))
-            got = self.words[word] = array("I", [t.id for t in tokens]).tobytes()
+            plain = word.isascii() and word.isprintable()
+            level = word if plain else word.encode().decode("latin-1").translate(BYTE_LEVEL)
+            got = self.words[word] = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
         return got
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        memo = self.memo
-        new = [p for p in pieces if p not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                new = pieces
-            rare = []
-            for p in new:
-                if PLAIN(p):
-                    memo[p] = b"".join([self._word(w) for w in WORD(p.lower())])
+    def _plain(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces of plain texts, given with A-Z folded."""
+        out = list(map(self.memo.get, pieces))
+        for k, piece in enumerate(pieces):
+            if out[k] is None:
+                text = piece.decode()
+                if text.isascii() and text.isalpha():
+                    out[k] = self._word(text)
                 else:
-                    rare.append(p)
-            for p, e in zip(rare, self.tokenizer.encode_batch(rare, add_special_tokens=False), strict=True):
-                memo[p] = array("I", e.ids).tobytes()
-        return [memo[p] for p in pieces]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and their number for each text."""
+                    out[k] = b"".join([self._word(w) for w in WORD(text.lower())])
+                if len(self.memo) >= MEMO_ENTRIES:
+                    self.memo.clear()
+                self.memo[piece] = out[k]
+        return out
+
+    def _plain_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and their number for each text; each distinct piece is encoded once."""
+        w = textvec.words(pa.array(texts, pa.string()), textvec.SPACED)
+        if not len(w.hash):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        folded = textvec.FOLD[w.buf]
+        _, first, code = np.unique(w.hash, return_index=True, return_inverse=True)
+        size = w.end - w.start
+        own, other = _runs(w.start, size), _runs(w.start[first][code], size)
+        if not (size == size[first][code]).all() or not (folded[own] == folded[other]).all():
+            return self._any_texts(texts)  # two pieces of one hash
+        raw = folded.tobytes()
+        ids = self._plain([raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)])
+        n = np.array([len(x) for x in ids], np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)[_runs((np.cumsum(n) - n)[code], n[code])]
+        ends = np.concatenate([[0], np.cumsum(n[code])])
+        return flat, np.diff(ends[w.first])
+
+    def _any_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any texts, piece by piece."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         number: dict[str, int] = {}
         code = np.array([number.setdefault(p, len(number)) for p in chain.from_iterable(cut)], np.int64)
-        ids = self._pieces(list(number))
-        size = np.array([len(x) for x in ids], np.int64) // 4
-        start = np.cumsum(size) - size
-        lens = size[code]
-        ends = np.cumsum(lens)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start[code] - (ends - lens), lens)
-        pieces = np.cumsum([len(c) for c in cut])
-        edge = np.concatenate([[0], ends])[np.concatenate([[0], pieces])]
-        return np.frombuffer(b"".join(ids), np.uint32)[at], np.diff(edge)
+        rare = [p for p in number if not PLAIN(p)]
+        found = dict(zip(rare, self.tokenizer.encode_batch(rare, add_special_tokens=False), strict=True))
+        ids = [array("I", found[p].ids).tobytes() if p in found else b"".join([self._word(w) for w in WORD(p.lower())])
+               for p in number]
+        n = np.array([len(x) for x in ids], np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)[_runs((np.cumsum(n) - n)[code], n[code])]
+        ends = np.concatenate([[0], np.cumsum(n[code])])
+        return flat, np.diff(ends[np.concatenate([[0], np.cumsum([len(c) for c in cut])])])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and their number for each text."""
+        plain = np.array([PLAIN(t) is not None for t in texts], bool)
+        if plain.all():
+            return self._plain_texts(texts)
+        parts = {}
+        for kind, encode in ((True, self._plain_texts), (False, self._any_texts)):
+            parts[kind] = encode([t for t, p in zip(texts, plain, strict=True) if p == kind])
+        counts = np.empty(len(texts), np.int64)
+        counts[plain], counts[~plain] = parts[True][1], parts[False][1]
+        out = np.empty(int(counts.sum()), np.uint32)
+        mine = np.repeat(plain, counts)
+        out[mine], out[~mine] = parts[True][0], parts[False][0]
+        return out, counts
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all runs start, start + 1, ... of the given sizes, joined."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -296,14 +337,13 @@ def write(df: DataFrame, path: str, end_id: int, id: str = "doc_id", text: str =
         for batch in batches:
             part = batch.column(2)[0].as_py() if part is None and len(batch) else part
             texts = batch.column(1).fill_null("")
-            for lo in range(0, len(batch), 200):
-                own, n = enc.encode(texts[lo:lo + 200].to_pylist())
-                tokens.append(_with_end(own, n, end_id))
-                counts.append(n + 1)
-                ids += batch.column(0)[lo:lo + 200].to_pylist()
-                held += len(tokens[-1])
-                if held >= shard_tokens:
-                    yield flush()
+            own, n = enc.encode(texts.to_pylist())
+            tokens.append(_with_end(own, n, end_id))
+            counts.append(n + 1)
+            ids += batch.column(0).to_pylist()
+            held += len(tokens[-1])
+            if held >= shard_tokens:
+                yield flush()
         if ids:
             yield flush()
 

@@ -70,12 +70,12 @@ def test_query_on_all_documents(spark, library):
 
 def test_shards_nulls_repeats_and_empty(spark):
     tune(spark)
-    df = spark.createDataFrame([(5, "b c", 0), (2, None, 0), (None, "z", 0), (2, "", 0), (5, "a", 0)] * 200,
+    df = spark.createDataFrame([(5, "b c", 0), (2, None, 0), (None, "z", 0), (2, "", 0), (5, "a", 0)] * 400,
                                "doc_id long, text string, start int")
     manifest = W.write(df, PATH, end_id=2, shard_tokens=20)
     assert manifest.count() > 2
     rows = sorted(((r.start, r.doc_id, len(r.ids) // 4) for r in W.read(manifest).collect()))
-    assert [r[1] for r in rows] == [None] * 200 + [2] * 400 + [5] * 400
+    assert [r[1] for r in rows] == [None] * 400 + [2] * 800 + [5] * 800
     assert all(a[0] + a[2] == b[0] for a, b in zip(rows, rows[1:], strict=False)) and rows[0][0] == 0
     empty = W.read(W.write(df.limit(0), PATH, end_id=2))
     assert empty.columns == ["doc_id", "start", "ids"] and empty.count() == 0
