@@ -20,11 +20,10 @@ connected component, and the document with the smallest id stays.
    different components.
 5. The rest is exact: once hubs are done, a link can only be missing between
    members of different components of a bucket, one of them outside the bucket's
-   largest.  The shingles of the members of such mixed buckets are counted; a pair
-   needs n p <= m <= n / p and an intersection of p (n + m) / (1 + p), so a member
-   of which less is shared with anyone is in no such pair (the bound of a prefix
-   filter).  In a crowd of documents that share much, but too little, few pairs
-   are left to rate; nothing is capped or dropped.
+   largest.  A pair needs an intersection of p (n + m) / (1 + p); cells of the
+   hash range (``CELLS`` bits) that only one of both occupies bound it from above by
+   (n + m - cells) / 2, inside the join.  In a crowd of documents that share much,
+   but too little, few pairs pass; nothing is capped or dropped.
 
 At similarity 0.75 a band agrees with probability 0.75^4; all 32 miss a pair with
 probability 5e-6, and less above.
@@ -57,6 +56,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: Pairs rated below threshold - MARGIN are not verified.
 MARGIN = 0.16
+#: Cells of the hash range that bound an intersection from above.
+CELLS = 2048
 
 _rng = np.random.default_rng(textvec.SEED + 10)
 _FACTOR = _rng.integers(1, 2**63, REGISTERS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,7 +183,6 @@ class _Links:
 
     def __init__(self, texts: DataFrame, reps: DataFrame, percent: int):
         self.texts, self.reps, self.percent = texts, reps, percent
-        self.sizes = reps.groupBy("id").agg(F.min("n").alias("n"))
         self.sets: list[DataFrame] = []
         self.labels: DataFrame | None = None
 
@@ -266,33 +266,41 @@ def _mixed(members: DataFrame, links: _Links) -> DataFrame:
     return written(named.join(of_key, "key"), "dedup-mixed")
 
 
-def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = batch.column(1).to_pylist()
-        size = np.array([len(x) // 8 for x in raw], np.int64)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.repeat(np.asarray(batch.column(0), np.int64), size)),
-            pa.array(np.frombuffer(b"".join(raw), np.int64))], ["id", "shingle"])
+_CELLS = T.StructType([T.StructField("n", T.LongType()), *[T.StructField(f"c{i}", T.LongType()) for i in range(CELLS // 64)]])
+
+
+@F.arrow_udf(_CELLS)
+def cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Size of a set and which of ``CELLS`` cells of the hash range it occupies, as bits."""
+    for arr in batches:
+        bits = np.zeros((len(arr), CELLS), bool)
+        size = []
+        for k, x in enumerate(arr):
+            own = np.frombuffer(x.as_buffer(), np.uint64)
+            bits[k, (own % np.uint64(CELLS)).astype(np.int64)] = True
+            size.append(len(own))
+        longs = np.packbits(bits, axis=1, bitorder="little").view(np.int64).reshape(len(arr), CELLS // 64)
+        yield pa.StructArray.from_arrays(
+            [pa.array(size, pa.int64()), *[pa.array(np.ascontiguousarray(longs[:, i])) for i in range(CELLS // 64)]],
+            _CELLS.names)
 
 
 def _rest(mixed: DataFrame, links: _Links) -> DataFrame:
     """Pairs (a, b) of different components of a bucket, one end outside its largest,
     whose intersection can be large enough."""
-    every = mixed.select("id").distinct()
-    outside = mixed.where("label != main").select("id").distinct()
-    sets = links.sets_of(every).dropDuplicates(["id", "set"])
-    shingles = sets.join(every, "id", "left_semi").mapInArrow(_rows_of, "id long, shingle long")
-    shared = shingles.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1").select("shingle")
-    own = sets.join(outside, "id", "left_semi").mapInArrow(_rows_of, "id long, shingle long")
-    most = own.join(shared, "shingle").groupBy("id").agg(F.count("*").alias("most")).join(links.sizes, "id")
-    most = written(most.where(100 * F.col("most") >= links.percent * F.col("n")), "dedup-open")
-    one = mixed.where("label != main").join(most, "id").select("key", "id", "label", "n", "most")
-    other = mixed.join(links.sizes, "id").select(
-        "key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    p = links.percent
-    enough = (100 + p) * F.col("most") >= p * (F.col("n") + F.col("nb"))
-    ratio = 100 * F.least("n", "nb") >= p * F.greatest("n", "nb")
-    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("label") != F.col("lb")) & enough & ratio)
+    sets = links.sets_of(mixed.select("id").distinct())
+    known = written(sets.select("id", cells("set").alias("x")).select("id", "x.*").distinct(), "dedup-cells")
+    names = [f"c{i}" for i in range(CELLS // 64)]
+    one = mixed.where("label != main").join(known, "id").select("key", "id", "label", "n", *names)
+    other = mixed.join(known, "id").select(
+        "key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"),
+        *[F.col(c).alias(f"d{c[1:]}") for c in names])
+
+    # cells that only one of both has: no more than the sets' symmetric difference
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"d{c[1:]}"))) for c in names), F.lit(0))
+    p, both = links.percent, F.col("n") + F.col("nb")
+    enough = (100 + p) * (both - differ) >= 2 * p * both
+    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("label") != F.col("lb")) & enough)
     return pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
 
 
