@@ -23,10 +23,6 @@ def month_start(d) -> Column:
     return F.trunc(_c(d), "MM")
 
 
-def month_label(d) -> Column:
-    return F.date_format(_c(d), "yyyy-MM")
-
-
 def quarter_label(d) -> Column:
     """``2024Q1`` (Period[Q] as string)."""
     return F.concat(F.year(_c(d)).cast("string"), F.lit("Q"), F.quarter(_c(d)).cast("string"))
@@ -37,11 +33,6 @@ def iso_week(d) -> Column:
     return F.weekofyear(_c(d))
 
 
-def weekday_index(d) -> Column:
-    """0 = Monday … 6 = Sunday (pandas ``dayofweek``)."""
-    return F.weekday(_c(d))
-
-
 def day_name(d) -> Column:
     return F.date_format(_c(d), "EEEE")
 

@@ -27,11 +27,6 @@ def stable(x, digits: int = 6) -> Column:
     return round_half_even(x, digits)
 
 
-def to_cents(amount) -> Column:
-    """Money as exact integer cents: ``bigint(rint(amount * 100))``."""
-    return F.rint(_c(amount) * F.lit(100.0)).cast("bigint")
-
-
 def line_cents(price, qty) -> Column:
     """Cents of ``round(price * qty, 2)`` with NumPy's half-even rule."""
     return F.rint(_c(price) * _c(qty).cast("double") * F.lit(100.0)).cast("bigint")
@@ -47,10 +42,6 @@ def ratio(num, den) -> Column:
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
 
 
-def pct(num, den) -> Column:
-    return ratio(num, den) * F.lit(100.0)
-
-
 def lerp(a, b, t) -> Column:
     """NumPy's two-sided linear interpolation (``numpy.lib._lerp``).
 

@@ -21,9 +21,13 @@ from ..functions.numeric import round_half_even
 
 
 def customer_months(sales: DataFrame) -> DataFrame:
-    """Per customer, the set of months with an order (bounded by the calendar span)."""
-    return sales.groupBy("customer_id").agg(
-        F.collect_set(month_start("order_date")).alias("months"))
+    """Per customer, the months with an order and the first of them.
+
+    Distinct (customer, month) pairs by a hash aggregation with map-side combine;
+    the second aggregation is by customer over those pairs (at most one row a month).
+    """
+    pairs = sales.select("customer_id", month_start("order_date").alias("year_month")).distinct()
+    return pairs.groupBy("customer_id").agg(F.collect_list("year_month").alias("months"))
 
 
 def cohort_assignment(sales: DataFrame) -> DataFrame:
@@ -45,13 +49,27 @@ def cohort_counts(sales: DataFrame) -> DataFrame:
                                  .agg(F.count(F.lit(1)).alias("customers"))
 
 
-def retention_grid(counts: DataFrame, ages: int = 13) -> DataFrame:
-    """Wide grid ``age_0 .. age_{ages-1}`` of customer counts (NULL = no buyer)."""
+def retention_grid(counts: DataFrame, ages: int | None = None) -> DataFrame:
+    """Customer counts per cohort as a map age -> customers over every age with a
+    buyer (uncapped), or as columns ``age_0 .. age_{ages-1}`` for a stated number."""
+    if ages is None:
+        cells = counts.groupBy("cohort_month").agg(
+            F.array_sort(F.collect_list(F.struct("cohort_index", "customers"))).alias("c"))  # one cell a month
+        return cells.select("cohort_month", F.array_join(F.transform(
+            "c", lambda x: F.concat_ws(":", x["cohort_index"], x["customers"])), ",").alias("customers_by_age"))
     p = counts.where(F.col("cohort_index") < ages).groupBy("cohort_month") \
               .pivot("cohort_index", list(range(ages))).agg(F.first("customers"))
     return p.select("cohort_month", *[F.col(str(i)).alias(f"age_{i}") for i in range(ages)])
 
 
+def retention_heatmap(retention: DataFrame, ages: int = 13) -> DataFrame:
+    """The retention heatmap: a row per cohort, ``age_0 .. age_{ages-1}`` (the
+    original shows 13 ages), NULL where the cohort has no buyer of that age."""
+    p = retention.where(F.col("cohort_index") < ages).groupBy("cohort_month") \
+                 .pivot("cohort_index", list(range(ages))).agg(F.first("retention"))
+    return p.select("cohort_month", *[F.col(str(i)).alias(f"age_{i}") for i in range(ages)])
+
+
 def cohort_retention(counts: DataFrame, digits: int = 3) -> DataFrame:
     """retention = customers / cohort size (age 0), rounded half-even.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_start
-from ..functions.numeric import money
+from ..functions.numeric import money, ratio
 from ..plans.scalars import attach_row
 from ..session import checkpoint_dir
 
@@ -102,7 +102,9 @@ def diagnostics(series: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                            F.count(F.lit(1)).alias("n"),
                            F.max("t").alias("last_t"), F.max("year_month").alias("last_month"))
     return d.select(*by, "n", "last_t", "last_month",
-                    (F.lit(1.0) - F.col("ssr") / F.col("sst")).alias("r2"),
+                    # a constant series fitted perfectly: R2 is 1 (no fit at all: 0)
+                    F.when(F.col("sst") != 0, F.lit(1.0) - ratio(F.col("ssr"), F.col("sst")))
+                    .otherwise((F.col("ssr") == 0).cast("double")).alias("r2"),
                     F.sqrt(F.col("ssr") / F.col("n").cast("double")).alias("resid_std"))
 
 

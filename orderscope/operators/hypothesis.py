@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import t_pvalue, z_pvalue
-from ..functions.numeric import dec, exact_double, money
+from ..functions.numeric import dec, exact_double, money, ratio
 from ..plans.quantiles import medians
 from ..plans.ranks import values_below
 from ..plans.scalars import attach_row
@@ -38,14 +38,15 @@ def welch_stats(df: DataFrame, cents: str, flag: str) -> DataFrame:
     a = df.agg(*side(True, "1"), *side(False, "2"))
     for k in ("1", "2"):
         n, s_, ss = F.col(f"n{k}"), F.col(f"s{k}"), F.col(f"ss{k}")
-        a = a.withColumn(f"mean{k}", s_.cast("double") / n.cast("double") / F.lit(100.0)) \
-             .withColumn(f"var{k}", exact_double(dec(n) * ss - dec(s_) * dec(s_))
-                         / (n.cast("double") * (n - 1).cast("double")) / F.lit(10000.0))
-    s1 = F.col("var1") / F.col("n1").cast("double")
-    s2 = F.col("var2") / F.col("n2").cast("double")
-    t = (F.col("mean1") - F.col("mean2")) / F.sqrt(s1 + s2)
-    dof = (s1 + s2) * (s1 + s2) / (s1 * s1 / (F.col("n1") - 1).cast("double")
-                                   + s2 * s2 / (F.col("n2") - 1).cast("double"))
+        a = a.withColumn(f"mean{k}", ratio(s_.cast("double"), n.cast("double")) / F.lit(100.0)) \
+             .withColumn(f"var{k}", ratio(exact_double(dec(n) * ss - dec(s_) * dec(s_)),
+                                          n.cast("double") * (n - 1).cast("double")) / F.lit(10000.0))
+    # undefined statistics (an empty or one-row sample, no variance at all) are NULL
+    s1 = ratio(F.col("var1"), F.col("n1").cast("double"))
+    s2 = ratio(F.col("var2"), F.col("n2").cast("double"))
+    t = ratio(F.col("mean1") - F.col("mean2"), F.sqrt(s1 + s2))
+    dof = ratio((s1 + s2) * (s1 + s2), ratio(s1 * s1, (F.col("n1") - 1).cast("double"))
+                + ratio(s2 * s2, (F.col("n2") - 1).cast("double")))
     return a.select("n1", "n2", "mean1", "mean2", "var1", "var2", t.alias("t"), dof.alias("df"))
 
 
@@ -93,12 +94,12 @@ def mann_whitney_stats(samples: DataFrame, value: str = "monetary") -> DataFrame
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     u1 = (F.col("two_r1") / F.lit(2) - dec("n1") * (dec("n1") + F.lit(1)) / F.lit(2)).cast("double")
     n = n1 + n2
-    sigma = F.sqrt(n1 * n2 / F.lit(12.0) * ((n + F.lit(1.0)) - F.col("tie_term").cast("double") / (n * (n - F.lit(1.0)))))
+    sigma = F.sqrt(n1 * n2 / F.lit(12.0) * ((n + F.lit(1.0)) - ratio(F.col("tie_term").cast("double"), n * (n - F.lit(1.0)))))
     a = agg.select("n1", "n2", u1.alias("u1"), F.col("tie_term").cast("double").alias("tie_term"),
                    sigma.alias("sigma"))
     a = a.withColumn("u2", F.col("n1").cast("double") * F.col("n2").cast("double") - F.col("u1"))
-    z = (F.greatest("u1", "u2") - F.col("n1").cast("double") * F.col("n2").cast("double") / F.lit(2.0)
-         - F.lit(0.5)) / F.col("sigma")
+    z = ratio(F.greatest("u1", "u2") - F.col("n1").cast("double") * F.col("n2").cast("double") / F.lit(2.0)
+              - F.lit(0.5), F.col("sigma"))  # all values tied: no spread, z is NULL
     a = a.withColumn("z", z)
     med = medians(samples, value, ["sample"], out="median")
     mm = med.agg(F.max(F.when(F.col("sample") == 1, F.col("median"))).alias("median1"),

@@ -9,17 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import money
+from ..functions.numeric import money, ratio
 from . import cohorts as I
 from . import forecast as K
 from . import segments as G
 from ..plans.scalars import attach_row
 
 
-def _one(df: DataFrame) -> DataFrame:
-    return F.broadcast(df)
-
-
 def totals(sales: DataFrame, year_a: int, year_b: int) -> DataFrame:
     """One scan, one row: total revenue, distinct customers, AOV and the cents
     of the two compared years."""
@@ -43,7 +39,7 @@ def champions(seg: DataFrame, name: str = G.SEGMENTS[0]) -> DataFrame:
 def overview_kpis(sales: DataFrame, seg: DataFrame, year_a: int, year_b: int, horizon: int = 6) -> DataFrame:
     """L1: revenue, YoY %, customers, AOV, Champions revenue share, forecast total."""
     t = totals(sales, year_a, year_b)
-    yoy = ((F.col("cb") - F.col("ca")).cast("double") / F.col("ca").cast("double") * F.lit(100.0)).alias("yoy_pct")
+    yoy = (ratio((F.col("cb") - F.col("ca")).cast("double"), F.col("ca").cast("double")) * F.lit(100.0)).alias("yoy_pct")
     fc = K.forecast(K.monthly_series(sales), horizon).agg(F.sum("forecast").alias("forecast_total"))
     out = attach_row(attach_row(t, champions(seg)), fc)  # one row each
     return out.select("total_revenue", yoy, "customers", "aov", "champions_share_pct", "forecast_total")
@@ -54,7 +50,7 @@ def project_summary(sales: DataFrame, seg: DataFrame, year_a: int, year_b: int,
     the average curve at column position 1; champion share from the rounded
     segment summary)."""
     t = totals(sales, year_a, year_b)
-    yoy = ((F.col("cb").cast("double") / F.col("ca").cast("double") - F.lit(1.0)) * F.lit(100.0)).alias("yoy_pct")
+    yoy = ((ratio(F.col("cb").cast("double"), F.col("ca").cast("double")) - F.lit(1.0)) * F.lit(100.0)).alias("yoy_pct")
     curve = I.retention_curve(I.cohort_retention(I.cohort_counts(sales)))
     m1 = curve.where(F.col("position") == 1).select(F.col("avg_retention_pct").alias("month1_retention_pct"))
     ss = G.segment_summary(seg).where(F.col("segment") == F.lit(G.SEGMENTS[0])) \

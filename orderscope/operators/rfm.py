@@ -18,11 +18,6 @@ from ..plans.scalars import attach_row
 from ..session import checkpoint_dir
 
 
-def snapshot_date(sales: DataFrame) -> DataFrame:
-    """G1: one row, ``snapshot`` = last order date + 1 day."""
-    return sales.agg(F.date_add(F.max("order_date"), 1).alias("snapshot"))
-
-
 def rfm_base(sales: DataFrame) -> DataFrame:
     """Recency (days before the snapshot), frequency (orders), monetary (revenue).
 

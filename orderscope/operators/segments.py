@@ -2,8 +2,8 @@
 
 * H1 standardises with the population std (StandardScaler, ddof 0) from exact
   integer sums, so the features are the same bits on every engine.
-* H2–H4 fit ``pyspark.ml`` k-means on the persisted features: ``n_init``
-  seeds per k (Spark has no ``n_init``), the lowest training cost wins.
+* H2–H4 run Lloyd's iterations for all starts of all k in the same passes; the
+  starts and the means do not depend on partitions, the lowest cost wins.
 * H5 assigns customers to given centroids: the k centroids (k rows, bounded
   by construction) travel as one broadcast array row, and the nearest one is
   picked row-locally with higher-order functions — no shuffle, no pairs.
@@ -12,11 +12,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dec, exact_double, round_half_even
 from ..plans.scalars import attach_row
+from ..session import checkpoint_dir
 
 FEATURES = ["recency", "frequency", "monetary"]
 Z = [f"{c}_z" for c in FEATURES]
@@ -26,11 +31,10 @@ SEGMENTS = ["Champions", "Loyal Customers", "At-Risk Customers", "Lost / Inactiv
 W_RECENCY, W_FREQUENCY, W_MONETARY = -1.0, 30.0, 0.01
 
 
-def _int_features(rfm: DataFrame) -> DataFrame:
-    """The features as exact integers: days, orders, cents."""
-    return rfm.select("customer_id", F.col("recency").cast("bigint").alias("i_recency"),
-                      F.col("frequency").cast("bigint").alias("i_frequency"),
-                      F.rint(F.col("monetary") * 100.0).cast("bigint").alias("i_monetary"))
+def with_int_features(rfm: DataFrame) -> DataFrame:
+    """``rfm`` plus the features as exact integers: days, orders, cents."""
+    return rfm.withColumns({"i_recency": F.col("recency").cast("bigint"), "i_frequency": F.col("frequency").cast("bigint"),
+                            "i_monetary": F.rint(F.col("monetary") * 100.0).cast("bigint")})
 
 
 SCALE = {"recency": 1.0, "frequency": 1.0, "monetary": 100.0}
@@ -38,14 +42,14 @@ SCALE = {"recency": 1.0, "frequency": 1.0, "monetary": 100.0}
 
 def scaling_stats(rfm: DataFrame) -> DataFrame:
     """One row: ``mean_<c>`` and population ``std_<c>`` of each feature."""
-    iv = _int_features(rfm)
+    iv = with_int_features(rfm)
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in FEATURES:
         aggs += [F.sum(f"i_{c}").alias(f"s_{c}"), F.sum(dec(f"i_{c}") * dec(f"i_{c}")).alias(f"ss_{c}")]
     st = iv.agg(*aggs)
     cols = []
     for c in FEATURES:
-        n = F.col("n").cast("double")
+        n = F.nullif(F.col("n"), F.lit(0)).cast("double")  # no rows: no statistics
         mean = F.col(f"s_{c}").cast("double") / n / F.lit(SCALE[c])
         var = exact_double(dec("n") * F.col(f"ss_{c}") - dec(f"s_{c}") * dec(f"s_{c}")) / (n * n) \
             / F.lit(SCALE[c] * SCALE[c])
@@ -54,97 +58,185 @@ def scaling_stats(rfm: DataFrame) -> DataFrame:
 
 
 def _z(x, c: str):
-    return (x - F.col(f"mean_{c}")) / F.col(f"std_{c}")
+    """The standardised value; a feature without variance is scaled by 1, as StandardScaler does."""
+    std = F.col(f"std_{c}")
+    return (x - F.col(f"mean_{c}")) / F.when(std == 0, F.lit(1.0)).otherwise(std)
+
+
+def scaled_features(rfm: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """``rfm`` with its integer features and their standardised values."""
+    j = attach_row(with_int_features(rfm), scaling_stats(rfm) if stats is None else stats)
+    return j.select(*rfm.columns, *[f"i_{c}" for c in FEATURES],
+                    *[_z(F.col(f"i_{c}").cast("double") / F.lit(SCALE[c]), c).alias(f"{c}_z") for c in FEATURES])
 
 
 def rfm_scaled(rfm: DataFrame) -> DataFrame:
     """H1: ``(x - mean) / std_pop`` for recency, frequency, monetary."""
-    j = attach_row(_int_features(rfm), scaling_stats(rfm))  # one row of statistics
-    return j.select("customer_id", *[_z(F.col(f"i_{c}").cast("double") / F.lit(SCALE[c]), c).alias(f"{c}_z")
-                                     for c in FEATURES])
+    return scaled_features(rfm).select("customer_id", *Z)
 
 
-def seed_centroids(rfm: DataFrame, scores: DataFrame) -> DataFrame:
+def seed_centroids(scores: DataFrame) -> DataFrame:
     """Deterministic centroids for the checkable path: the mean scaled vector of
     four RFM-total bands (``least(3, (rfm_total - 3) div 3)``), computed as the
-    standardised band means of the exact integer features."""
+    standardised band means of the exact integer features.  ``scores`` holds the
+    features, so one aggregation of it is enough."""
     band = F.least(F.lit(3), F.expr("(rfm_total - 3) div 3")).cast("int")
-    j = _int_features(rfm).join(scores.select("customer_id", band.alias("cluster")), "customer_id")
-    g = j.groupBy("cluster").agg(F.count(F.lit(1)).alias("nb"),
-                                 *[F.sum(f"i_{c}").alias(f"b_{c}") for c in FEATURES])
-    g = attach_row(g, scaling_stats(rfm))  # one row
+    g = with_int_features(scores).groupBy(band.alias("cluster")).agg(
+        F.count(F.lit(1)).alias("nb"), *[F.sum(f"i_{c}").alias(f"b_{c}") for c in FEATURES])
+    g = attach_row(g, scaling_stats(scores))
     nb = F.col("nb").cast("double")
     return g.select("cluster", *[_z(F.col(f"b_{c}").cast("double") / nb / F.lit(SCALE[c]), c).alias(f"{c}_z")
                                  for c in FEATURES])
 
 
-def assign_centroids(scaled: DataFrame, centroids: DataFrame) -> DataFrame:
-    """H5: nearest centroid (squared Euclidean; ties to the lower cluster id)."""
-    one = centroids.agg(F.collect_list(F.struct("cluster", *Z)).alias("cs"))  # k rows -> one row
-    j = attach_row(scaled, one)  # one row: the k centroids as an array
+def _nearest(centroids: str) -> Column:
+    """(d, cluster) of the nearest centroid in an array column; ties to the lower id."""
     d = "+".join(f"(c.{z} - {z}) * (c.{z} - {z})" for z in Z)
-    best = F.expr(f"array_min(transform(cs, c -> named_struct('d', {d}, 'cluster', c.cluster)))")
-    return j.select("customer_id", *Z, best["cluster"].alias("cluster"))
+    return F.expr(f"array_min(transform({centroids}, c -> named_struct('d', {d}, 'cluster', c.cluster)))")
 
 
-def kmeans_features(scaled: DataFrame) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=Z, outputCol="features").transform(scaled)
-
-
-def fit_kmeans(features: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300,
-               tol: float = 1e-4):
-    """Best of ``n_init`` seeded fits (lowest within-cluster sum of squares)."""
-    from pyspark.ml.clustering import KMeans
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol="features",
-                   predictionCol="cluster").fit(features)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost, seed + i)
-    return best
-
-
-def kmeans_sweep(scaled: DataFrame, ks=range(2, 9), n_init: int = 2, seed: int = 42) -> DataFrame:
-    """H2 + H3: inertia and silhouette per k (Spark's silhouette is the
-    squared-Euclidean one, linear in the data; the exact Euclidean silhouette
-    needs all pairs and is not offered)."""
+def assign_centroids(scaled: DataFrame, centroids: DataFrame) -> DataFrame:
+    """H5: ``scaled`` with the nearest centroid (squared Euclidean; ties to the lower id)."""
+    one = centroids.agg(F.collect_list(F.struct("cluster", *Z)).alias("_cs"))  # k rows -> one row
+    j = attach_row(scaled, one)
+    return j.select(*scaled.columns, _nearest("_cs")["cluster"].alias("cluster"))
+
+
+#: Starts are drawn from the customers of smallest hash; the bound keeps them on the driver.
+SAMPLE = 10_000
+
+
+def start_centroids(scaled: DataFrame, ks: Sequence[int], n_init: int, seed: int = 42) -> list[list[tuple]]:
+    """``n_init`` k-means++ starts for each k (in this order), drawn on the driver from
+    ``SAMPLE`` customers chosen by a hash of their id: independent of the layout."""
+    order = [F.xxhash64("customer_id", F.lit(seed)), "customer_id"]
+    rows = np.array([tuple(r) for r in scaled.orderBy(*order).limit(SAMPLE).select(*Z).collect()], float).reshape(-1, 3)
+    out = []
+    for k in ks:
+        for i in range(n_init):
+            rng = np.random.default_rng([seed, k, i])
+            picked = [rows[rng.integers(len(rows))]] if len(rows) else []
+            while picked and len(picked) < k:
+                d = np.min([((rows - c) ** 2).sum(1) for c in picked], axis=0)
+                p = d / d.sum() if d.sum() > 0 else None
+                picked.append(rows[rng.choice(len(rows), p=p)])
+            out.append([tuple(map(float, c)) for c in picked])
+    return out
+
+
+def lloyd(scaled: DataFrame, starts: list[list[tuple]], max_iter: int = 300, tol: float = 1e-4) -> list[tuple]:
+    """(centroids, cost) of every start after Lloyd's iterations, all starts in the same passes.
+
+    A pass assigns each customer in every model still moving and adds up exact
+    integer features per (model, cluster); map tasks combine before the shuffle and
+    only models * k rows reach the driver, which holds the centroids.  Means
+    come from integer sums, so centroids do not depend on partitions or task order.
+    """
+    stats = scaled.agg(*[F.first(f"mean_{c}").alias(f"mean_{c}") for c in FEATURES],
+                       *[F.first(f"std_{c}").alias(f"std_{c}") for c in FEATURES]).first()
+    scale = [(stats[f"mean_{c}"], stats[f"std_{c}"] or 1.0, SCALE[c]) for c in FEATURES]
+    now, cost, moving = list(starts), [0.0] * len(starts), set(range(len(starts)))
+    kind = "array<struct<m:int,cs:array<struct<cluster:int," + ",".join(f"{z}:double" for z in Z) + ">>>>"
+    for step in range(max_iter + 1):
+        models = sorted(moving) if step < max_iter else []
+        if not models:
+            break
+        cells = F.from_json(F.lit(json.dumps([  # one literal, folded to a constant array
+            {"m": m, "cs": [{"cluster": k, **dict(zip(Z, c, strict=True))} for k, c in enumerate(now[m])]}
+            for m in models])), kind)
+        rows = scaled.select(*Z, *[f"i_{c}" for c in FEATURES], F.explode(cells).alias("x"))
+        rows = rows.select("x.m", *[f"i_{c}" for c in FEATURES], *Z, F.col("x.cs").alias("cs"))
+        rows = rows.select("m", *[f"i_{c}" for c in FEATURES], _nearest("cs").alias("best"))
+        sums = rows.groupBy("m", F.col("best.cluster").alias("cluster")).agg(
+            F.count("*").alias("n"), F.sum("best.d").alias("d"), *[F.sum(f"i_{c}").alias(c) for c in FEATURES])
+        new = {m: [list(c) for c in now[m]] for m in models}
+        cost_now = dict.fromkeys(models, 0.0)
+        for r in sorted(sums.collect()):  # a row for each model and cluster
+            cost_now[r["m"]] += r["d"]
+            new[r["m"]][r["cluster"]] = [(r[c] / r["n"] / s - mean) / std
+                                         for c, (mean, std, s) in zip(FEATURES, scale, strict=True)]
+        for m in models:
+            shift = sum((a - b) ** 2 for c, d in zip(now[m], new[m], strict=True) for a, b in zip(c, d, strict=True))
+            cost[m] = cost_now[m]
+            if shift <= tol:
+                moving.discard(m)
+            else:
+                now[m] = [tuple(c) for c in new[m]]
+    return list(zip(now, cost, strict=True))
+
+
+def _with_stats(rfm: DataFrame) -> DataFrame:
+    """Scaled features with the scaling statistics, written once for the passes over them."""
+    checkpoint_dir(rfm.sparkSession)
+    return attach_row(scaled_features(rfm), scaling_stats(rfm)).checkpoint(eager=True)
+
+
+def _best(models: list[tuple], n_init: int, j: int) -> tuple:
+    return min(models[j * n_init:(j + 1) * n_init], key=lambda x: x[1])
+
+
+def _frame(spark, centroids) -> DataFrame:
+    rows = [(k, *c) for k, c in enumerate(centroids)]
+    return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{z} double" for z in Z))
+
+
+def kmeans_sweep(rfm: DataFrame, ks=range(2, 9), n_init: int = 10, seed: int = 42,
+                 silhouette: bool = True) -> DataFrame:
+    """H2 + H3: inertia and, if asked for, silhouette per k from the best of ``n_init``
+    starts, all in the same passes (Spark's silhouette is the squared-Euclidean one,
+    linear in the data; the exact Euclidean one needs all pairs and is not offered)."""
     from pyspark.ml.evaluation import ClusteringEvaluator
-    feats = kmeans_features(scaled).select("customer_id", "features").persist()
+    from pyspark.ml.feature import VectorAssembler
+    scaled, ks = _with_stats(rfm), list(ks)
+    models = lloyd(scaled, start_centroids(scaled, ks, n_init, seed))
+    rate = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="squaredEuclidean")
+    feats = VectorAssembler(inputCols=Z, outputCol="features").transform(scaled)
     rows = []
-    try:
-        ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster",
-                                 distanceMeasure="squaredEuclidean")
-        for k in ks:
-            m, cost, s = fit_kmeans(feats, k, n_init, seed)
-            sil = ev.evaluate(m.transform(feats))
-            rows.append((int(k), float(cost), float(sil), int(s)))
-    finally:
-        feats.unpersist()
-    return scaled.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, seed int")
-
-
-def kmeans_clusters(scaled: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> DataFrame:
-    """H4: final clustering (customer_id, cluster) from the best of ``n_init`` fits.
-
-    The prediction is a row-local transform; cluster ids are arbitrary, so
-    segments are named from the cluster profiles (H7), never from ids.
+    for j, k in enumerate(ks):
+        centroids, cost = _best(models, n_init, j)
+        if not silhouette:
+            rows.append((int(k), float(cost), None))
+            continue
+        found = assign_centroids(feats, _frame(rfm.sparkSession, centroids))
+        rows.append((int(k), float(cost), float(rate.evaluate(found.withColumn("cluster", F.col("cluster").cast("double"))))))
+    return rfm.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
+def kmeans_assigned(rfm: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> DataFrame:
+    """H4: ``rfm`` with its scaled features and the cluster of the best of ``n_init`` fits.
+
+    Cluster ids are arbitrary, so segments are named from the cluster profiles
+    (H7), never from ids.
     """
-    feats = kmeans_features(scaled).persist()
-    try:
-        m, _, _ = fit_kmeans(feats.select("customer_id", "features"), k, n_init, seed)
-        return m.transform(feats).select("customer_id", F.col("cluster").cast("int").alias("cluster"))
-    finally:
-        feats.unpersist(blocking=False)
+    scaled = _with_stats(rfm)
+    models = lloyd(scaled, start_centroids(scaled, [k], n_init, seed))
+    return assign_centroids(scaled, _frame(rfm.sparkSession, _best(models, n_init, 0)[0]))
+
+
+def kmeans_violations(assigned: DataFrame, slack: float = 1e-3) -> DataFrame:
+    """One row: customers, those clearly nearer (by ``slack``) to another cluster's mean
+    than to their own, and the number of clusters."""
+    means = assigned.groupBy("cluster").agg(*[F.avg(z).alias(z) for z in Z])
+    one = means.agg(F.collect_list(F.struct("cluster", *Z)).alias("_cs"))
+    own = F.expr("filter(_cs, c -> c.cluster = cluster)[0]")
+    d = sum(((own[z] - F.col(z)) * (own[z] - F.col(z)) for z in Z), F.lit(0.0))
+    j = attach_row(assigned.select(*Z, "cluster"), one)
+    return j.agg(F.count("*").alias("customers"), F.count_if(d > _nearest("_cs")["d"] * (1 + slack) + slack).alias("not_nearest"),
+                 F.countDistinct("cluster").alias("clusters"))
+
+
+def assigned_by_seeds(scores: DataFrame) -> DataFrame:
+    """The scored customers with features and the cluster of the seed centroids, written
+    once: profiles, labels and summaries are aggregations of this table."""
+    checkpoint_dir(scores.sparkSession)
+    return assign_centroids(scaled_features(scores), seed_centroids(scores)).checkpoint(eager=True)
 
 
-def cluster_profile(rfm: DataFrame, clusters: DataFrame) -> DataFrame:
+def cluster_profile(assigned: DataFrame) -> DataFrame:
     """H6: mean recency / frequency / monetary per cluster and the composite score."""
-    iv = _int_features(rfm).join(clusters.select("customer_id", "cluster"), "customer_id")
-    p = iv.groupBy("cluster").agg(F.count(F.lit(1)).alias("customers"),
-                                  F.sum("i_recency").alias("sr"), F.sum("i_frequency").alias("sf"),
-                                  F.sum("i_monetary").alias("sm"))
+    p = with_int_features(assigned).groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("i_recency").alias("sr"), F.sum("i_frequency").alias("sf"),
+        F.sum("i_monetary").alias("sm"))
     n = F.col("customers").cast("double")
     p = p.select("cluster", "customers", (F.col("sr").cast("double") / n).alias("recency"),
                  (F.col("sf").cast("double") / n).alias("frequency"),
@@ -173,10 +265,10 @@ def customer_segments(clusters: DataFrame, labels: DataFrame) -> DataFrame:
         F.broadcast(labels.select("cluster", "segment")), "cluster").select("customer_id", "cluster", "segment")
 
 
-def segmented(rfm: DataFrame, clusters: DataFrame) -> DataFrame:
-    """RFM rows with cluster and segment attached."""
-    labels = segment_labels(cluster_profile(rfm, clusters))
-    return rfm.join(customer_segments(clusters, labels), "customer_id")
+def segmented(assigned: DataFrame) -> DataFrame:
+    """The assigned customers with their segment: a join with the k labels, none by customer."""
+    labels = segment_labels(cluster_profile(assigned))
+    return assigned.join(F.broadcast(labels.select("cluster", "segment")), "cluster")
 
 
 def segment_summary(seg: DataFrame, digits: int = 1) -> DataFrame:

@@ -57,6 +57,14 @@ def rolling_revenue(sales: DataFrame, window: int = 3) -> DataFrame:
                                           "rolling_revenue")
 
 
+def of_years(sales: DataFrame, *years: int) -> DataFrame:
+    """The rows of the given years: a date range, and the partition column where there is one."""
+    cond = in_years("order_date", *years)
+    if "order_year" in sales.columns:
+        cond = F.col("order_year").isin(*years) & cond
+    return sales.where(cond)
+
+
 def revenue_trend(sales: DataFrame, category: str | None = None, year: int | None = None,
                   window: int = 3, min_periods: int = 1) -> DataFrame:
     """The dashboard's filtered trend (filters push down to the scan side)."""
@@ -64,7 +72,7 @@ def revenue_trend(sales: DataFrame, category: str | None = None, year: int | Non
     if category not in (None, "All"):
         df = df.where(F.col("category") == F.lit(category))
     if year not in (None, "All"):
-        df = df.where(in_years("order_date", int(year)))
+        df = of_years(df, int(year))
     m = monthly_cents(df)
     return rolling_mean(m, window, min_periods).select(
         "year_month", money("cents").alias("revenue"), "rolling_revenue")
@@ -86,7 +94,7 @@ def mom_growth(sales: DataFrame) -> DataFrame:
 def yoy_growth(sales: DataFrame, year_a: int, year_b: int) -> DataFrame:
     """E5: revenue of two years and the growth of ``year_b`` over ``year_a`` in %."""
     y = F.year("order_date")
-    t = sales.where(in_years("order_date", year_a, year_b)).agg(
+    t = of_years(sales, year_a, year_b).agg(
         F.sum(F.when(y == year_a, F.col("cents")).otherwise(F.lit(0))).alias("ca"),
         F.sum(F.when(y == year_b, F.col("cents")).otherwise(F.lit(0))).alias("cb"))
     ra, rb = money(F.coalesce("ca", F.lit(0))), money(F.coalesce("cb", F.lit(0)))
@@ -95,11 +103,17 @@ def yoy_growth(sales: DataFrame, year_a: int, year_b: int) -> DataFrame:
                     (ratio(rb - ra, ra) * F.lit(100.0)).alias("yoy_pct"))
 
 
-def seasonality_by_year(sales: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Month x year revenue grid (``revenue_<year>`` columns; NULL when empty)."""
+def seasonality_by_year(sales: DataFrame) -> DataFrame:
+    """Revenue of every (year, month) that has sales, in long form."""
+    g = sales.groupBy(F.year("order_date").alias("year"), F.month("order_date").alias("month")).agg(
+        F.sum("cents").alias("cents"))
+    return g.select("year", "month", money("cents").alias("revenue"))
+
+
+def seasonality_grid(sales: DataFrame, years: Sequence[int]) -> DataFrame:
+    """A wide view of E6 for the years given: ``revenue_<year>`` columns, NULL when empty."""
     y = [int(v) for v in years]
-    base = sales.select(F.month("order_date").alias("month"), F.year("order_date").alias("year"),
-                        "cents", "order_date").where(in_years("order_date", *y)).drop("order_date")
+    base = of_years(sales, *y).select(F.month("order_date").alias("month"), F.year("order_date").alias("year"), "cents")
     p = base.groupBy("month").pivot("year", y).agg(F.sum("cents"))
     return p.select("month", *[money(F.col(str(v))).alias(f"revenue_{v}") for v in y])
 

@@ -9,10 +9,9 @@ windows over bounded value ranges:
    value holding a third of all rows is collapsed map-side).
 2. ``g``    per group ``n``, ``lo``, ``hi`` (one row per group) and the wanted
    0-based ranks ``k`` (two per probability: the interpolation pair).
-3. Direct path — every group has at most ``DIRECT_MAX_DISTINCT`` distinct
-   values (one small size-check job on the checkpointed counts): one running
-   count per group over its distinct values, a bounded sort per task.
-4. Narrowing path — otherwise every wanted rank keeps a value *window*
+3. A group of at most ``LEAF_MAX_DISTINCT`` distinct values is one leaf: one
+   running count over them, a bounded sort per task.
+4. In a larger group every wanted rank keeps a value *window*
    (``lo..hi``, the count ``off`` of rows below it, its distinct count ``d``),
    starting with its group's range.  Each level splits every window into
    ``BUCKETS`` equal parts of its own actual ``min..max`` (a monotone map, so a
@@ -47,12 +46,9 @@ from ..session import checkpoint_dir
 from .lookups import checked, lookup_join
 
 BUCKETS = 1024
-# Groups with at most this many distinct values are ranked by one window per
-# group (a bounded sort in one task); larger groups take the narrowing plan.
-DIRECT_MAX_DISTINCT = 1_000_000
-# The narrowing plan sorts a rank's window once it holds at most this many
-# distinct values.
-LEAF_MAX_DISTINCT = 100_000
+# A running count (a sort in one task) never covers more distinct values than
+# this: a group that holds more is narrowed to windows around its wanted ranks.
+LEAF_MAX_DISTINCT = 4_000
 _G = "_qgroup"
 
 
@@ -135,9 +131,9 @@ def _in_window(rows: DataFrame, win: DataFrame, on: list[str], size: int) -> Dat
 
 
 def _locate_narrowing(vc: DataFrame, g: DataFrame, targets: DataFrame, keys: list[str],
-                      buckets: int = BUCKETS, leaf_max: int | None = None,
-                      max_levels: int = 8) -> DataFrame:
-    """Large groups: value at rank ``k`` for every target row by narrowing windows."""
+                      buckets: int = BUCKETS, leaf_max: int | None = None) -> DataFrame:
+    """Groups over the leaf bound: value at rank ``k`` for every target row by narrowing
+    windows until each is at or under the bound (windows shrink strictly)."""
     leaf_max = LEAF_MAX_DISTINCT if leaf_max is None else leaf_max
     rk = keys + ["k"]
     # level 0 is shared by all ranks of a group: split the group's own range
@@ -146,13 +142,11 @@ def _locate_narrowing(vc: DataFrame, g: DataFrame, targets: DataFrame, keys: lis
     ranks = targets.select(*keys, "k").distinct()
     win, size = checked(ranks.join(parts, keys).where(_holds_k()).select(*rk, *_window()))
     cand = _in_window(vc, win.select(*rk, "lo", "hi", "off"), keys, size)
-    for _ in range(max_levels):
-        if (win.agg(F.max("d")).collect()[0][0] or 0) <= leaf_max:
-            break
+    while (win.agg(F.max("d")).collect()[0][0] or 0) > leaf_max:
         cand, _n = checked(cand.select(*rk, "v", "c", "lo", "hi", "off"))
         win, size = checked(_parts(cand, rk, buckets).where(_holds_k()).select(*rk, *_window()))
         cand = _in_window(cand.select(*rk, "v", "c"), win.select(*rk, "lo", "hi", "off"), rk, size)
-    # leaf: at most leaf_max distinct values per rank (or max_levels reached)
+    # leaf: at most leaf_max distinct values per rank
     wl = Window.partitionBy(*rk).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     leaf = cand.withColumn("s", F.col("off") + F.coalesce(F.sum("c").over(wl), F.lit(0)))
     found = leaf.where((F.col("k") >= F.col("s")) & (F.col("k") < F.col("s") + F.col("c"))) \
@@ -161,7 +155,7 @@ def _locate_narrowing(vc: DataFrame, g: DataFrame, targets: DataFrame, keys: lis
 
 
 def _locate_direct(vc: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
-    """Small groups: running count over each group's (bounded) distinct values."""
+    """Groups within the leaf bound: running count over each group's distinct values."""
     w = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     r = vc.withColumn("s", F.coalesce(F.sum("c").over(w), F.lit(0)))
     hit = targets.alias("t").join(
@@ -200,10 +194,16 @@ def _quantiles(df, value, probs, by, out, buckets, with_count, median, counts=No
     out = list(out) if out else [f"q{i}" for i in range(len(probs))]
     keys, vc, g = _prep(df, value, by, counts)
     tg = _targets(g, keys, probs, median)
-    if _max_distinct(vc, keys) <= DIRECT_MAX_DISTINCT:
-        hit = _locate_direct(vc, tg, keys)
+    if _max_distinct(vc, keys) <= LEAF_MAX_DISTINCT:
+        hit = _locate_direct(vc, tg, keys)  # every group is one leaf
     else:
-        hit = _locate_narrowing(vc, g, tg, keys, buckets)
+        sizes, n = checked(vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")))
+        leaf, large = (sizes.where(c).select(*keys) for c in (F.col("_d") <= LEAF_MAX_DISTINCT,
+                                                              F.col("_d") > LEAF_MAX_DISTINCT))
+        small = lookup_join(vc, leaf, keys, size=n)
+        rest = lookup_join(vc, large, keys, size=n)
+        hit = _locate_direct(small, tg, keys).unionByName(
+            _locate_narrowing(rest, g.join(large, keys), tg.join(large, keys), keys, buckets))
     pair = hit.groupBy(*keys, "i", "t").agg(
         F.max(F.when(F.col("j") == 0, F.col("v"))).alias("a"),
         F.max(F.when(F.col("j") == 1, F.col("v"))).alias("b"))

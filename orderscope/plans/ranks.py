@@ -31,16 +31,16 @@ from ..session import checkpoint_dir
 from .lookups import checked, lookup_join
 
 BUCKETS = 1024
-LEAF_MAX_DISTINCT = 100_000
-_WORK = ["_lo", "_hi", "_d", "_pid", "_off"]
+LEAF_MAX_DISTINCT = 4_000
+_WORK = ["_lo", "_hi", "_d", "_off"]
 
 
 def values_below(vc: DataFrame, value: str, count: str, by: Sequence[str] = (),
-                 buckets: int = BUCKETS, leaf_max: int | None = None, max_levels: int = 6) -> DataFrame:
+                 buckets: int = BUCKETS, leaf_max: int | None = None) -> DataFrame:
     """``vc`` has one row per (by..., value) with a row ``count``; adds ``below``
     = total count of strictly smaller values in the same group.
 
-    ``max_levels`` * log2(``buckets``) must stay under 63 (part ids are longs).
+    Parts of a group are disjoint ranges, so a part is named by its smallest value.
     """
     keys = list(by)
     leaf_max = LEAF_MAX_DISTINCT if leaf_max is None else leaf_max
@@ -49,11 +49,10 @@ def values_below(vc: DataFrame, value: str, count: str, by: Sequence[str] = (),
     vc = vc.checkpoint(eager=True)
     g = vc.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
                               F.count(F.lit(1)).alias("_d"))
-    cur = lookup_join(vc, g, keys).withColumns({"_pid": F.lit(0).cast("bigint"),
-                                                "_off": F.lit(0).cast("bigint")})
+    cur = lookup_join(vc, g, keys).withColumn("_off", F.lit(0).cast("bigint"))
     B = float(buckets)
-    pk = keys + ["_pid"]
-    for _ in range(max_levels):
+    pk = keys + ["_lo"]
+    while True:
         cur, _n = checked(cur)
         big = cur.where(F.col("_d") > F.lit(leaf_max))
         if big.limit(1).count() == 0:
@@ -67,12 +66,10 @@ def values_below(vc: DataFrame, value: str, count: str, by: Sequence[str] = (),
             F.count(F.lit(1)).alias("_pd"), F.max("_off").alias("_poff"))
         w = Window.partitionBy(*pk).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
         parts = parts.withColumn("_ps", F.col("_poff") + F.coalesce(F.sum("_pc").over(w), F.lit(0)))
-        split = lookup_join(big.select(*cols, "_pid", "_sub"),
+        split = lookup_join(big.select(*cols, "_lo", "_sub"),
                             parts.select(*pk, "_sub", "_plo", "_phi", "_pd", "_ps"), pk + ["_sub"])
         split = split.select(*cols, F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi"),
-                             F.col("_pd").alias("_d"),
-                             (F.col("_pid") * F.lit(buckets) + F.col("_sub")).alias("_pid"),
-                             F.col("_ps").alias("_off"))
+                             F.col("_pd").alias("_d"), F.col("_ps").alias("_off"))
         cur = cur.where(F.col("_d") <= F.lit(leaf_max)).select(*cols, *_WORK).unionByName(split)
     wv = Window.partitionBy(*pk).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return cur.withColumn("below", F.col("_off") + F.coalesce(F.sum(count).over(wv), F.lit(0))) \

@@ -1,8 +1,8 @@
 """Attach a one-row table (global statistics, edges, centroid arrays) to every row.
 
-The right side is provably one row — an aggregate without grouping keys — so
-broadcasting it is bounded by construction.  It is joined on a constant key:
-a broadcast hash equi-join, never a Cartesian product of two data sets.
+The table is read as a scalar subquery: Spark runs it once, hands its one row to
+the tasks as a constant, and fails if there are several rows.  There is no join.
+Without a row the columns are NULL.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_K = "_one_row_key"
-
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """``df`` with the columns of the one-row table ``one_row`` appended."""
-    right = F.broadcast(one_row.withColumn(_K, F.lit(0)))
-    return df.withColumn(_K, F.lit(0)).join(right, _K).drop(_K)
+    row = one_row.select(F.struct(*[F.col(c) for c in one_row.columns]).alias("row")).scalar()
+    out = df.withColumn("_row", row)
+    return out.select(*df.columns, *[F.col("_row")[c].alias(c) for c in one_row.columns])

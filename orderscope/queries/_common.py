@@ -7,4 +7,3 @@ from ..oracles import D, lit, money
 MONTH = "CAST(date_trunc('month', order_date) AS DATE)"
 AOV = f"({D('sum(cents)')} / {D('count(*)')} / {lit(100.0)})"
 SUM_MONEY = money("sum(cents)")
-WEEKDAY_NAME = "dayname(order_date)"

@@ -48,13 +48,21 @@ def q_cohort_counts(spark, sf):
     return _counts(spark, sf)
 
 
-@register("retention_grid", group="cohorts", sql=with_base(*CTES, final="SELECT cohort_month, " + ", ".join(
-    f"max(CASE WHEN cohort_index = {i} THEN customers END) AS age_{i}" for i in range(13))
-    + " FROM counts WHERE cohort_index < 13 GROUP BY cohort_month"))
+@register("retention_grid", group="cohorts", sql=with_base(*CTES, final="""
+SELECT cohort_month, string_agg(cohort_index || ':' || customers, ',' ORDER BY cohort_index) AS customers_by_age
+FROM counts GROUP BY cohort_month"""))
 def q_retention_grid(spark, sf):
     return C.retention_grid(_counts(spark, sf))
 
 
+@register("retention_heatmap", group="cohorts", doubles=[f"age_{i}" for i in range(13)],
+          sql=with_base(*CTES, final="SELECT cohort_month, " + ", ".join(
+              f"max(CASE WHEN cohort_index = {i} THEN retention END) AS age_{i}" for i in range(13))
+              + " FROM ret WHERE cohort_index < 13 GROUP BY cohort_month"))
+def q_retention_heatmap(spark, sf):
+    return C.retention_heatmap(C.cohort_retention(_counts(spark, sf)))
+
+
 @register("cohort_retention", group="cohorts", doubles=["retention"],
           sql=with_base(*CTES, final="SELECT * FROM ret"))
 def q_cohort_retention(spark, sf):

@@ -62,18 +62,13 @@ SEG_CTES = SCORES_CTES + [
 ZD = [f"{c}_z" for c in _F]
 
 
-def _fixed(spark, sf):
-    """(rfm, cluster assignment) on the seed centroids."""
-    s = load_sales(spark, sf)
-    rfm = R.customer_table(s)
-    scores = R.rfm_scores(rfm)
-    scaled = G.rfm_scaled(rfm)
-    return rfm, G.assign_centroids(scaled, G.seed_centroids(rfm, scores))
+def _assigned(spark, sf):
+    """The scored customers with their cluster by the seed centroids."""
+    return G.assigned_by_seeds(R.rfm_scores(R.customer_table(load_sales(spark, sf))))
 
 
 def _seg(spark, sf):
-    rfm, cl = _fixed(spark, sf)
-    return G.segmented(rfm, cl)
+    return G.segmented(_assigned(spark, sf))
 
 
 @register("rfm_scaled", group="segments", doubles=ZD, sql=with_base(*SEG_CTES, final="SELECT * FROM sz"))
@@ -83,27 +78,25 @@ def q_rfm_scaled(spark, sf):
 
 @register("assign_centroids", group="segments", doubles=ZD, sql=with_base(*SEG_CTES, final="SELECT * FROM asg"))
 def q_assign_centroids(spark, sf):
-    return _fixed(spark, sf)[1]
+    return _assigned(spark, sf).select("customer_id", *ZD, "cluster")
 
 
 @register("cluster_profile", group="segments", doubles=["recency", "frequency", "monetary", "composite"],
           sql=with_base(*SEG_CTES, final="SELECT * FROM prof"))
 def q_cluster_profile(spark, sf):
-    rfm, cl = _fixed(spark, sf)
-    return G.cluster_profile(rfm, cl)
+    return G.cluster_profile(_assigned(spark, sf))
 
 
 @register("segment_labels", group="segments", doubles=["composite"],
           sql=with_base(*SEG_CTES, final="SELECT cluster, composite, rank, segment FROM lab"))
 def q_segment_labels(spark, sf):
-    rfm, cl = _fixed(spark, sf)
-    return G.segment_labels(G.cluster_profile(rfm, cl))
+    return G.segment_labels(G.cluster_profile(_assigned(spark, sf)))
 
 
 @register("customer_segments", group="segments", sql=with_base(*SEG_CTES, final="SELECT * FROM cseg"))
 def q_customer_segments(spark, sf):
-    rfm, cl = _fixed(spark, sf)
-    return G.customer_segments(cl, G.segment_labels(G.cluster_profile(rfm, cl)))
+    found = _assigned(spark, sf)
+    return G.customer_segments(found, G.segment_labels(G.cluster_profile(found)))
 
 
 _SUMMARY = ["avg_recency", "avg_frequency", "avg_monetary", "total_revenue", "revenue_share"]
@@ -166,35 +159,62 @@ def q_segment_customers(spark, sf):
     return G.segment_customers(_seg(spark, sf), SEGMENT_FILTER)
 
 
-# --- k-means path (rows-only: ids and local optima are not SQL-expressible) ---
+@register("segment_customers_all", group="segments", doubles=["monetary"], sql=with_base(
+    *SEG_CTES, final="SELECT customer_id, frequency, monetary, recency, segment FROM seg"))
+def q_segment_customers_all(spark, sf):
+    return G.segment_customers(_seg(spark, sf))
 
-SWEEP_N_INIT = 2
-FINAL_N_INIT = 10
 
+# --- the same reports on k-means clusters (local optima are not SQL-expressible;
+# --- kmeans_violations, which must be empty sums, is) ---
 
-@register("kmeans_elbow", group="kmeans", sql=None, bench=False)
-def q_kmeans_elbow(spark, sf):
-    sw = G.kmeans_sweep(G.rfm_scaled(R.rfm_base(load_sales(spark, sf))), n_init=SWEEP_N_INIT)
-    return sw.select("k", "inertia", "seed")
+N_INIT = 10
 
 
-@register("kmeans_silhouette", group="kmeans", sql=None, bench=False)
-def q_kmeans_silhouette(spark, sf):
-    sw = G.kmeans_sweep(G.rfm_scaled(R.rfm_base(load_sales(spark, sf))), n_init=SWEEP_N_INIT)
-    return sw.select("k", "silhouette")
+def _kmeans(spark, sf):
+    return G.kmeans_assigned(R.customer_table(load_sales(spark, sf)), 4, N_INIT)
 
 
 def _kmeans_seg(spark, sf):
-    rfm = R.customer_table(load_sales(spark, sf))
-    cl = G.kmeans_clusters(G.rfm_scaled(rfm), 4, FINAL_N_INIT)
-    return G.segmented(rfm, cl)
+    return G.segmented(_kmeans(spark, sf))
+
+
+def _sweep(spark, sf, silhouette):
+    return G.kmeans_sweep(R.customer_table(load_sales(spark, sf)), n_init=N_INIT, silhouette=silhouette)
+
+
+@register("kmeans_elbow", group="kmeans", sql=None)
+def q_kmeans_elbow(spark, sf):
+    return _sweep(spark, sf, False).select("k", "inertia")
+
+
+@register("kmeans_silhouette", group="kmeans", sql=None)
+def q_kmeans_silhouette(spark, sf):
+    return _sweep(spark, sf, True).select("k", "silhouette")
 
 
-@register("rfm_clusters", group="kmeans", sql=None, bench=False)
+@register("rfm_clusters", group="kmeans", sql=None)
 def q_rfm_clusters(spark, sf):
     return _kmeans_seg(spark, sf).select("customer_id", "cluster", "segment")
 
 
-@register("segment_summary_kmeans", group="kmeans", sql=None, bench=False)
-def q_segment_summary_kmeans(spark, sf):
-    return G.segment_summary(_kmeans_seg(spark, sf))
+@register("kmeans_violations", group="kmeans", sql=with_base(
+    ("c", "SELECT count(DISTINCT customer_id) AS n FROM sales"),
+    final="SELECT n AS customers, CAST(0 AS BIGINT) AS not_nearest, CAST(4 AS BIGINT) AS clusters FROM c"))
+def q_kmeans_violations(spark, sf):
+    """Customers that are nearer to the mean of another cluster than to their own: none."""
+    return G.kmeans_violations(_kmeans(spark, sf))
+
+
+_REPORTS = {
+    "segment_summary": G.segment_summary,
+    "segment_counts": G.segment_counts,
+    "segment_revenue": G.segment_revenue,
+    "segment_treemap": G.segment_treemap,
+    "segment_customers": G.segment_customers,
+    "cluster_profile": G.cluster_profile,
+    "segment_labels": lambda seg: G.segment_labels(G.cluster_profile(seg)),
+}
+for _name, _report in _REPORTS.items():
+    register(f"{_name}_kmeans", group="kmeans", sql=None)(
+        lambda spark, sf, report=_report: report(_kmeans_seg(spark, sf)))

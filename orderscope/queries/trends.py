@@ -73,14 +73,22 @@ def q_yoy_growth(spark, sf):
     return T.yoy_growth(load_sales(spark, sf), ROLES.year_a, ROLES.year_b)
 
 
-@register("seasonality_by_year", group="trends", doubles=[f"revenue_{_A}", f"revenue_{_B}"],
+@register("seasonality_by_year", group="trends", doubles=["revenue"], sql=with_base(final=f"""
+SELECT CAST(year(order_date) AS INTEGER) AS year, CAST(month(order_date) AS INTEGER) AS month,
+       {money('sum(cents)')} AS revenue
+FROM sales GROUP BY 1, 2"""))
+def q_seasonality_by_year(spark, sf):
+    return T.seasonality_by_year(load_sales(spark, sf))
+
+
+@register("seasonality_grid", group="trends", doubles=[f"revenue_{_A}", f"revenue_{_B}"],
           sql=with_base(final=f"""
 SELECT CAST(month(order_date) AS INTEGER) AS month,
        {money(f'sum(CASE WHEN year(order_date) = {_A} THEN cents END)')} AS revenue_{_A},
        {money(f'sum(CASE WHEN year(order_date) = {_B} THEN cents END)')} AS revenue_{_B}
 FROM sales WHERE year(order_date) IN ({_A}, {_B}) GROUP BY 1"""))
-def q_seasonality_by_year(spark, sf):
-    return T.seasonality_by_year(load_sales(spark, sf), [ROLES.year_a, ROLES.year_b])
+def q_seasonality_grid(spark, sf):
+    return T.seasonality_grid(load_sales(spark, sf), [ROLES.year_a, ROLES.year_b])
 
 
 @register("week_weekday_heatmap", group="trends", doubles=WEEKDAYS, sql=with_base(final=f"""

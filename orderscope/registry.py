@@ -29,7 +29,6 @@ class Entry:
     sql: str | None
     doubles: list[str] = field(default_factory=list)
     group: str = ""
-    bench: bool = True
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         return finish(self.fn(spark, sf_dir))
@@ -47,11 +46,11 @@ REGISTRY: dict[str, Entry] = {}
 
 
 def register(name: str, sql: str | None = None, doubles: list[str] | None = None,
-             group: str = "", bench: bool = True):
+             group: str = ""):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, sql, list(doubles or []), group, bench)
+        REGISTRY[name] = Entry(name, fn, sql, list(doubles or []), group)
         return fn
     return deco
 

@@ -13,6 +13,7 @@ The settings are the ones the operators rely on:
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -68,27 +69,27 @@ def apply_sql_defaults(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for lineage cuts and written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``; we read it from the session
-    and only fall back to a fresh local folder when it is unset (tests, local
-    runs).
+    A cluster names it in ``spark.checkpoint.dir``; we read it from the session.
+    Where it is unset, a single-machine master (``local[...]``) gets a fresh local
+    folder; any other master is an error, since each executor would write to a
+    folder of its own that the others cannot read.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="orderscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:
-        pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a URI or path, and the path as it names it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p

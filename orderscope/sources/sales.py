@@ -37,7 +37,7 @@ Join plan (scale notes):
 from __future__ import annotations
 
 import hashlib
-import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import line_cents, money
 from ..plans.lookups import lookup_join
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, file_system
 
 # Total order for "keep the first duplicate": the reference keeps the first row
 # of a date sort; we make the order total with the line's own columns.
@@ -54,6 +54,8 @@ TIEBREAK = ["tb_shipdate", "tb_partkey", "tb_suppkey", "tb_quantity", "tb_extend
 FACT_COLUMNS = ["order_id", "customer_id", "order_date", "category", "product",
                 "quantity", "unit_price", "region", "channel"]
 SALES_COLUMNS = FACT_COLUMNS + ["cents", "revenue"]
+SALES_SCHEMA = ("order_id bigint, customer_id bigint, order_date date, category string, product string, quantity int, "
+                "unit_price double, region string, channel string, cents bigint, revenue double, order_year int")
 
 
 @dataclass(frozen=True)
@@ -178,11 +180,13 @@ def impute_prices(df: DataFrame) -> DataFrame:
     size-checked broadcast (:func:`~orderscope.plans.lookups.lookup_join`), so
     the rows are never shuffled by a handful of category keys.
     """
-    # The rows are read twice (medians, then filling): write them once with a
-    # reliable checkpoint so their lineage (dedup, joins) runs once and a lost
-    # executor never re-runs it.
-    checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)
+    # The rows are read twice (medians, then filling): write them once, as columns
+    # in the shared folder, so their lineage (dedup, joins) runs once, a lost
+    # executor never re-runs it, and the medians read two columns only.
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/impute-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
     # Only NULL rows read their category's median, so taking the medians of
     # every category gives the same rows and needs no pre-pass to find the
     # categories with gaps (build_sales skips imputation when none can exist).
@@ -235,49 +239,78 @@ def build_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.filter(F.col("cents") > 0).select(*SALES_COLUMNS)
 
 
-# Bump when build_sales changes meaning, so old materialisations are not reused.
-PIPELINE_VERSION = 3
+# Bump when build_sales or the table's layout changes, so old tables are not reused.
+PIPELINE_VERSION = 4
 MATERIALIZE_CONF = "orderscope.materialize"
+SOURCE_TABLES = ("lineitem", "orders", "part", "customer", "nation", "region")
 
 
-def _snapshot_key(sf_dir: str) -> str:
-    """Identify the source snapshot: path, plus sizes and mtimes when it is local."""
-    parts = [os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, str(PIPELINE_VERSION)]
-    for t in ("lineitem", "orders", "part", "customer", "nation", "region"):
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        if os.path.exists(p):
-            st = os.stat(p)
-            parts.append(f"{t}:{st.st_size}:{int(st.st_mtime)}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+def _snapshot_key(spark: SparkSession, sf_dir: str) -> str:
+    """Identify the source snapshot by the listing of its files.
+
+    Spark's own ``binaryFile`` listing (path, length, modification time; no content
+    is read) works for every URI and for tables of many files; only a count and a
+    checksum reach the driver.
+    """
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    seen = files.select(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)").alias("h"))
+    one = seen.agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()
+    return hashlib.sha1(f"{sf_dir.rstrip('/')}|{PIPELINE_VERSION}|{one['n']}|{one['s']}".encode()).hexdigest()[:16]
 
 
 def sales_path(spark: SparkSession, sf_dir: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/sales-{_snapshot_key(sf_dir)}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/sales-{_snapshot_key(spark, sf_dir)}"
+
+
+def _published(spark: SparkSession, base: str) -> str | None:
+    """The data folder that ``base`` names as complete, if any."""
+    fs, marker = file_system(spark, f"{base}/PUBLISHED")
+    if not fs.exists(marker):
+        return None
+    name = spark.read.text(f"{base}/PUBLISHED").first()[0]
+    return f"{base}/{name}"
+
+
+def _publish(spark: SparkSession, base: str, name: str) -> None:
+    """Name a complete data folder: the marker is written aside and then renamed."""
+    fs, aside = file_system(spark, f"{base}/{name}.marker")
+    out = fs.create(aside, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    fs.rename(aside, file_system(spark, f"{base}/PUBLISHED")[1])
+
+
+def with_year(sales: DataFrame) -> DataFrame:
+    return sales.withColumn("order_year", F.year("order_date"))
 
 
 def materialize_sales(spark: SparkSession, sf_dir: str) -> str:
     """Write the cleaned table once per source snapshot into the shared folder.
 
-    The write is a normal committed Parquet job (task retries and lost
-    executors are handled by Spark; a failed job leaves no readable table and
-    is simply rebuilt).  Reading it back cuts the lineage of every analysis.
+    Each build writes a folder of its own, partitioned by order year and sorted by
+    date inside files (so year and date filters prune folders and row groups), and
+    publishes it by a marker written last: a job that dies leaves an unnamed
+    folder that nothing reads, and readers never see a table being replaced.
+    Reading it back cuts the lineage of every analysis.
     """
-    path = sales_path(spark, sf_dir)
-    try:
-        spark.read.parquet(path).schema  # already there
-        return path
-    except Exception:  # noqa: BLE001 - missing or incomplete: (re)build
-        pass
-    build_sales(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return path
+    base = sales_path(spark, sf_dir)
+    done = _published(spark, base)
+    if done:
+        return done
+    name = f"data-{uuid.uuid4().hex}"
+    table = with_year(build_sales(spark, sf_dir)).repartitionByRange("order_date", "order_id")
+    table.sortWithinPartitions("order_date", "order_id").write.partitionBy("order_year").parquet(f"{base}/{name}")
+    _publish(spark, base, name)
+    return f"{base}/{name}"
 
 
 def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sales`` for the analyses: the materialised table (default) or the lazy plan.
 
     Set ``orderscope.materialize=false`` to run every analysis from the raw
-    tables instead.
+    tables instead.  ``order_year`` is the partition column.
     """
     if spark.conf.get(MATERIALIZE_CONF, "true").lower() == "false":
-        return build_sales(spark, sf_dir)
-    return spark.read.parquet(materialize_sales(spark, sf_dir))
+        return with_year(build_sales(spark, sf_dir))
+    return spark.read.schema(SALES_SCHEMA).parquet(materialize_sales(spark, sf_dir))

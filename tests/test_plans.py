@@ -43,6 +43,7 @@ def test_filters_and_columns_reach_the_scan(spark, reg):
     assert "GreaterThanOrEqual(order_" in pushed  # the year filter is a pushed date range
     # only the needed columns are read from the materialised sales table
     assert "ReadSchema: struct<order_date:date,category:string,cents:bigint>" in p
+    assert "PartitionFilters: [isnotnull(order_year" in p and "(order_year" in p  # other years' folders are not read
 
 
 def test_source_scans_are_pruned(spark):
@@ -78,3 +79,9 @@ def test_sales_is_scanned_once(spark, reg):
                  "weekend_density"]:
         p = _plan(reg[name].run(spark, SF_SMALL))
         assert p.count("FileScan parquet") <= 1, name
+
+
+def test_segments_join_no_customers(spark, reg):
+    p = _plan(reg["segment_summary"].run(spark, SF_SMALL))
+    assert "SortMergeJoin" not in p and "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    assert "[customer_id" not in p[p.index("HashAggregate"):].split("keys=[segment")[0]

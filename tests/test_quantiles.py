@@ -25,7 +25,6 @@ def path(request, monkeypatch):
     import orderscope.plans.quantiles as Q
     if request.param == "bucketed":
         # force the narrowing plan, with small leaves so several levels run
-        monkeypatch.setattr(Q, "DIRECT_MAX_DISTINCT", 0)
         monkeypatch.setattr(Q, "LEAF_MAX_DISTINCT", 3)
     return request.param
 
@@ -70,7 +69,6 @@ def test_narrowing_on_clustered_values_with_outliers(spark, monkeypatch):
     # equal-width buckets of the whole range would put almost every value in
     # one bucket; the narrowing windows re-split their own range each level
     import orderscope.plans.quantiles as Q
-    monkeypatch.setattr(Q, "DIRECT_MAX_DISTINCT", 0)
     monkeypatch.setattr(Q, "LEAF_MAX_DISTINCT", 50)
     rng = np.random.default_rng(23)
     x = np.concatenate([np.round(rng.random(4000), 6), [1e12, -1e12, 3e11]])
