@@ -34,9 +34,11 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes failing lines, and documents that fail or lose too much."""
-    found = line_rules.clean(docs, out="_rules").where("_rules.kept")
-    found = found.withColumn("text", F.col("_rules.text"))
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).drop("_rules")
+    found = line_rules.clean(docs, out="_rules")
+    # a generator, not a filter: a filter would be pushed below and judge every line twice
+    kept = F.explode(F.filter(F.array("_rules"), lambda r: r["kept"]))
+    found = found.withColumn("_rules", kept).withColumn("text", F.col("_rules.text"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).drop("_rules").select(docs.columns)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
