@@ -38,7 +38,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_near_dedup")
+_OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+        lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+u AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS k FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS c
+      FROM u a JOIN u b ON a.k = b.k AND a.r <> b.r GROUP BY a.r, b.r, 1, 2, 3, 4),
+l AS (SELECT DISTINCT x, y FROM p WHERE 100 * c >= 75 * (nx + ny - c) AND x <> y),
+reach AS (SELECT DISTINCT doc_id AS x, doc_id AS m FROM s UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.m = l.x),
+g AS (SELECT x, min(m) AS m FROM reach GROUP BY x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, g.m AS component_id, s.doc_id = g.m AS kept
+FROM s JOIN g ON s.doc_id = g.x"""
+
+
+@query("op10_near_dedup", _OP10_SQL)
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,7 +68,28 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32("ids").alias("ids_crc32"))
 
 
-@query("op6_decontaminate")
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP6_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+it AS (SELECT coalesce(item_id::VARCHAR, '') AS item, least(13, len(w)) AS s, w
+       FROM (SELECT item_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)
+       WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item, s, array_to_string(w[i:i + s - 1], ' ') AS k
+       FROM (SELECT item, s, w, unnest(range(1, len(w) - s + 2)) AS i FROM it)),
+dw AS (SELECT r, s, i, array_to_string(w[i:i + s - 1], ' ') AS k
+       FROM (SELECT r, s, w, unnest(range(1, len(w) - s + 2)) AS i
+             FROM d, (SELECT DISTINCT s FROM iw) WHERE len(w) >= s)),
+h AS (SELECT DISTINCT dw.r, dw.i, dw.s, iw.item FROM dw JOIN iw ON dw.k = iw.k AND dw.s = iw.s),
+c AS (SELECT r, count(DISTINCT i + o) AS n FROM (SELECT r, i, unnest(range(0, s)) AS o FROM h) GROUP BY r),
+g AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(g.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(g.items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN g USING (r)"""
+
+
+@query("op6_decontaminate", _OP6_SQL)
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
