@@ -212,7 +212,8 @@ class _Links:
             ids = ids.join(old.select("id"), "id", "left_anti")
         ids = written(ids.distinct(), "dedup-need")
         texts = self.texts.join(ids, "id", "left_semi")
-        self.sets.append(written(texts.select("id", set_bytes("text").alias("set")), "dedup-sets"))
+        sets = texts.select("id", set_bytes("text").alias("set")).distinct()  # repeated rows are one set
+        self.sets.append(written(sets, "dedup-sets"))
         sets = self.sets[0]
         for more in self.sets[1:]:
             sets = sets.union(more)
@@ -226,7 +227,8 @@ class _Links:
         full = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
         full = full.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         full = full.withColumn("both", common("sa", "sb"))
-        union = F.col("na") + F.col("nb") - F.col("both")
+        # sizes of the sets themselves: an id may have several
+        union = (F.octet_length("sa") + F.octet_length("sb")) / 8 - F.col("both")
         links = written(full.where(100 * F.col("both") >= self.percent * union).select("a", "b"), "dedup-links")
         found = components(self.apart(links), "la", "lb")
         if self.labels is None:

@@ -76,6 +76,21 @@ def test_nulls_repeats_empty_and_extra_columns(spark):
     assert N.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_an_id_repeated_many_times_and_with_several_texts(spark):
+    """Repeated rows are one set; an id links by any of its texts."""
+    tune(spark)
+    words = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join(words[:k] + ["x"] + words[k + 1:])
+    rows = [(1, " ".join(words))] * 300 + [(2, near(30))] * 200 + [(3, near(10)), (3, "other text of one id here"),
+                                                                   (4, "other text of one id here"), (5, "alone")]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.doc_id, set()).add(r.component_id)
+    assert by_id == {1: {1}, 2: {1}, 3: {1}, 4: {1}, 5: {5}}
+
+
 def test_components_of_a_path(spark):
     n = 40
     ids = list(range(n))
