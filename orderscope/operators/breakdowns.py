@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import money
+from ..functions.numeric import money, ratio
 from ..plans.lookups import checked
 from ..plans.scalars import attach_row
 
@@ -49,12 +49,13 @@ def category_product_rollup(sales: DataFrame) -> DataFrame:
     # the rollup rows (categories x products) are read three times below:
     # write them once so ``sales`` is scanned once
     r, _ = checked(r.withColumn("level", level))
-    cat = r.where(F.col("gid") == 1).select("category", F.col("c").alias("pc"))
+    cat = r.where(F.col("gid") == 1).select(F.col("category").alias("pcat"), F.col("c").alias("pc"))
     tot = r.where(F.col("gid") == 3).select(F.col("c").alias("tc"))
-    j = attach_row(r.join(cat, "category", "left"), tot)  # tot: one row
+    # null-safe: rows without a category have a parent too
+    j = attach_row(r.join(cat, F.col("category").eqNullSafe(F.col("pcat")), "left"), tot)
     parent = F.when(F.col("gid") == 0, F.col("pc")).when(F.col("gid") == 1, F.col("tc"))
     return j.select("level", "category", "product", money("c").alias("revenue"),
-                    (F.col("c").cast("double") / parent.cast("double") * F.lit(100.0)).alias("pct_of_parent"))
+                    (ratio(F.col("c").cast("double"), parent.cast("double")) * F.lit(100.0)).alias("pct_of_parent"))
 
 
 def region_performance(sales: DataFrame) -> DataFrame:

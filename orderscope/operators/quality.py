@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import money, round_half_even
 from ..plans.quantiles import quantiles
+from ..plans.scalars import attach_row
 from ..sources.sales import (FACT_COLUMNS, TIEBREAK, category_medians, clean_sales,  # noqa: F401
                              dedup_keep_first, impute_prices)
 
@@ -40,14 +41,17 @@ def dedup_orders(df: DataFrame, key: str = "order_id") -> DataFrame:
 def clean_report(clean: DataFrame) -> DataFrame:
     """Rows, NULL cells left, date range, distinct customers/products, revenue."""
     nulls = sum((F.count_if(F.col(c).isNull()) for c in FACT_COLUMNS + ["revenue"]), F.lit(0))
-    return clean.agg(
+    out = clean.agg(
         F.count(F.lit(1)).alias("rows"),
         nulls.cast("bigint").alias("nulls_remaining"),
         F.min("order_date").alias("min_date"),
         F.max("order_date").alias("max_date"),
-        F.countDistinct("customer_id").alias("customers"),
-        F.countDistinct("product").alias("products"),
         money(F.sum("cents")).alias("total_revenue"))
+    # each distinct count reads its own column: several in one aggregate would
+    # multiply every row by an Expand
+    for column, name in (("customer_id", "customers"), ("product", "products")):
+        out = attach_row(out, clean.agg(F.countDistinct(column).alias(name)))
+    return out.select("rows", "nulls_remaining", "min_date", "max_date", "customers", "products", "total_revenue")
 
 
 # describe() rows reported by the reference, in its order.

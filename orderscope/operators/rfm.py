@@ -129,7 +129,9 @@ def urgent_orders(sales: DataFrame, channel: str) -> DataFrame:
     A heavily tied column: it drives the equal-width fallback of G4.
     """
     o = F.when(F.col("channel") == F.lit(channel), F.expr("order_id div 10"))
-    return sales.groupBy("customer_id").agg(F.countDistinct(o).alias("urgent_orders"))
+    out = sales.groupBy("customer_id").agg(F.countDistinct(o).alias("urgent_orders"))
+    checkpoint_dir(sales.sparkSession)
+    return out.checkpoint(eager=True)  # the edges and the scores both read it
 
 
 RFM_DESCRIBE_COLS = ["recency", "frequency", "monetary", "r", "f", "m", "rfm_total"]

@@ -36,7 +36,7 @@ def q_category_mix_by_year(spark, sf):
     final=f"""SELECT CASE WHEN r.gid = 0 THEN 'product' WHEN r.gid = 1 THEN 'category' ELSE 'total' END AS level,
        r.category, r.product, {money('r.c')} AS revenue,
        {D('r.c')} / {D('CASE WHEN r.gid = 0 THEN p.c WHEN r.gid = 1 THEN t.c END')} * {lit(100.0)} AS pct_of_parent
-FROM r LEFT JOIN (SELECT category, c FROM r WHERE gid = 1) p ON r.category = p.category
+FROM r LEFT JOIN (SELECT category, c FROM r WHERE gid = 1) p ON r.category IS NOT DISTINCT FROM p.category
 CROSS JOIN (SELECT c FROM r WHERE gid = 3) t"""))
 def q_category_product_rollup(spark, sf):
     return B.category_product_rollup(load_sales(spark, sf))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import time_features
 from ..oracles import with_base
 from ..registry import register
-from ..sources.sales import FACT_COLUMNS, TIEBREAK, load_sales, sales_raw
+from ..sources.sales import FACT_COLUMNS, TIEBREAK, load_sales, sales_preview, sales_raw
 
 _RAW_COLS = ", ".join(FACT_COLUMNS + ["revenue"])
 
@@ -22,8 +22,7 @@ def q_sales_raw(spark, sf):
 SELECT {_RAW_COLS} FROM raw ORDER BY order_date, order_id, {', '.join(TIEBREAK)} LIMIT 5"""))
 def q_preview(spark, sf):
     """A2: first five raw rows by date (the limit is the feature)."""
-    raw = sales_raw(spark, sf, with_tiebreak=True)
-    return raw.orderBy("order_date", "order_id", *TIEBREAK).limit(5).select(*FACT_COLUMNS, "revenue")
+    return sales_preview(spark, sf, 5)
 
 
 @register("time_features", group="source", sql=with_base(final="""

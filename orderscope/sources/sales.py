@@ -145,6 +145,17 @@ def sales_raw(spark: SparkSession, sf_dir: str, with_tiebreak: bool = False) ->
     return df.select(*cols)
 
 
+def sales_preview(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """A2: the first ``n`` raw rows by date.  The lines are chosen with their order's
+    date alone; only those ``n`` meet the other tables (every key has its row there)."""
+    lines = _lines(spark, sf_dir)
+    dates = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    first = lines.join(dates, lines.orderkey == dates.o_orderkey).orderBy(
+        F.col("o_orderdate").cast("date"), "order_id", *TIEBREAK).limit(n).select(*lines.columns)
+    df = _enrich(spark, sf_dir, first)
+    return df.withColumn("revenue", money(line_cents("unit_price", "quantity"))).select(*FACT_COLUMNS, "revenue")
+
+
 def sales_dirty(spark: SparkSession, sf_dir: str, with_tiebreak: bool = True) -> DataFrame:
     """Test view with the reference's kinds of dirt (FIXTURES §3), derived by Spark.
 
