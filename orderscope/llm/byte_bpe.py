@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import textvec
 
 #: Pre-tokens whose ids a worker keeps; the rest is computed again.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 #: Text handled at a time inside a batch, in characters.
 STEP_CHARS = 1 << 21
 

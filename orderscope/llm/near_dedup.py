@@ -56,6 +56,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 #: Pairs rated below threshold - MARGIN are not verified.
 MARGIN = 0.16
+#: At most so many ids (8 bytes each) are broadcast; more are shuffled with the texts.
+BROADCAST_IDS = 1_000_000
 #: Cells of the hash range that bound an intersection from above.
 CELLS = 2048
 
@@ -211,6 +213,8 @@ class _Links:
         for old in self.sets:
             ids = ids.join(old.select("id"), "id", "left_anti")
         ids = written(ids.distinct(), "dedup-need")
+        if ids.count() <= BROADCAST_IDS:  # a checked size: the texts stay where they are
+            ids = F.broadcast(ids)
         texts = self.texts.join(ids, "id", "left_semi")
         sets = texts.select("id", set_bytes("text").alias("set")).distinct()  # repeated rows are one set
         self.sets.append(written(sets, "dedup-sets"))

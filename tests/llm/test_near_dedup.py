@@ -28,6 +28,12 @@ def test_query_on_all_documents(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(N, "BROADCAST_IDS", 0)
+    words = [f"w{i}" for i in range(80)]
+    check(spark, {i: " ".join(words[:40] + [f"x{i}"] + words[40 + i % 3:]) for i in range(12)})
+
+
 def test_chains_copies_and_many_documents_that_share_half(spark):
     """A drifting chain (ends far apart), exact copies, short texts, and a crowd
     that shares a passage (large mixed buckets without links)."""
