@@ -1,22 +1,25 @@
 """Operator 5: licence scan by an exact set-similarity join.
 
-Text blocks are windows of ``BLOCK`` words, one every ``STEP`` words, so every run
-of up to ``STEP`` words lies whole in one block, however lines are broken.  A
-block matches a template if it holds at least ``percent`` of the template's
-distinct words.
+A block is a window of words; one begins at every word (``STEP`` = 1), however lines
+are broken.  Its length comes from the template: twice its words, but ``BLOCK`` at
+least (``window``).  A block matches a template if it holds at least ``percent`` of
+the template's distinct words.
 
 1. ``frequencies``: one pass counts the templates' words over all documents (at
    most one row a task and word is shuffled).
 2. Words are ordered globally by that count, rarest first.  To reach the needed
    overlap o of |T| words, a block must hold one of the first |T| - o + 1 words of
    the template (prefix filter); these words index the templates.
-3. A second pass looks the documents' words up in that index.  A candidate must
-   have at least o template words in its block (length filter), and, seen from
-   its first shared word at places i and j of both orders, |T| - i and |B| - j
-   words left (positional filter).  What remains is counted exactly.
+3. A second pass looks the documents' words up in that index.  Only blocks around a
+   prefix word are counted, and only if the batch holds o of the template's words.
+   A word at place p counts for the blocks that begin after its last place before p,
+   at most one window before p; these ranges of one word are disjoint, so the running
+   sum of their ends is the number of distinct words of every block, exact for all
+   starts at once.
 
-Fixed phrases are found word by word beside this.  The templates are a fixed
-small set and travel with the tasks; documents are not shuffled.
+Templates are short notices and whole paragraphs of licence texts
+(``licence_paragraphs.tsv``).  Fixed phrases are found word by word beside this.  The
+templates are a fixed small set and travel with the tasks; documents are not shuffled.
 
 Defined results: null and empty texts have no words and no labels; repeated rows
 get equal rows; an empty table gives none; an output column that the input has is
@@ -25,6 +28,7 @@ replaced.
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,7 @@ from . import textvec
 from .common import written
 from .decontaminate import Lookup
 
-BLOCK, STEP = 64, 32
+BLOCK, STEP = 64, 1
 
 PHRASES = (
     ("under the mit license", "mit"),
@@ -46,7 +50,7 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Notices of public licences, cut to at most ``STEP`` words each.
+#: Short notices of public licences.
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -75,22 +79,39 @@ TEMPLATES = (
     ("all rights reserved", "all-rights-reserved"),
 )
 
+#: Whole licence texts by paragraph (headings and other paragraphs of under 25 words stand with
+#: the next one).  Paragraphs that versions share carry the family's label: gpl, lgpl, gfdl, gnu, mpl.
+PARAGRAPHS = tuple((words, label) for label, words in (
+    line.split("\t") for line in pkgutil.get_data(__package__, "licence_paragraphs.tsv").decode().splitlines()))
+
+
+def window(words: int) -> int:
+    """Words of a block for a template of so many words."""
+    return max(BLOCK, 2 * words)
+
+
+_BLOCKS = T.ArrayType(T.StructType([
+    T.StructField("label", T.StringType()), T.StructField("start", T.LongType()),
+    T.StructField("end", T.LongType()), T.StructField("containment", T.DoubleType())]))
+
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("places", T.ArrayType(T.StructType([
         T.StructField("label", T.StringType()), T.StructField("word", T.LongType())]))),
-    T.StructField("blocks", T.ArrayType(T.StructType([
-        T.StructField("label", T.StringType()), T.StructField("start", T.LongType()),
-        T.StructField("end", T.LongType()), T.StructField("containment", T.DoubleType())]))),
+    T.StructField("blocks", _BLOCKS),
+    T.StructField("paragraphs", _BLOCKS),
 ])
 
 
 class Join:
     """Templates in the global order of their words, and the index of their prefixes."""
 
-    def __init__(self, templates, phrases, counts: dict[int, int], percent: int):
+    def __init__(self, templates, phrases, counts: dict[int, int], percent: int, paragraphs=()):
+        self.notices = len(templates)
+        templates = (*templates, *paragraphs)
         self.labels = [label for _, label in templates]
-        sets = [np.unique(textvec.phrase(t)) for t, _ in templates]
+        lists = [textvec.phrase(t) for t, _ in templates]
+        sets = [np.unique(x) for x in lists]
         every = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
         rank = sorted(range(len(every)), key=lambda k: (counts.get(int(every[k]), 0), int(every[k])))
         place = np.empty(len(every), np.int64)
@@ -98,12 +119,11 @@ class Join:
         self.lookup, self.order = Lookup(every), place
         self.sets = [np.sort(place[np.searchsorted(every, s)]) for s in sets]
         self.need = [-(-percent * len(s) // 100) for s in sets]
-        self.under: dict[int, list[tuple[int, int]]] = {}
+        self.window = [window(len(x)) for x in lists]
+        self.under: dict[int, list[int]] = {}
         for t, (s, need) in enumerate(zip(self.sets, self.need, strict=True)):
-            for i in range(len(s) - need + 1):
-                self.under.setdefault(int(s[i]), []).append((t, i))
-        self.prefix = np.zeros(len(every), bool)
-        self.prefix[list(self.under)] = True
+            for tok in s[:len(s) - need + 1].tolist():
+                self.under.setdefault(tok, []).append(t)
         self.phrases = [(textvec.phrase(p), label) for p, label in phrases]
 
     def places(self, w: textvec.Words, text: np.ndarray) -> list[tuple[int, int, str]]:
@@ -120,52 +140,75 @@ class Join:
             out += zip(text[at].tolist(), (at - w.first[text[at]]).tolist(), [label] * len(at), strict=True)
         return sorted(out)
 
-    def blocks(self, w: textvec.Words, text: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-        """(text, template, start, end, containment) of each matching block."""
+    def blocks(self, w: textvec.Words, text: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, template, start, end, words held) of each matching block, by text and start."""
         at, k = self.lookup.find(w.hash)
-        if not len(at):
-            return []
         token = self.order[k]
-        counts, seen, out = w.counts, set(), []
-        hot = np.flatnonzero(self.prefix[token])
-        for p, tok in zip(at[hot].tolist(), token[hot].tolist(), strict=True):
-            d = int(text[p])
-            first, n = int(w.first[d]), int(counts[d])
-            for b in {(p - first) // STEP, max((p - first) // STEP - 1, 0)}:
-                if (b, d, tok) in seen:
-                    continue
-                seen.add((b, d, tok))
-                lo, hi = first + b * STEP, min(first + b * STEP + BLOCK, first + n)
-                if not lo <= p < hi:
-                    continue
-                own = None
-                for t, i in self.under[tok]:
-                    if own is None:
-                        a, z = np.searchsorted(at, [lo, hi])
-                        own = np.unique(token[a:z])
-                        j = int(np.searchsorted(own, tok))
-                    need, words = self.need[t], self.sets[t]
-                    if len(own) < need or (b, d, -1 - t) in seen:
-                        continue
-                    if i and np.isin(words[:i], own).any():
-                        continue  # an earlier shared word leads this pair
-                    if min(len(words) - i, len(own) - j) < need:
-                        continue
-                    both = int(np.isin(words, own, assume_unique=True).sum())
-                    if both >= need:
-                        seen.add((b, d, -1 - t))
-                        out.append((d, t, lo - first, hi - first, both / len(words)))
-        return sorted(out)
-
-    def rows(self, arr: pa.Array) -> list[dict]:
+        by = np.argsort(token, kind="stable")  # places of each word, in order
+        begin = np.searchsorted(token[by], np.arange(len(self.order) + 1))
+        present = np.diff(begin) > 0
+        hot: dict[int, list[np.ndarray]] = {}
+        for tok in np.flatnonzero(present).tolist():
+            for t in self.under.get(tok, ()):
+                hot.setdefault(t, []).append(at[by[begin[tok]:begin[tok + 1]]])
+        out = [np.zeros((5, 0), np.int64)]
+        for t, places in hot.items():
+            words, need = self.sets[t], self.need[t]
+            if int(present[words].sum()) < need:
+                continue
+            start, held = self._starts(t, np.sort(np.concatenate(places)), at, token, w.first, text)
+            d = text[start]
+            end = np.minimum(start + self.window[t], w.first[d + 1])
+            out.append(np.stack([d, np.full(len(d), t), start - w.first[d], end - w.first[d], held]))
+        found = np.concatenate(out, axis=1)
+        return tuple(found[:, np.lexsort((found[1], found[2], found[0]))])
+
+    def _starts(self, t: int, hot: np.ndarray, at: np.ndarray, token: np.ndarray, first: np.ndarray,
+                text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The starts of the blocks that match template ``t``, and how many of its words they hold.
+        ``hot``: places of its prefix words, one of which every such block holds."""
+        words, need, size = self.sets[t], self.need[t], self.window[t]
+        # all template words that share a block with a prefix word
+        lo, hi = np.searchsorted(at, hot - size, "right"), np.searchsorted(at, hot + size)
+        near = np.zeros(len(at) + 1, np.int64)
+        np.add.at(near, lo, 1)
+        np.add.at(near, hi, -1)
+        near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        slot = np.minimum(np.searchsorted(words, token[near]), len(words) - 1)
+        near, slot = near[words[slot] == token[near]], slot[words[slot] == token[near]]
+        p = at[near]
+        by = np.argsort(slot, kind="stable")
+        before = np.full(len(p), -1, np.int64)  # the last place of the same word
+        same = slot[by[1:]] == slot[by[:-1]]
+        before[by[1:][same]] = p[by[:-1][same]]
+        lo = np.maximum(np.maximum(p - size, before) + 1, first[text[p]])
+        edge, place = np.unique(np.concatenate([lo, p + 1]), return_inverse=True)
+        held = np.bincount(place[:len(p)], minlength=len(edge)) - np.bincount(place[len(p):], minlength=len(edge))
+        held = np.cumsum(held)[:-1]
+        full = np.flatnonzero(held >= need)
+        length = edge[full + 1] - edge[full]
+        start = np.repeat(edge[full] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        return start, np.repeat(held[full], length)
+
+    def rows(self, arr: pa.Array) -> pa.Array:
         w = textvec.words(arr, textvec.ALNUM)
-        text = w.texts()
-        out = [{"n_words": n, "places": [], "blocks": []} for n in w.counts.tolist()]
-        for d, word, label in self.places(w, text):
-            out[d]["places"].append({"label": label, "word": word})
-        for d, t, start, end, part in self.blocks(w, text):
-            out[d]["blocks"].append({"label": self.labels[t], "start": start, "end": end, "containment": part})
-        return out
+        text, n = w.texts(), len(arr)
+
+        def lists(d, names: list[str], *columns) -> pa.Array:
+            off = pa.array(np.searchsorted(d, np.arange(n + 1)), pa.int32())
+            return pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(columns, names))
+
+        places = self.places(w, text)
+        out = [pa.array(w.counts, pa.int64()), lists(
+            np.array([x[0] for x in places], np.int64), ["label", "word"],
+            pa.array([x[2] for x in places], pa.string()), pa.array([x[1] for x in places], pa.int64()))]
+        found = np.stack(self.blocks(w, text))
+        labels, sizes = pa.array(self.labels, pa.string()), np.array([len(s) for s in self.sets], np.int64)
+        for some in (found[1] < self.notices, found[1] >= self.notices):
+            d, t, start, end, held = found[:, some]
+            out.append(lists(d, ["label", "start", "end", "containment"], labels.take(pa.array(t)), pa.array(start),
+                             pa.array(end), pa.array(held / sizes[t])))
+        return pa.StructArray.from_arrays(out, FOUND.names).cast(to_arrow_type(FOUND))
 
 
 def frequencies(df: DataFrame, templates, text: str) -> dict[int, int]:
@@ -185,13 +228,14 @@ def frequencies(df: DataFrame, templates, text: str) -> dict[int, int]:
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "licenses", templates=TEMPLATES, phrases=PHRASES,
-         percent: int = 90) -> DataFrame:
-    """Add ``out``: n_words, the phrases' places, and the blocks that match a template."""
-    counts = frequencies(df, templates, text) if templates else {}
-    join = Join(templates, phrases, counts, percent)
+         percent: int = 90, paragraphs=PARAGRAPHS) -> DataFrame:
+    """Add ``out``: n_words, the phrases' places, and the blocks that match a template or a paragraph."""
+    every = (*templates, *paragraphs)
+    counts = frequencies(df, every, text) if every else {}
+    join = Join(templates, phrases, counts, percent, paragraphs)
 
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for arr in batches:
-            yield pa.array(join.rows(arr), to_arrow_type(FOUND))
+            yield join.rows(arr)
 
     return df.withColumn(out, F.arrow_udf(find, FOUND)(F.col(f"`{text}`").cast("string")))

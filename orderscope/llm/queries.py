@@ -103,14 +103,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_license_scan")
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base, more = F.col("licenses.places.label"), F.col("licenses.blocks.label")
+    base = F.col("licenses.places.label")
+    blocks = F.concat("licenses.blocks", "licenses.paragraphs")
     return found.select(
         "doc_id", "licenses.n_words", F.size("licenses.places").cast("long").alias("n_base"),
         F.array_min("licenses.places.word").alias("first_word"), F.array_max("licenses.places.word").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base, more)), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union(base, blocks["label"])), ",").alias("labels"),
         F.when(F.size(base) > 0, 1.0).otherwise(
-            F.coalesce(F.array_max("licenses.blocks.containment"), F.lit(0.0))).alias("score"))
+            F.coalesce(F.array_max(blocks["containment"]), F.lit(0.0))).alias("score"))
 
 
 @query("op2_pu_quality")
