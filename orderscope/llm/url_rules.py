@@ -4,18 +4,20 @@ Fixed rules name a host and the start of a path; a rule fits its host and all
 subdomains, and the longest one that fits decides.
 
 The method judges the other URLs.  URLs that a fixed rule decides are the labelled
-transactions: their tokens (host labels, leading path segments, query keys) and the
-verdict.  Spark's FP-growth mines the frequent token sets; association rules with a
+transactions: all their distinct tokens (host labels, path segments, query keys) and
+the verdict.  Tokens in less than ``MIN_SUPPORT`` of the transactions stand in no
+frequent set and go before mining; tokens that stand in the same transactions are one
+*class* (``classes``), as sets that differ only within a class have equal counts.
+Spark's FP-growth mines the frequent sets of classes; association rules with a
 verdict as consequent are kept if they reach ``MIN_CONFIDENCE`` and ``MIN_SUPPORT``
 and no rule of a subset of their tokens is as confident.  Each kept rule is
-indexed under its rarest token; the distinct URLs' tokens are joined with that index
-and the rest of the rule's tokens verified.  The most confident rule wins (block
+indexed under its rarest class; the distinct URLs' classes are joined with that index
+and the rest of the rule's classes verified.  The most confident rule wins (block
 among equals); without any the verdict is allow.
 
-The number of rules does not grow with the table: every frequent token stands in a
-share of at least ``MIN_SUPPORT`` of the transactions, which hold at most
-``MAX_TOKENS`` tokens (a documented part of the method: host labels from the right,
-first path segments, first query keys).
+The number of frequent tokens does not grow with the table: each stands in a share of
+at least ``MIN_SUPPORT`` of the transactions, so there are at most 1 / ``MIN_SUPPORT``
+times the tokens of a mean transaction.  No token is lost by its place in the URL.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no
 tokens, so it is allowed; repeated rows get equal rows; without labelled URLs no
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import is_empty, written
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.8
-HOST_LABELS, SEGMENTS, KEYS = 4, 3, 3
-MAX_TOKENS = HOST_LABELS + SEGMENTS + KEYS
+#: Host labels, path segments and query keys that count: all.
+HOST_LABELS = SEGMENTS = KEYS = None
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -67,19 +69,39 @@ def fixed(host: Column, path: Column, rules=RULES) -> Column:
 def tokens(url: Column, host: Column, path: Column) -> Column:
     """The distinct tokens of a URL: ``h:`` host labels, ``p:`` path segments, ``q:`` query keys."""
     filled = lambda a: F.filter(a, lambda x: x != "")
-    mark = lambda m, a, n: F.transform(F.slice(a, 1, n), lambda x: F.concat(F.lit(m), x))
+    mark = lambda m, a: F.transform(a, lambda x: F.concat(F.lit(m), x))
     query = F.regexp_extract(F.coalesce(_rest(url), F.lit("")), r"^[^?#]*\?([^#]*)", 1)
     keys = F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1))
     return F.array_distinct(F.concat(
-        mark("h:", F.reverse(filled(F.split(host, r"\."))), HOST_LABELS),
-        mark("p:", filled(F.split(path, "/")), SEGMENTS), mark("q:", filled(keys), KEYS)))
+        mark("h:", F.reverse(filled(F.split(host, r"\.")))),
+        mark("p:", filled(F.split(path, "/"))), mark("q:", filled(keys))))
+
+
+def classes(labelled: DataFrame, support: float = MIN_SUPPORT) -> DataFrame:
+    """(token, class) of the frequent tokens of rows of (id, tokens, verdict).  ``class`` is the
+    smallest token that stands in the same rows, told by two sums of the rows' hashes."""
+    one = labelled.select("id", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("freq"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"),
+        F.sum(F.xxhash64(F.lit("y"), "id").cast("decimal(38,0)")).alias("y"))
+    total = labelled.agg(F.count("*").alias("total"))
+    one = one.crossJoin(F.broadcast(total)).where(F.col("freq") >= F.lit(support) * F.col("total"))
+    one = written(one.select("token", "freq", "x", "y"), "url-tokens")
+    first = one.groupBy("freq", "x", "y").agg(F.min("token").alias("class"))
+    return written(one.join(first, ["freq", "x", "y"]).select("token", "class"), "url-classes")
+
+
+def _classed(rows: DataFrame, names: DataFrame, *by: str) -> DataFrame:
+    """Rows of ``by`` (a key) with the classes of their ``tokens`` as ``items``."""
+    each = rows.select(*by, F.explode_outer("tokens").alias("token"))
+    # at most mean tokens / MIN_SUPPORT names
+    return each.join(F.broadcast(names), "token", "left").groupBy(*by).agg(F.collect_set("class").alias("items"))
 
 
 def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(antecedent, verdict, confidence, support, key) from rows of (tokens, verdict)."""
+    """(antecedent, verdict, confidence, support, key) from rows of (items, verdict)."""
     spark = labelled.sparkSession
     schema = "antecedent array<string>, verdict string, confidence double, support double, key string"
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
+    baskets = labelled.select(F.concat("items", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
     if is_empty(baskets):
         return spark.createDataFrame([], schema)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
@@ -109,10 +131,13 @@ def judge(df: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     rows = df.withColumn("host", host_of(u)).withColumn("path", path_of(u))
     rows = rows.withColumn("_fixed", fixed(F.col("host"), F.col("path"), rules))
     seen = rows.withColumn("tokens", tokens(u, F.col("host"), F.col("path")))
-    index = mine(seen.where("_fixed is not null").select("tokens", F.col("_fixed.verdict").alias("verdict")))
-    open_ = seen.where("_fixed is null").select(u.alias("_url"), "tokens").distinct()
-    hits = open_.withColumn("key", F.explode("tokens")).join(index, "key")
-    hits = hits.where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    labelled = written(seen.where("_fixed is not null").select(
+        F.monotonically_increasing_id().alias("id"), "tokens", F.col("_fixed.verdict").alias("verdict")), "url-labelled")
+    names = classes(labelled)
+    index = mine(_classed(labelled, names, "id", "verdict"))
+    open_ = _classed(seen.where("_fixed is null").select(u.alias("_url"), "tokens").distinct(), names, "_url")
+    hits = open_.withColumn("key", F.explode("items")).join(index, "key")
+    hits = hits.where(F.size(F.array_except("antecedent", "items")) == 0)
     best = hits.groupBy("_url").agg(F.max(F.struct("confidence", "verdict")).alias("_best"))
     out = rows.join(best, (u == F.col("_url")) & F.col("_fixed").isNull(), "left")
     return (out.withColumn("rule", F.col("_fixed.rule"))
