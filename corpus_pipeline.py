@@ -8,7 +8,8 @@ stage's documents.  All stages but the last keep the columns of ``documents``.
 2. quality rules: lines that fail a rule are removed (``text`` and ``n_chars``
    change), documents that are rejected go;
 3. near-duplicates: the document with the smallest id of each group stays; rows
-   that repeat an id are one document; rows without an id stay;
+   that repeat an id are one document, the row with the longest text (among equals
+   the largest by its columns) stays; rows without an id stay;
 4. decontamination: contaminated documents go;
 5. byte-level BPE: ``ids`` (little-endian unsigned 32-bit) of each whole text.
 
@@ -47,9 +48,11 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = written(near_dedup.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id")
                    .agg(F.count("*").alias("rows")), "kept")
     once, again = kept.where("rows = 1").select("doc_id"), kept.where("rows > 1").select("doc_id")
-    return (docs.join(once, "doc_id", "left_semi")
-            .union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-            .union(docs.where("doc_id is null")).select(docs.columns))
+    longest = F.max(F.struct(F.char_length("text").alias("_size"), F.struct(*docs.columns).alias("_row")))
+    one = docs.join(again, "doc_id", "left_semi").select(docs.columns).groupBy("doc_id").agg(longest.alias("_best"))
+    return (docs.join(once, "doc_id", "left_semi").select(docs.columns)
+            .union(one.select("_best._row.*"))
+            .union(docs.where("doc_id is null").select(docs.columns)))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

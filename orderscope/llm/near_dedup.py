@@ -10,7 +10,8 @@ connected component, and the document with the smallest id stays.
    two sketches merge by the larger register (``merged``).
 2. Equal sets are one *class*, told by size and fingerprint (a partial
    aggregation, so a third of all rows being copies is one row for each task);
-   from here on only one representative of each class takes part.
+   from here on only one representative of each class takes part.  An id with several
+   sets is linked to the representatives of all of them (``_own``).
 3. Bands of registers key buckets.  Every bucket links its members to its
    smallest one (the hub), so a bucket of k members gives k - 1 pairs.
 4. Pairs are rated by the joint likelihood of both sketches and their known set
@@ -31,7 +32,7 @@ probability 5e-6, and less above.
 Defined results: null and empty texts, and texts without words, have no
 shingles and link with nothing; texts of fewer than five words are one shingle;
 repeated rows share a class; several texts under one id are one node that links
-by any of them.  Rows with a null id take no part: ``component_id`` is null and
+by any of them, and have one component, empty texts included.  Rows with a null id take no part: ``component_id`` is null and
 ``kept`` true.  Clashing output names replace the input's.
 """
 
@@ -233,7 +234,10 @@ class _Links:
         full = full.withColumn("both", common("sa", "sb"))
         # sizes of the sets themselves: an id may have several
         union = (F.octet_length("sa") + F.octet_length("sb")) / 8 - F.col("both")
-        links = written(full.where(100 * F.col("both") >= self.percent * union).select("a", "b"), "dedup-links")
+        self.merge(written(full.where(100 * F.col("both") >= self.percent * union).select("a", "b"), "dedup-links"))
+
+    def merge(self, links: DataFrame) -> None:
+        """Merge the components that links (a, b) connect."""
         found = components(self.apart(links), "la", "lb")
         if self.labels is None:
             self.labels = written(found, "dedup-labels")
@@ -316,6 +320,15 @@ def _members(keyed: DataFrame) -> DataFrame:
     return written(keyed.join(full.select("key", "hub"), "key"), "dedup-members")
 
 
+def _own(sk: DataFrame, classes: DataFrame, set_key: list[str]) -> DataFrame:
+    """(a, b): each id with several sets, and the representatives of their classes."""
+    least = [F.min(c).alias(f"{c}_") for c in set_key]
+    several = sk.groupBy("id").agg(*least, *[F.max(c).alias(c) for c in set_key])
+    several = several.where(" OR ".join(f"{c} != {c}_" for c in set_key)).select("id")
+    sets = sk.select("id", *set_key).join(several, "id", "left_semi").distinct()
+    return sets.join(classes, set_key).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` of each row of ``df``."""
     sk = written(sketched(df, id, text), "dedup-sketches")
@@ -327,6 +340,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
     texts = df.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     links = _Links(texts.where("id is not null"), reps, percent)
 
+    own = written(_own(sk, classes, set_key), "dedup-own")
+    if not is_empty(own):
+        links.merge(own)
+
     bands = reps.select("id", band_keys("regs").alias("keys"))
     members = _members(bands.select("id", F.explode("keys").alias("key")).distinct())
     if not is_empty(members):
@@ -336,12 +353,13 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", perce
             links.join(written(links.rated(_rest(mixed, links)), "dedup-rated"))
 
     rows = sk.select("id", *set_key).join(classes, set_key, "left")
+    rows = rows.withColumn("rep", F.coalesce("rep", "id"))  # an empty text goes with its id
     if links.labels is None:
         rows = rows.withColumn("label", F.lit(None).cast("long"))
     else:
         rows = rows.join(links.labels.withColumnRenamed("node", "rep"), "rep", "left")
     rows = rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"),
-                       F.coalesce("label", "rep", "id").alias("component_id"))
+                       F.coalesce("label", "rep").alias("component_id"))
     rows = rows.withColumn("kept", F.col(id) == F.col("component_id"))
     nameless = texts.where("id is null").select(
         F.col("id").alias(id), (F.octet_length(set_bytes("text")) / 8).cast("long").alias("n_shingles"),
