@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, licenses, line_rules, near_dedup, quality, url_rules, warc, wavelet
+from . import (byte_bpe, chat, decontaminate, divergence, licenses, line_rules, near_dedup, phrases, quality, toxicity,
+               url_rules, warc, wavelet)
 from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,3 +217,64 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", "refers_to")
+
+
+_OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_FOLD} AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS k FROM d),
+kept AS (SELECT lang, k, count(*) AS total FROM w GROUP BY lang, k HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS nl FROM kept GROUP BY lang),
+c AS (SELECT lang, source, k, count(*) AS n FROM w SEMI JOIN kept USING (lang, k) GROUP BY lang, source, k),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT lang, source, k, coalesce(c.n, 0) AS own, total, nl, v,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.n + v) AS p, 1 + (1000000000::HUGEINT * (total + 1)) // (nl + v) AS q
+      FROM s JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, k)),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+                  FROM p a JOIN p b ON a.lang = b.lang AND a.k = b.k AND a.source <> b.source GROUP BY 1, 2, 3) x
+       ON a.lang = x.lang AND a.source = x.source AND b.source = x.item),
+t AS (SELECT lang, source, 'term' AS part, k AS item, (p - q) * (p - q) // q AS value FROM p WHERE own > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM pr UNION ALL SELECT * FROM t))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op11_divergence", _OP11_SQL)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= toxicity.LIMIT).cast("int").alias("predicted"))
+
+
+_OP13_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, w[i:i + k - 1] AS g, count(*) AS c
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+      GROUP BY 1, 2 HAVING count(*) >= 30),
+cut AS (SELECT x.lang, x.g, x.c AS a, k, y.c AS l, z.c AS r, (2000000::HUGEINT * x.c) // (y.c + z.c) AS score
+        FROM (SELECT *, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1) x
+        JOIN f y ON x.lang = y.lang AND x.g[1:k] = y.g JOIN f z ON x.lang = z.lang AND x.g[k + 1:len(x.g)] = z.g),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+sub AS (SELECT lang, g[i:i + m - 1] AS g, max(c) AS longer
+        FROM (SELECT lang, g, c, m, unnest(range(1, len(g) - m + 2)) AS i
+              FROM (SELECT *, unnest(range(2, len(g))) AS m FROM f WHERE len(g) > 2)) GROUP BY 1, 2),
+r AS (SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN sub USING (lang, g)
+      WHERE longer IS NULL OR 100 * longer < 80 * a),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM r)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n::BIGINT AS n, score::BIGINT AS score
+FROM k JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_collocations", _OP13_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
