@@ -168,14 +168,15 @@ def fit_line(sample: DataFrame, x: str = "frequency", y_cents: str = "cents", po
     """Degree-1 least-squares line of money ``y_cents/100`` on integer ``x``
     and ``points`` evenly spaced x values (``linspace``).
 
-    Slope and intercept are ratios of exact integer sums (normal equations).
+    Slope and intercept are ratios of exact integer sums (normal equations), NULL
+    where all x are equal.
     """
     a = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y_cents).alias("sy"),
                    F.sum(dec(x) * dec(y_cents)).alias("sxy"), F.sum(dec(x) * dec(x)).alias("sxx"),
                    F.min(x).cast("double").alias("lo"), F.max(x).cast("double").alias("hi"))
     den = exact_double(dec("n") * F.col("sxx") - dec("sx") * dec("sx"))
-    slope = exact_double(dec("n") * F.col("sxy") - dec("sx") * dec("sy")) / den / F.lit(100.0)
-    icpt = exact_double(dec("sy") * F.col("sxx") - dec("sx") * F.col("sxy")) / den / F.lit(100.0)
+    slope = ratio(exact_double(dec("n") * F.col("sxy") - dec("sx") * dec("sy")), den) / F.lit(100.0)
+    icpt = ratio(exact_double(dec("sy") * F.col("sxx") - dec("sx") * F.col("sxy")), den) / F.lit(100.0)
     a = a.select(slope.alias("slope"), icpt.alias("intercept"), "lo", "hi")
     g = a.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(points - 1))

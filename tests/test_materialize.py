@@ -15,7 +15,7 @@ from .conftest import SF_SMALL
 @pytest.fixture()
 def copy(tmp_path):
     for t in S.SOURCE_TABLES:
-        shutil.copy(f"{SF_SMALL}/{t}.parquet", tmp_path)
+        shutil.copyfile(f"{SF_SMALL}/{t}.parquet", tmp_path / f"{t}.parquet")  # not the read-only mode
     return f"file://{tmp_path}"
 
 

@@ -38,3 +38,10 @@ def test_growth_over_an_empty_base_year_is_null(spark):
     seg = spark.createDataFrame([(1, "Champions", 3, 2, 1.0)], "customer_id long, segment string, recency int, frequency long, monetary double")
     for df in (L.overview_kpis(sales, seg, 1999, 2000), L.project_summary(sales, seg, 1999, 2000)):
         assert df.select(F.col("yoy_pct")).first()[0] is None
+
+
+def test_line_through_equal_x_has_no_slope(spark):
+    df = spark.createDataFrame([(1, 4, 100), (2, 4, 300)], "customer_id long, frequency long, cents long")
+    rows = J.fit_line(df, points=5).collect()
+    assert len(rows) == 5 and all(r.x == 4.0 and r.slope is None and r.intercept is None and r.y is None for r in rows)
+    assert {r.slope for r in J.fit_line(df.limit(0), points=5).collect()} == {None}
