@@ -1,9 +1,8 @@
-"""Standardised RFM features, k-means and segment reports.
+"""Standardised RFM features and segment reports.
 
 * H1 standardises with the population std (StandardScaler, ddof 0) from exact
   integer sums, so the features are the same bits on every engine.
-* H2–H4 run Lloyd's iterations for all starts of all k in the same passes; the
-  starts and the means do not depend on partitions, the lowest cost wins.
+* H2–H4, the k-means fits, are in :mod:`orderscope.operators.kmeans`.
 * H5 assigns customers to given centroids: the k centroids (k rows, bounded
   by construction) travel as one broadcast array row, and the nearest one is
   picked row-locally with higher-order functions — no shuffle, no pairs.
@@ -12,10 +11,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
-
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +84,7 @@ def seed_centroids(scores: DataFrame) -> DataFrame:
                                  for c in FEATURES])
 
 
-def _nearest(centroids: str) -> Column:
+def nearest(centroids: str) -> Column:
     """(d, cluster) of the nearest centroid in an array column; ties to the lower id."""
     d = "+".join(f"(c.{z} - {z}) * (c.{z} - {z})" for z in Z)
     return F.expr(f"array_min(transform({centroids}, c -> named_struct('d', {d}, 'cluster', c.cluster)))")
@@ -99,130 +94,7 @@ def assign_centroids(scaled: DataFrame, centroids: DataFrame) -> DataFrame:
     """H5: ``scaled`` with the nearest centroid (squared Euclidean; ties to the lower id)."""
     one = centroids.agg(F.collect_list(F.struct("cluster", *Z)).alias("_cs"))  # k rows -> one row
     j = attach_row(scaled, one)
-    return j.select(*scaled.columns, _nearest("_cs")["cluster"].alias("cluster"))
-
-
-#: Starts are drawn from the customers of smallest hash; the bound keeps them on the driver.
-SAMPLE = 10_000
-
-
-def start_centroids(scaled: DataFrame, ks: Sequence[int], n_init: int, seed: int = 42) -> list[list[tuple]]:
-    """``n_init`` k-means++ starts for each k (in this order), drawn on the driver from
-    ``SAMPLE`` customers chosen by a hash of their id: independent of the layout."""
-    order = [F.xxhash64("customer_id", F.lit(seed)), "customer_id"]
-    rows = np.array([tuple(r) for r in scaled.orderBy(*order).limit(SAMPLE).select(*Z).collect()], float).reshape(-1, 3)
-    out = []
-    for k in ks:
-        for i in range(n_init):
-            rng = np.random.default_rng([seed, k, i])
-            picked = [rows[rng.integers(len(rows))]] if len(rows) else []
-            while picked and len(picked) < k:
-                d = np.min([((rows - c) ** 2).sum(1) for c in picked], axis=0)
-                p = d / d.sum() if d.sum() > 0 else None
-                picked.append(rows[rng.choice(len(rows), p=p)])
-            out.append([tuple(map(float, c)) for c in picked])
-    return out
-
-
-def lloyd(scaled: DataFrame, starts: list[list[tuple]], max_iter: int = 300, tol: float = 1e-4) -> list[tuple]:
-    """(centroids, cost) of every start after Lloyd's iterations, all starts in the same passes.
-
-    A pass assigns each customer in every model still moving and adds up exact
-    integer features per (model, cluster); map tasks combine before the shuffle and
-    only models * k rows reach the driver, which holds the centroids.  Means
-    come from integer sums, so centroids do not depend on partitions or task order.
-    """
-    stats = scaled.agg(*[F.first(f"mean_{c}").alias(f"mean_{c}") for c in FEATURES],
-                       *[F.first(f"std_{c}").alias(f"std_{c}") for c in FEATURES]).first()
-    scale = [(stats[f"mean_{c}"], stats[f"std_{c}"] or 1.0, SCALE[c]) for c in FEATURES]
-    now, cost, moving = list(starts), [0.0] * len(starts), set(range(len(starts)))
-    kind = "array<struct<m:int,cs:array<struct<cluster:int," + ",".join(f"{z}:double" for z in Z) + ">>>>"
-    for step in range(max_iter + 1):
-        models = sorted(moving) if step < max_iter else []
-        if not models:
-            break
-        cells = F.from_json(F.lit(json.dumps([  # one literal, folded to a constant array
-            {"m": m, "cs": [{"cluster": k, **dict(zip(Z, c, strict=True))} for k, c in enumerate(now[m])]}
-            for m in models])), kind)
-        rows = scaled.select(*Z, *[f"i_{c}" for c in FEATURES], F.explode(cells).alias("x"))
-        rows = rows.select("x.m", *[f"i_{c}" for c in FEATURES], *Z, F.col("x.cs").alias("cs"))
-        rows = rows.select("m", *[f"i_{c}" for c in FEATURES], _nearest("cs").alias("best"))
-        sums = rows.groupBy("m", F.col("best.cluster").alias("cluster")).agg(
-            F.count("*").alias("n"), F.sum("best.d").alias("d"), *[F.sum(f"i_{c}").alias(c) for c in FEATURES])
-        new = {m: [list(c) for c in now[m]] for m in models}
-        cost_now = dict.fromkeys(models, 0.0)
-        for r in sorted(sums.collect()):  # a row for each model and cluster
-            cost_now[r["m"]] += r["d"]
-            new[r["m"]][r["cluster"]] = [(r[c] / r["n"] / s - mean) / std
-                                         for c, (mean, std, s) in zip(FEATURES, scale, strict=True)]
-        for m in models:
-            shift = sum((a - b) ** 2 for c, d in zip(now[m], new[m], strict=True) for a, b in zip(c, d, strict=True))
-            cost[m] = cost_now[m]
-            if shift <= tol:
-                moving.discard(m)
-            else:
-                now[m] = [tuple(c) for c in new[m]]
-    return list(zip(now, cost, strict=True))
-
-
-def _with_stats(rfm: DataFrame) -> DataFrame:
-    """Scaled features with the scaling statistics, written once for the passes over them."""
-    checkpoint_dir(rfm.sparkSession)
-    return attach_row(scaled_features(rfm), scaling_stats(rfm)).checkpoint(eager=True)
-
-
-def _best(models: list[tuple], n_init: int, j: int) -> tuple:
-    return min(models[j * n_init:(j + 1) * n_init], key=lambda x: x[1])
-
-
-def _frame(spark, centroids) -> DataFrame:
-    rows = [(k, *c) for k, c in enumerate(centroids)]
-    return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{z} double" for z in Z))
-
-
-def kmeans_sweep(rfm: DataFrame, ks=range(2, 9), n_init: int = 10, seed: int = 42,
-                 silhouette: bool = True) -> DataFrame:
-    """H2 + H3: inertia and, if asked for, silhouette per k from the best of ``n_init``
-    starts, all in the same passes (Spark's silhouette is the squared-Euclidean one,
-    linear in the data; the exact Euclidean one needs all pairs and is not offered)."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    scaled, ks = _with_stats(rfm), list(ks)
-    models = lloyd(scaled, start_centroids(scaled, ks, n_init, seed))
-    rate = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="squaredEuclidean")
-    feats = VectorAssembler(inputCols=Z, outputCol="features").transform(scaled)
-    rows = []
-    for j, k in enumerate(ks):
-        centroids, cost = _best(models, n_init, j)
-        if not silhouette:
-            rows.append((int(k), float(cost), None))
-            continue
-        found = assign_centroids(feats, _frame(rfm.sparkSession, centroids))
-        rows.append((int(k), float(cost), float(rate.evaluate(found.withColumn("cluster", F.col("cluster").cast("double"))))))
-    return rfm.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-
-
-def kmeans_assigned(rfm: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> DataFrame:
-    """H4: ``rfm`` with its scaled features and the cluster of the best of ``n_init`` fits.
-
-    Cluster ids are arbitrary, so segments are named from the cluster profiles
-    (H7), never from ids.
-    """
-    scaled = _with_stats(rfm)
-    models = lloyd(scaled, start_centroids(scaled, [k], n_init, seed))
-    return assign_centroids(scaled, _frame(rfm.sparkSession, _best(models, n_init, 0)[0]))
-
-
-def kmeans_violations(assigned: DataFrame, slack: float = 1e-3) -> DataFrame:
-    """One row: customers, those clearly nearer (by ``slack``) to another cluster's mean
-    than to their own, and the number of clusters."""
-    means = assigned.groupBy("cluster").agg(*[F.avg(z).alias(z) for z in Z])
-    one = means.agg(F.collect_list(F.struct("cluster", *Z)).alias("_cs"))
-    own = F.expr("filter(_cs, c -> c.cluster = cluster)[0]")
-    d = sum(((own[z] - F.col(z)) * (own[z] - F.col(z)) for z in Z), F.lit(0.0))
-    j = attach_row(assigned.select(*Z, "cluster"), one)
-    return j.agg(F.count("*").alias("customers"), F.count_if(d > _nearest("_cs")["d"] * (1 + slack) + slack).alias("not_nearest"),
-                 F.countDistinct("cluster").alias("clusters"))
+    return j.select(*scaled.columns, nearest("_cs")["cluster"].alias("cluster"))
 
 
 def assigned_by_seeds(scores: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def _sq(x):
     return f"({x}) * ({x})"
 
 
-SEG_CTES = SCORES_CTES + [
+SCALED_CTES = [
     ("iv", "SELECT customer_id, CAST(recency AS BIGINT) AS i_recency, CAST(frequency AS BIGINT) AS i_frequency, "
            "CAST(round_even(monetary * 100.0::DOUBLE, 0) AS BIGINT) AS i_monetary FROM rfm"),
     ("st0", "SELECT count(*) AS n, " + ", ".join(f"sum(i_{c}) AS s_{c}, sum({H(f'i_{c}')} * i_{c}) AS ss_{c}"
@@ -35,6 +35,8 @@ SEG_CTES = SCORES_CTES + [
         f"/ {lit(_S[c] * _S[c])}) AS std_{c}" for c in _F) + " FROM st0"),
     ("sz", "SELECT customer_id, " + ", ".join(
         f"({D(f'i_{c}')} / {lit(_S[c])} - mean_{c}) / std_{c} AS {c}_z" for c in _F) + " FROM iv, st"),
+]
+SEED_CTES = [
     ("cb", "SELECT CAST(least(3, (s.rfm_total - 3) // 3) AS INTEGER) AS cluster, count(*) AS nb, "
            + ", ".join(f"sum(i.i_{c}) AS b_{c}" for c in _F)
            + " FROM iv i JOIN scores s ON i.customer_id = s.customer_id GROUP BY 1"),
@@ -43,6 +45,9 @@ SEG_CTES = SCORES_CTES + [
     ("asg", "SELECT s.customer_id, " + ", ".join(f"s.{c}_z" for c in _F) + ", c.cluster FROM sz s, cen c "
             "QUALIFY row_number() OVER (PARTITION BY s.customer_id ORDER BY "
             + " + ".join(_sq(f"c.{c}_z - s.{c}_z") for c in _F) + ", c.cluster) = 1"),
+]
+#: Profiles, labels and segments of any assignment ``asg``.
+REPORT_CTES = [
     ("prof0", "SELECT a.cluster, count(*) AS customers, "
               f"{D('sum(i.i_recency)')} / {D('count(*)')} AS recency, "
               f"{D('sum(i.i_frequency)')} / {D('count(*)')} AS frequency, "
@@ -59,6 +64,7 @@ SEG_CTES = SCORES_CTES + [
     ("seg", "SELECT r.*, c.cluster, c.segment FROM rfm r JOIN cseg c ON r.customer_id = c.customer_id"),
     ("ord", " UNION ALL ".join(f"SELECT '{s}' AS segment, {i + 1} AS seg_order" for i, s in enumerate(G.SEGMENTS))),
 ]
+SEG_CTES = SCORES_CTES + SCALED_CTES + SEED_CTES + REPORT_CTES
 ZD = [f"{c}_z" for c in _F]
 
 
@@ -165,56 +171,3 @@ def q_segment_customers_all(spark, sf):
     return G.segment_customers(_seg(spark, sf))
 
 
-# --- the same reports on k-means clusters (local optima are not SQL-expressible;
-# --- kmeans_violations, which must be empty sums, is) ---
-
-N_INIT = 10
-
-
-def _kmeans(spark, sf):
-    return G.kmeans_assigned(R.customer_table(load_sales(spark, sf)), 4, N_INIT)
-
-
-def _kmeans_seg(spark, sf):
-    return G.segmented(_kmeans(spark, sf))
-
-
-def _sweep(spark, sf, silhouette):
-    return G.kmeans_sweep(R.customer_table(load_sales(spark, sf)), n_init=N_INIT, silhouette=silhouette)
-
-
-@register("kmeans_elbow", group="kmeans", sql=None)
-def q_kmeans_elbow(spark, sf):
-    return _sweep(spark, sf, False).select("k", "inertia")
-
-
-@register("kmeans_silhouette", group="kmeans", sql=None)
-def q_kmeans_silhouette(spark, sf):
-    return _sweep(spark, sf, True).select("k", "silhouette")
-
-
-@register("rfm_clusters", group="kmeans", sql=None)
-def q_rfm_clusters(spark, sf):
-    return _kmeans_seg(spark, sf).select("customer_id", "cluster", "segment")
-
-
-@register("kmeans_violations", group="kmeans", sql=with_base(
-    ("c", "SELECT count(DISTINCT customer_id) AS n FROM sales"),
-    final="SELECT n AS customers, CAST(0 AS BIGINT) AS not_nearest, CAST(4 AS BIGINT) AS clusters FROM c"))
-def q_kmeans_violations(spark, sf):
-    """Customers that are nearer to the mean of another cluster than to their own: none."""
-    return G.kmeans_violations(_kmeans(spark, sf))
-
-
-_REPORTS = {
-    "segment_summary": G.segment_summary,
-    "segment_counts": G.segment_counts,
-    "segment_revenue": G.segment_revenue,
-    "segment_treemap": G.segment_treemap,
-    "segment_customers": G.segment_customers,
-    "cluster_profile": G.cluster_profile,
-    "segment_labels": lambda seg: G.segment_labels(G.cluster_profile(seg)),
-}
-for _name, _report in _REPORTS.items():
-    register(f"{_name}_kmeans", group="kmeans", sql=None)(
-        lambda spark, sf, report=_report: report(_kmeans_seg(spark, sf)))

@@ -45,7 +45,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import line_cents, money
 from ..plans.lookups import lookup_join
-from ..session import checkpoint_dir, file_system
+from ..plans.store import publish
+from ..session import checkpoint_dir
 
 # Total order for "keep the first duplicate": the reference keeps the first row
 # of a date sort; we make the order total with the line's own columns.
@@ -274,24 +275,6 @@ def sales_path(spark: SparkSession, sf_dir: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/sales-{_snapshot_key(spark, sf_dir)}"
 
 
-def _published(spark: SparkSession, base: str) -> str | None:
-    """The data folder that ``base`` names as complete, if any."""
-    fs, marker = file_system(spark, f"{base}/PUBLISHED")
-    if not fs.exists(marker):
-        return None
-    name = spark.read.text(f"{base}/PUBLISHED").first()[0]
-    return f"{base}/{name}"
-
-
-def _publish(spark: SparkSession, base: str, name: str) -> None:
-    """Name a complete data folder: the marker is written aside and then renamed."""
-    fs, aside = file_system(spark, f"{base}/{name}.marker")
-    out = fs.create(aside, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    fs.rename(aside, file_system(spark, f"{base}/PUBLISHED")[1])
-
-
 def with_year(sales: DataFrame) -> DataFrame:
     return sales.withColumn("order_year", F.year("order_date"))
 
@@ -305,15 +288,10 @@ def materialize_sales(spark: SparkSession, sf_dir: str) -> str:
     folder that nothing reads, and readers never see a table being replaced.
     Reading it back cuts the lineage of every analysis.
     """
-    base = sales_path(spark, sf_dir)
-    done = _published(spark, base)
-    if done:
-        return done
-    name = f"data-{uuid.uuid4().hex}"
-    table = with_year(build_sales(spark, sf_dir)).repartitionByRange("order_date", "order_id")
-    table.sortWithinPartitions("order_date", "order_id").write.partitionBy("order_year").parquet(f"{base}/{name}")
-    _publish(spark, base, name)
-    return f"{base}/{name}"
+    def write(path: str) -> None:
+        table = with_year(build_sales(spark, sf_dir)).repartitionByRange("order_date", "order_id")
+        table.sortWithinPartitions("order_date", "order_id").write.partitionBy("order_year").parquet(path)
+    return publish(spark, sales_path(spark, sf_dir), write)
 
 
 def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,3 +303,14 @@ def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     if spark.conf.get(MATERIALIZE_CONF, "true").lower() == "false":
         return with_year(build_sales(spark, sf_dir))
     return spark.read.schema(SALES_SCHEMA).parquet(materialize_sales(spark, sf_dir))
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """``build(sales)`` for an analysis that many queries share (the customers, their
+    clusters): written once per snapshot of ``sales`` beside it.  ``name`` changes with
+    the parameters and with what ``build`` computes."""
+    if spark.conf.get(MATERIALIZE_CONF, "true").lower() == "false":
+        return build(load_sales(spark, sf_dir))
+    base = f"{sales_path(spark, sf_dir)}-{name}"
+    path = publish(spark, base, lambda path: build(load_sales(spark, sf_dir)).write.parquet(path))
+    return spark.read.parquet(path)
