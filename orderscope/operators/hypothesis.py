@@ -17,7 +17,7 @@ from ..functions.numeric import dec, exact_double, money, ratio
 from ..plans.quantiles import medians
 from ..plans.ranks import values_below
 from ..plans.scalars import attach_row
-from ..session import checkpoint_dir
+from ..plans.store import stored
 
 ALPHA = 0.05
 
@@ -78,13 +78,11 @@ def mann_whitney_stats(samples: DataFrame, value: str = "monetary") -> DataFrame
     two sample medians.  Rank sums are exact (decimal) and computed per
     distinct value: ``R1 = Σ n1(v)·(below(v) + (n(v)+1)/2)``.
     """
-    # the samples (customer-level rows) feed both the rank counts and the
-    # medians: write them once so the membership scan of sales runs once
-    checkpoint_dir(samples.sparkSession)
-    samples = samples.checkpoint(eager=True)
-    vc = samples.groupBy(value).agg(
+    # the values with their counts in both samples give ranks and medians: written
+    # once, so the membership scan of sales runs once
+    vc = stored(samples.where(F.col(value).isNotNull()).groupBy(value).agg(
         F.count_if(F.col("sample") == 1).alias("c1"),
-        F.count_if(F.col("sample") == 2).alias("c2")).withColumn("c", F.col("c1") + F.col("c2"))
+        F.count_if(F.col("sample") == 2).alias("c2")).withColumn("c", F.col("c1") + F.col("c2")), "values")
     r = values_below(vc, value, "c")
     dec = lambda c: F.col(c).cast("decimal(38,0)")
     agg = r.agg(
@@ -101,7 +99,9 @@ def mann_whitney_stats(samples: DataFrame, value: str = "monetary") -> DataFrame
     z = ratio(F.greatest("u1", "u2") - F.col("n1").cast("double") * F.col("n2").cast("double") / F.lit(2.0)
               - F.lit(0.5), F.col("sigma"))  # all values tied: no spread, z is NULL
     a = a.withColumn("z", z)
-    med = medians(samples, value, ["sample"], out="median")
+    each = vc.select(F.col(value).cast("double").alias("v"), F.explode(F.array(
+        F.struct(F.lit(1).alias("sample"), F.col("c1").alias("c")), F.struct(F.lit(2).alias("sample"), F.col("c2").alias("c")))).alias("s"))
+    med = medians(None, value, ["sample"], out="median", counts=each.select("v", "s.sample", "s.c").where("c > 0"))
     mm = med.agg(F.max(F.when(F.col("sample") == 1, F.col("median"))).alias("median1"),
                  F.max(F.when(F.col("sample") == 2, F.col("median"))).alias("median2"))
     return attach_row(a, mm)  # both one row

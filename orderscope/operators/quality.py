@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import money, round_half_even
-from ..plans.quantiles import quantiles
+from ..functions.numeric import dec, exact_double, money, ratio, round_half_even
+from ..plans.quantiles import quantiles, value_counts
 from ..plans.scalars import attach_row
 from ..sources.sales import (FACT_COLUMNS, TIEBREAK, category_medians, clean_sales,  # noqa: F401
                              dedup_keep_first, impute_prices)
@@ -63,22 +63,25 @@ def describe(df: DataFrame, columns: Sequence[str], scales: dict[str, int] | Non
     """Pandas ``describe().round(digits)`` in long form, one row per column.
 
     ``scales`` gives columns whose values are exact multiples of ``1/scale``
-    (money: 100); their mean is computed from exact integer sums.  Quantiles
-    come from the distributed exact plan; ``std`` is the sample deviation.
+    (money: 100), other columns hold integers; mean and sample deviation come from
+    exact integer sums, quantiles from the distributed exact plan, and all of them
+    from one table of distinct values with their counts.
     """
     scales = scales or {}
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"),
-                 F.rint(F.col(c).cast("double") * F.lit(float(scales.get(c, 1)))).cast("bigint").alias("iv"),
-                 F.lit(float(scales.get(c, 1))).alias("scale"))
-        for c in columns])).alias("m")).select("m.*").where(F.col("value").isNotNull())
-    agg = long.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("count"),
-        (F.sum("iv").cast("double") / F.count(F.lit(1)).cast("double") / F.first("scale")).alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    q = quantiles(long, "value", [0.25, 0.5, 0.75], ["metric"], out=["p25", "p50", "p75"])
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])).alias("m")).select("m.*")
+    vc = value_counts(long, "value", ["metric"])  # one scan; all that follows reads it
+    scale = F.element_at(F.create_map(*[F.lit(x) for c in columns for x in (c, float(scales.get(c, 1)))]), F.col("metric"))
+    iv = dec(F.rint(F.col("v") * scale).cast("bigint"))
+    agg = vc.groupBy("metric").agg(
+        F.sum("c").alias("count"), F.sum((dec("c") * iv).cast("decimal(38,0)")).alias("s"),
+        F.sum((dec("c") * (iv * iv).cast("decimal(38,0)")).cast("decimal(38,0)")).alias("ss"),
+        F.min("v").alias("min"), F.max("v").alias("max")).withColumn("scale", scale)
+    n = F.col("count").cast("double")
+    var = ratio(exact_double(dec("count") * F.col("ss") - F.col("s") * F.col("s")), n * (n - F.lit(1.0)))
+    agg = agg.select("metric", "count", (F.col("s").cast("double") / n / F.col("scale")).alias("mean"),
+                     (F.sqrt(var) / F.col("scale")).alias("std"), "min", "max")
+    q = quantiles(None, "value", [0.25, 0.5, 0.75], ["metric"], out=["p25", "p50", "p75"], counts=vc)
     out = agg.join(q, "metric")
     r = lambda c: round_half_even(F.col(c), digits).alias(c)
     return out.select("metric", "count", r("mean"), r("std"), r("min"), r("p25"), r("p50"),

@@ -3,28 +3,21 @@
 Spark's built-in ``percentile`` keeps one value->count map per group and merges
 it in a single task, and ``percentile_approx`` is not exact.  This plan finds
 the exact order statistics with only aggregations, joins of small tables and
-windows over bounded value ranges:
+bounded windows:
 
 1. ``vc``   distinct-value counts per group (partial aggregation: a group or a
    value holding a third of all rows is collapsed map-side).
-2. ``g``    per group ``n``, ``lo``, ``hi`` (one row per group) and the wanted
-   0-based ranks ``k`` (two per probability: the interpolation pair).
-3. A group of at most ``LEAF_MAX_DISTINCT`` distinct values is one leaf: one
-   running count over them, a bounded sort per task.
-4. In a larger group every wanted rank keeps a value *window*
-   (``lo..hi``, the count ``off`` of rows below it, its distinct count ``d``),
-   starting with its group's range.  Each level splits every window into
-   ``BUCKETS`` equal parts of its own actual ``min..max`` (a monotone map, so a
-   part is a contiguous run of sorted values), counts rows per part (at most
-   ``BUCKETS`` rows per window), and keeps the part that holds the rank.  A
-   window with ``d >= 2`` has ``min < max``, so both end parts are non-empty
-   and ``d`` shrinks strictly; the loop stops once every ``d`` is at most
-   ``LEAF_MAX_DISTINCT``.  Only then are values sorted, in a window
-   partitioned by rank.  Equal-width parts of the *own* range adapt to
-   skewed or clustered values: no fixed bucket can end up holding a third of
-   a group's distinct values.
-
-``vc`` and every level's candidates are written with a reliable
+2. ``g``    per group ``n`` (one row per group) and the wanted 0-based ranks ``k``
+   (two per probability: the interpolation pair).
+3. If every group has at most ``LEAF_MAX_DISTINCT`` distinct values: one running
+   count over them, a bounded sort per task.
+4. Otherwise radix selection (:mod:`orderscope.plans.radix`): four times, the rows
+   below each wanted prefix of digits are counted by their next digit, and the digit
+   that holds the rank is kept.  A running count covers at most 65,536 rows,
+   all groups, probabilities and columns share the four aggregations, and after the
+   last digit one value is left for each rank.
+
+``vc`` and each digit's small table of prefixes are written with a reliable
 ``checkpoint()`` (the shared folder named by ``spark.checkpoint.dir``): the
 input is scanned once, the lineage is cut, and a lost executor never forces
 recomputing the input.
@@ -44,11 +37,10 @@ from pyspark.sql import functions as F
 from ..functions.numeric import lerp
 from ..session import checkpoint_dir
 from .lookups import checked, lookup_join
+from .radix import DIGITS, with_digits
 
-BUCKETS = 1024
-# A running count (a sort in one task) never covers more distinct values than
-# this: a group that holds more is narrowed to windows around its wanted ranks.
-LEAF_MAX_DISTINCT = 4_000
+# Up to this many distinct values of a group are sorted in one task (a few MB).
+LEAF_MAX_DISTINCT = 100_000
 _G = "_qgroup"
 
 
@@ -72,7 +64,7 @@ def _prep(df: DataFrame | None, value: str, by: Sequence[str], counts: DataFrame
     keys = list(by) if by else [_G]
     if not by:
         vc = vc.withColumn(_G, F.lit(0))
-    g = vc.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    g = vc.groupBy(*keys).agg(F.sum("c").alias("n"))
     return keys, vc, g
 
 
@@ -100,58 +92,21 @@ def _targets(g: DataFrame, keys: list[str], probs: Sequence[float], median: bool
     return rows.select(*keys, "i", "t", side.alias("s")).select(*keys, "i", "t", "s.j", "s.k")
 
 
-def _parts(rows: DataFrame, by: list[str], buckets: int) -> DataFrame:
-    """Split each window (``by``, bounds ``lo..hi``, ``off`` rows below it) into
-    ``buckets`` equal parts of its range: rows, value bounds, distinct count and
-    the running start ``ps`` of every non-empty part (at most ``buckets`` rows
-    per window, so the running count is a bounded window)."""
-    B = float(buckets)
-    x = F.when(F.col("hi") > F.col("lo"),
-               (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(B)).otherwise(F.lit(0.0))
-    part = F.least(F.floor(x), F.lit(buckets - 1)).cast("int")
-    cnt = rows.withColumn("part", part).groupBy(*by, "part").agg(
-        F.sum("c").alias("pc"), F.min("v").alias("plo"), F.max("v").alias("phi"),
-        F.count(F.lit(1)).alias("pd"), F.max("off").alias("off"))
-    w = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return cnt.withColumn("ps", F.col("off") + F.coalesce(F.sum("pc").over(w), F.lit(0)))
-
-
-def _holds_k():
-    return (F.col("k") >= F.col("ps")) & (F.col("k") < F.col("ps") + F.col("pc"))
-
-
-def _window():
-    return [F.col("plo").alias("lo"), F.col("phi").alias("hi"), F.col("ps").alias("off"), F.col("pd").alias("d")]
-
-
-def _in_window(rows: DataFrame, win: DataFrame, on: list[str], size: int) -> DataFrame:
-    """Rows joined with the (size-checked) windows on ``on``, kept when inside."""
-    j = lookup_join(rows, win, on, size=size)
-    return j.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-
-
-def _locate_narrowing(vc: DataFrame, g: DataFrame, targets: DataFrame, keys: list[str],
-                      buckets: int = BUCKETS, leaf_max: int | None = None) -> DataFrame:
-    """Groups over the leaf bound: value at rank ``k`` for every target row by narrowing
-    windows until each is at or under the bound (windows shrink strictly)."""
-    leaf_max = LEAF_MAX_DISTINCT if leaf_max is None else leaf_max
-    rk = keys + ["k"]
-    # level 0 is shared by all ranks of a group: split the group's own range
-    first = lookup_join(vc, g.select(*keys, "lo", "hi"), keys).withColumn("off", F.lit(0).cast("bigint"))
-    parts = _parts(first, keys, buckets)
-    ranks = targets.select(*keys, "k").distinct()
-    win, size = checked(ranks.join(parts, keys).where(_holds_k()).select(*rk, *_window()))
-    cand = _in_window(vc, win.select(*rk, "lo", "hi", "off"), keys, size)
-    while (win.agg(F.max("d")).collect()[0][0] or 0) > leaf_max:
-        cand, _n = checked(cand.select(*rk, "v", "c", "lo", "hi", "off"))
-        win, size = checked(_parts(cand, rk, buckets).where(_holds_k()).select(*rk, *_window()))
-        cand = _in_window(cand.select(*rk, "v", "c"), win.select(*rk, "lo", "hi", "off"), rk, size)
-    # leaf: at most leaf_max distinct values per rank
-    wl = Window.partitionBy(*rk).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    leaf = cand.withColumn("s", F.col("off") + F.coalesce(F.sum("c").over(wl), F.lit(0)))
-    found = leaf.where((F.col("k") >= F.col("s")) & (F.col("k") < F.col("s") + F.col("c"))) \
-                .select(*rk, "v")
-    return targets.join(found, rk).select(*keys, "i", "t", "j", "v")
+def _locate_radix(vc: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Value at rank ``k`` for every target row, digit by digit."""
+    rows = with_digits(vc, "v")
+    win, size = targets.select(*keys, "k").distinct().withColumn("off", F.lit(0).cast("bigint")), None
+    for i, digit in enumerate(DIGITS):
+        prefix = keys + DIGITS[:i]
+        if i:  # only values below a prefix that holds a wanted rank
+            rows = lookup_join(rows, win.select(*prefix).distinct(), prefix, size=size)
+        count = rows.groupBy(*prefix, digit).agg(F.sum("c").alias("pc"), F.max("v").alias("v"))
+        before = Window.partitionBy(*prefix).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        count = count.withColumn("ps", F.coalesce(F.sum("pc").over(before), F.lit(0)))
+        start = F.col("off") + F.col("ps")
+        win = win.join(count, prefix).where((F.col("k") >= start) & (F.col("k") < start + F.col("pc")))
+        win, size = checked(win.select(*prefix, digit, "k", start.alias("off"), "v").drop(*([] if i == 3 else ["v"])))
+    return targets.join(win.select(*keys, "k", "v"), keys + ["k"]).select(*keys, "i", "t", "j", "v")
 
 
 def _locate_direct(vc: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,14 +121,14 @@ def _locate_direct(vc: DataFrame, targets: DataFrame, keys: list[str]) -> DataFr
     return hit.select(*[F.col(f"t.{k}") for k in keys], "t.i", "t.t", "t.j", "r.v")
 
 
-def _max_distinct(vc: DataFrame, keys: list[str]) -> int:
+def max_distinct(vc: DataFrame, keys: list[str]) -> int:
     """Size check on the checkpointed counts: the largest group's distinct values."""
     row = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d")).collect()[0]
     return int(row[0] or 0)
 
 
 def quantiles(df: DataFrame | None, value: str, probs: Sequence[float], by: Sequence[str] = (),
-              out: Sequence[str] | None = None, buckets: int = BUCKETS,
+              out: Sequence[str] | None = None,
               with_count: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Exact ``np.percentile(x, 100*p, method='linear')`` per group.
 
@@ -181,29 +136,21 @@ def quantiles(df: DataFrame | None, value: str, probs: Sequence[float], by: Sequ
     NULL values are ignored (pandas ``quantile`` skips NaN).  ``counts``: a
     :func:`value_counts` table of the same column to start from.
     """
-    return _quantiles(df, value, probs, by, out, buckets, with_count, median=False, counts=counts)
+    return _quantiles(df, value, probs, by, out, with_count, median=False, counts=counts)
 
 
 def medians(df: DataFrame | None, value: str, by: Sequence[str] = (), out: str = "median",
-            buckets: int = BUCKETS, with_count: bool = False, counts: DataFrame | None = None) -> DataFrame:
+            with_count: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Exact ``np.median`` per group (pandas ``groupby().median()``)."""
-    return _quantiles(df, value, [0.5], by, [out], buckets, with_count, median=True, counts=counts)
+    return _quantiles(df, value, [0.5], by, [out], with_count, median=True, counts=counts)
 
 
-def _quantiles(df, value, probs, by, out, buckets, with_count, median, counts=None):
+def _quantiles(df, value, probs, by, out, with_count, median, counts=None):
     out = list(out) if out else [f"q{i}" for i in range(len(probs))]
     keys, vc, g = _prep(df, value, by, counts)
     tg = _targets(g, keys, probs, median)
-    if _max_distinct(vc, keys) <= LEAF_MAX_DISTINCT:
-        hit = _locate_direct(vc, tg, keys)  # every group is one leaf
-    else:
-        sizes, n = checked(vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")))
-        leaf, large = (sizes.where(c).select(*keys) for c in (F.col("_d") <= LEAF_MAX_DISTINCT,
-                                                              F.col("_d") > LEAF_MAX_DISTINCT))
-        small = lookup_join(vc, leaf, keys, size=n)
-        rest = lookup_join(vc, large, keys, size=n)
-        hit = _locate_direct(small, tg, keys).unionByName(
-            _locate_narrowing(rest, g.join(large, keys), tg.join(large, keys), keys, buckets))
+    locate = _locate_direct if max_distinct(vc, keys) <= LEAF_MAX_DISTINCT else _locate_radix
+    hit = locate(vc, tg, keys)
     pair = hit.groupBy(*keys, "i", "t").agg(
         F.max(F.when(F.col("j") == 0, F.col("v"))).alias("a"),
         F.max(F.when(F.col("j") == 1, F.col("v"))).alias("b"))

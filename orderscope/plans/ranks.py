@@ -2,22 +2,12 @@
 
 Mid-ranks (Mann-Whitney) need a running count over the values in order.  A
 window ordered by value without a partition would put every distinct value in
-one task.  Instead every value belongs to a *part* of its group's value range,
-with ``off`` = rows below the part:
-
-* level 0: one part per group (its whole range);
-* each level splits every part still holding more than ``LEAF_MAX_DISTINCT``
-  distinct values into ``BUCKETS`` equal pieces of the part's own
-  ``min..max`` (monotone, so a piece is a contiguous run of sorted values);
-  piece totals get a running start inside their part (at most ``BUCKETS``
-  rows per part, a bounded window).  A part with two or more values has
-  ``min < max``, so both end pieces are non-empty and parts shrink strictly;
-* finally each part's own values get a running count in a window
-  partitioned by part — a bounded sort per task, even when the values are
-  clustered or heavy-tailed.
-
-Every level's rows are written with a reliable checkpoint (the shared folder
-named by ``spark.checkpoint.dir``).
+one task.  Groups of at most ``LEAF_MAX_DISTINCT`` distinct values are small enough
+for that.  Otherwise counts are added up over the digits of
+:mod:`orderscope.plans.radix`: what is below a value is what is below its first digit,
+plus, within that digit, what is below its second, and so on.  Each of the four running
+counts covers at most 65,536 rows, and no prefix of digits has more rows than that in
+any of the joins.
 """
 
 from __future__ import annotations
@@ -27,50 +17,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from .lookups import checked, lookup_join
-
-BUCKETS = 1024
-LEAF_MAX_DISTINCT = 4_000
-_WORK = ["_lo", "_hi", "_d", "_off"]
-
-
-def values_below(vc: DataFrame, value: str, count: str, by: Sequence[str] = (),
-                 buckets: int = BUCKETS, leaf_max: int | None = None) -> DataFrame:
-    """``vc`` has one row per (by..., value) with a row ``count``; adds ``below``
-    = total count of strictly smaller values in the same group.
-
-    Parts of a group are disjoint ranges, so a part is named by its smallest value.
-    """
-    keys = list(by)
-    leaf_max = LEAF_MAX_DISTINCT if leaf_max is None else leaf_max
-    cols = vc.columns
-    checkpoint_dir(vc.sparkSession)
-    vc = vc.checkpoint(eager=True)
-    g = vc.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-                              F.count(F.lit(1)).alias("_d"))
-    cur = lookup_join(vc, g, keys).withColumn("_off", F.lit(0).cast("bigint"))
-    B = float(buckets)
-    pk = keys + ["_lo"]
-    while True:
-        cur, _n = checked(cur)
-        big = cur.where(F.col("_d") > F.lit(leaf_max))
-        if big.limit(1).count() == 0:
-            break
-        v = F.col(value).cast("double")
-        lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
-        x = F.when(hi > lo, (v - lo) / (hi - lo) * F.lit(B)).otherwise(F.lit(0.0))
-        big = big.withColumn("_sub", F.least(F.floor(x), F.lit(buckets - 1)).cast("bigint"))
-        parts = big.groupBy(*pk, "_sub").agg(
-            F.sum(count).alias("_pc"), F.min(value).alias("_plo"), F.max(value).alias("_phi"),
-            F.count(F.lit(1)).alias("_pd"), F.max("_off").alias("_poff"))
-        w = Window.partitionBy(*pk).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.withColumn("_ps", F.col("_poff") + F.coalesce(F.sum("_pc").over(w), F.lit(0)))
-        split = lookup_join(big.select(*cols, "_lo", "_sub"),
-                            parts.select(*pk, "_sub", "_plo", "_phi", "_pd", "_ps"), pk + ["_sub"])
-        split = split.select(*cols, F.col("_plo").alias("_lo"), F.col("_phi").alias("_hi"),
-                             F.col("_pd").alias("_d"), F.col("_ps").alias("_off"))
-        cur = cur.where(F.col("_d") <= F.lit(leaf_max)).select(*cols, *_WORK).unionByName(split)
-    wv = Window.partitionBy(*pk).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return cur.withColumn("below", F.col("_off") + F.coalesce(F.sum(count).over(wv), F.lit(0))) \
-              .select(*cols, "below")
+from .radix import DIGITS, with_digits
+
+LEAF_MAX_DISTINCT = 100_000
+
+
+def _below(rows: DataFrame, prefix: list[str], order: str, count: str) -> DataFrame:
+    """``rows`` with ``_here``: the count before each row within its prefix."""
+    before = Window.partitionBy(*prefix).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_here", F.coalesce(F.sum(count).over(before), F.lit(0)))
+
+
+def values_below(vc: DataFrame, value: str, count: str, by: Sequence[str] = ()) -> DataFrame:
+    """``vc`` (a written table) has one row per (by..., value) with a row ``count``; adds
+    ``below`` = total count of strictly smaller values in the same group."""
+    keys, cols = list(by), vc.columns
+    most = vc.groupBy(*keys).agg(F.count("*").alias("d")).agg(F.max("d")).first()[0] or 0  # one number
+    if most <= LEAF_MAX_DISTINCT:
+        return _below(vc, keys, value, count).withColumnRenamed("_here", "below")
+    rows = with_digits(vc, value)
+    tables = [rows]
+    for i in (3, 2, 1):  # counts by the first three, two and one digits
+        tables.append(tables[-1].groupBy(*keys, *DIGITS[:i]).agg(F.sum(count).alias(count)))
+    total = None
+    for i, table in enumerate(reversed(tables)):
+        prefix = keys + DIGITS[:i]
+        here = _below(table, prefix, value if i == 3 else DIGITS[i], count)
+        if total is None:
+            total = here.withColumn("_off", F.col("_here"))
+        else:
+            total = here.join(total, prefix).withColumn("_off", F.col("_off") + F.col("_here"))
+        if i < 3:
+            total = total.select(*prefix, DIGITS[i], "_off")
+    return total.select(*cols, F.col("_off").alias("below"))

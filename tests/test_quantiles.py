@@ -20,11 +20,10 @@ def _frame(seed=3):
     return pd.DataFrame(rows, columns=["g", "x"])
 
 
-@pytest.fixture(params=["direct", "bucketed"])
+@pytest.fixture(params=["direct", "radix"])
 def path(request, monkeypatch):
     import orderscope.plans.quantiles as Q
-    if request.param == "bucketed":
-        # force the narrowing plan, with small leaves so several levels run
+    if request.param == "radix":
         monkeypatch.setattr(Q, "LEAF_MAX_DISTINCT", 3)
     return request.param
 
@@ -65,9 +64,8 @@ def test_values_below_matches_sorted_counts(spark):
     assert (got["below"].to_numpy() == (vc.cumsum() - vc).to_numpy()).all()
 
 
-def test_narrowing_on_clustered_values_with_outliers(spark, monkeypatch):
-    # equal-width buckets of the whole range would put almost every value in
-    # one bucket; the narrowing windows re-split their own range each level
+def test_radix_on_clustered_values_with_outliers(spark, monkeypatch):
+    # almost every value shares its first digits
     import orderscope.plans.quantiles as Q
     monkeypatch.setattr(Q, "LEAF_MAX_DISTINCT", 50)
     rng = np.random.default_rng(23)
@@ -88,3 +86,34 @@ def test_values_below_splits_large_parts(spark, monkeypatch):
     df = spark.createDataFrame(pd.DataFrame({"v": vc.index.astype(float), "c": vc.values.astype("int64")}))
     got = values_below(df, "v", "c").toPandas().set_index("v").sort_index()
     assert (got["below"].to_numpy() == (vc.cumsum() - vc).to_numpy()).all()
+
+
+def test_the_image_orders_as_the_values_do(spark):
+    from orderscope.plans.radix import DIGITS, image, with_digits
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, 200), rng.normal(0, 1, 50) * 1e300, rng.normal(0, 1, 50) * 1e-310,
+                        [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 1.7976931348623157e308]])
+    df = spark.createDataFrame(pd.DataFrame({"v": x})).distinct()
+    rows = with_digits(df, "v").withColumn("image", image("v")).toPandas().sort_values("v")
+    assert rows["image"].is_monotonic_increasing and len(set(rows["image"])) == len(set(x.tolist()))
+    assert list(rows.sort_values(DIGITS)["image"]) == list(rows["image"])
+    assert (rows[DIGITS[1:]].min() >= 0).all() and (rows[DIGITS[1:]].max() < 65536).all()
+
+
+def test_radix_with_negative_values_ties_and_groups(spark, monkeypatch):
+    import orderscope.plans.quantiles as Q
+    import orderscope.plans.ranks as RK
+    monkeypatch.setattr(Q, "LEAF_MAX_DISTINCT", 0)
+    monkeypatch.setattr(RK, "LEAF_MAX_DISTINCT", 0)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1e-300, 300), np.round(rng.normal(0, 3, 700)), [1e250, -1e250]])
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, len(x)), "x": x})
+    df = spark.createDataFrame(pdf)
+    res = quantiles(df, "x", PROBS, ["g"]).toPandas().set_index("g")
+    for g, sub in pdf.groupby("g"):
+        assert np.array_equal(sub["x"].quantile(PROBS).to_numpy(), res.loc[g].to_numpy())
+    vc = pdf.assign(x=pdf["x"] + 0.0).groupby(["g", "x"]).size().rename("c").reset_index()
+    got = values_below(spark.createDataFrame(vc), "x", "c", ["g"]).toPandas().sort_values(["g", "x"])
+    want = vc.sort_values(["g", "x"])
+    assert (got["below"].to_numpy() == (want.groupby("g")["c"].cumsum() - want["c"]).to_numpy()).all()
+    assert quantiles(df.limit(0), "x", [0.5], ["g"]).count() == 0
