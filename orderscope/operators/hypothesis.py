@@ -1,8 +1,8 @@
 """Hypothesis tests and the frequency–LTV line.
 
 Every statistic is a closed form over one aggregation (counts, exact cent
-sums, sample variances, correlation, rank sums); only the final tail
-probability runs in Python, on one row per test.  Mann-Whitney ranks come
+sums, sample variances, correlation, rank sums); tail probabilities are
+expressions over the one row of each test.  Mann-Whitney ranks come
 from distinct-value counts plus the distributed running count of
 :mod:`orderscope.plans.ranks` (no global sort in one task).
 """
@@ -124,22 +124,18 @@ def q4_monthly_split(monthly: DataFrame) -> DataFrame:
                           (F.quarter("year_month") == 4).alias("is_q4"))
 
 
-def _p_t(t: Column, dof: Column) -> Column:
-    return F.when(t.isNull() | dof.isNull(), F.lit(None).cast("double")).otherwise(t_pvalue(t, dof))
-
-
 def hypothesis_report(weekend: DataFrame, mw: DataFrame, pearson: DataFrame, q4: DataFrame) -> DataFrame:
     """One row per test with statistic, df, p-value and the verdict ``p < 0.05``."""
     w = weekend.select(F.lit("weekend_vs_weekday_aov").alias("test"), F.col("t").alias("statistic"),
-                       F.col("df"), _p_t(F.col("t"), F.col("df")).alias("p_value"))
+                       F.col("df"), t_pvalue(F.col("t"), F.col("df")).alias("p_value"))
     m = mw.select(F.lit("email_vs_social_ltv").alias("test"), F.col("u1").alias("statistic"),
                   F.lit(None).cast("double").alias("df"), z_pvalue(F.col("z")).alias("p_value"))
     p = pearson.select(F.lit("frequency_vs_ltv_pearson").alias("test"), F.col("r").alias("statistic"),
                        F.col("df"),
-                       F.when(F.abs("r") >= 1.0, F.lit(0.0)).otherwise(_p_t(F.col("t"), F.col("df")))
+                       F.when(F.abs("r") >= 1.0, F.lit(0.0)).otherwise(t_pvalue(F.col("t"), F.col("df")))
                        .alias("p_value"))
     q = q4.select(F.lit("q4_vs_other_months").alias("test"), F.col("t").alias("statistic"),
-                  F.col("df"), _p_t(F.col("t"), F.col("df")).alias("p_value"))
+                  F.col("df"), t_pvalue(F.col("t"), F.col("df")).alias("p_value"))
     out = w.unionByName(m).unionByName(p).unionByName(q)
     return out.withColumn("significant", F.col("p_value") < F.lit(ALPHA))
 

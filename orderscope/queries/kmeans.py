@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from ..operators import kmeans as M
 from ..operators import kpis as L
-from ..operators import rfm as R
 from ..operators import segments as G
 from ..oracles import D, lit, with_base
 from ..registry import REGISTRY, register
 from ..sources.sales import ROLES, derived, load_sales
 from . import kpis as _  # noqa: F401  (registers the keys whose SQL is reused here)
-from .rfm import RFM_CTE
+from .rfm import RFM_CTE, customers
 from .segments import SCALED_CTES, SEED_CTES
 
 N_INIT = 10
@@ -108,11 +107,11 @@ def on_clusters(name: str) -> str:
 # --- Spark side: fits are made once per snapshot of sales and shared ---
 
 def _assigned(spark, sf):
-    return derived(spark, sf, f"clusters-{VERSION}-{N_INIT}", lambda sales: M.kmeans_assigned(R.customer_table(sales), 4, N_INIT))
+    return derived(spark, sf, f"clusters-{VERSION}-{N_INIT}", lambda _: M.kmeans_assigned(customers(spark, sf), 4, N_INIT))
 
 
 def _sweep(spark, sf):
-    return derived(spark, sf, f"sweep-{VERSION}-{N_INIT}", lambda sales: M.kmeans_sweep(R.customer_table(sales), KS, N_INIT))
+    return derived(spark, sf, f"sweep-{VERSION}-{N_INIT}", lambda _: M.kmeans_sweep(customers(spark, sf), KS, N_INIT))
 
 
 def _segments(spark, sf):

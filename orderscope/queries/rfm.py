@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..operators import rfm as R
 from ..oracles import D, lit, money, q_quantiles, with_base
 from ..registry import register
-from ..sources.sales import ROLES, load_sales
+from ..sources.sales import ROLES, derived, load_sales
 from .quality import describe_sql
 
 RFM_CTE = ("rfm", f"""SELECT customer_id,
@@ -44,8 +44,14 @@ SCORES_CTES = [
 ]
 
 
+def customers(spark, sf):
+    """The per-customer table, made once per snapshot of ``sales`` and shared by the
+    scores, segments and fits."""
+    return derived(spark, sf, "customers-1", R.rfm_base)
+
+
 def rfm_scores_df(spark, sf):
-    return R.rfm_scores(R.rfm_base(load_sales(spark, sf)))
+    return R.rfm_scores(customers(spark, sf))
 
 
 @register("rfm_base", group="rfm", doubles=["monetary"], sql=with_base(RFM_CTE, final="SELECT * FROM rfm"))

@@ -6,12 +6,10 @@ The reports are checked by SQL on the deterministic seed-centroid assignment
 
 from __future__ import annotations
 
-from ..operators import rfm as R
 from ..operators import segments as G
 from ..oracles import D, H, exact_double, lit, rhe, with_base
 from ..registry import register
-from ..sources.sales import load_sales
-from .rfm import SCORES_CTES
+from .rfm import SCORES_CTES, customers, rfm_scores_df
 
 _F = G.FEATURES
 _S = G.SCALE
@@ -70,7 +68,7 @@ ZD = [f"{c}_z" for c in _F]
 
 def _assigned(spark, sf):
     """The scored customers with their cluster by the seed centroids."""
-    return G.assigned_by_seeds(R.rfm_scores(R.customer_table(load_sales(spark, sf))))
+    return G.assigned_by_seeds(rfm_scores_df(spark, sf))
 
 
 def _seg(spark, sf):
@@ -79,7 +77,7 @@ def _seg(spark, sf):
 
 @register("rfm_scaled", group="segments", doubles=ZD, sql=with_base(*SEG_CTES, final="SELECT * FROM sz"))
 def q_rfm_scaled(spark, sf):
-    return G.rfm_scaled(R.rfm_base(load_sales(spark, sf)))
+    return G.rfm_scaled(customers(spark, sf))
 
 
 @register("assign_centroids", group="segments", doubles=ZD, sql=with_base(*SEG_CTES, final="SELECT * FROM asg"))

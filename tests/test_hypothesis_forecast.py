@@ -1,23 +1,56 @@
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from orderscope.functions.distributions import normal_two_sided, t_two_sided
+from orderscope.functions.distributions import ln_gamma, t_pvalue, z_pvalue
 from orderscope.operators import forecast as K
 from orderscope.operators import hypothesis as J
 
 from .conftest import sales_frame
 
 
-def test_t_tail_fixture():
+def _tails(spark, rows):
+    df = spark.createDataFrame([(float(t), float(d)) for t, d in rows], "t double, d double")
+    return [r.p for r in df.select(t_pvalue(F.col("t"), F.col("d")).alias("p")).collect()]
+
+
+def test_t_tail_fixture(spark):
     # FIXTURES "welch_tail"
-    assert abs(t_two_sided(2.1, 12.5) - 0.0566433072) < 1e-9
-    assert abs(t_two_sided(0.3, 7.1) - 0.7727703539) < 1e-9
-    # large df tends to the normal tail
-    assert abs(t_two_sided(1.96, 1e7) - normal_two_sided(1.96)) < 1e-6
-    assert t_two_sided(0.0, 10.0) == 1.0
+    p = _tails(spark, [(2.1, 12.5), (0.3, 7.1), (1.96, 1e7), (0.0, 10.0), (math.inf, 3.0), (-2.1, 12.5), (1.0, 1.0), (2.0, 2.0)])
+    assert abs(p[0] - 0.0566433072) < 1e-9 and abs(p[1] - 0.7727703539) < 1e-9
+    assert abs(p[2] - math.erfc(1.96 / math.sqrt(2))) < 1e-6  # large df tends to the normal tail
+    assert abs(p[3] - 1.0) < 1e-12 and p[4] == 0.0 and p[5] == p[0]
+    assert abs(p[6] - 0.5) < 1e-12  # Cauchy: 1 - 2 atan(t) / pi
+    assert abs(p[7] - (1 - 2 / math.sqrt(6))) < 1e-12  # two degrees of freedom: 1 - t / sqrt(2 + t^2)
+
+
+def test_t_tail_against_numerical_integration(spark):
+    rows = [(t, d) for t in (0.05, 0.7, 1.5, 3.0, 6.0) for d in (2.5, 9.0, 41.3, 1498.0, 24275.0)]
+    for (t, d), p in zip(rows, _tails(spark, rows), strict=True):
+        x = np.linspace(0, t, 200_001)
+        logs = math.lgamma((d + 1) / 2) - math.lgamma(d / 2) - 0.5 * math.log(d * math.pi)
+        y = np.exp(logs - (d + 1) / 2 * np.log1p(x * x / d))
+        assert abs(p - (1 - 2 * np.trapezoid(y, x))) < 1e-9, (t, d)
+
+
+def test_undefined_tails_are_null(spark):
+    df = spark.createDataFrame([(None, 3.0), (1.0, None), (1.0, 0.0), (math.nan, 2.0)], "t double, d double")
+    assert [r.p for r in df.select(t_pvalue(F.col("t"), F.col("d")).alias("p")).collect()] == [None] * 4
+    assert df.where("t is null").select(z_pvalue(F.col("t")).alias("p")).first().p is None
+
+
+def test_normal_tail_and_ln_gamma(spark):
+    z = [0.0, 0.1, -1.0, 1.96, 2.8, 2.9, 5.0, -8.0, 20.0, 80.0]
+    df = spark.createDataFrame([(x,) for x in z], "z double")
+    for x, r in zip(z, df.select(z_pvalue(F.col("z")).alias("p")).collect(), strict=True):
+        assert math.isclose(r.p, math.erfc(abs(x) / math.sqrt(2)), rel_tol=1e-10, abs_tol=1e-300)
+    g = [0.5, 1.0, 1.5, 7.25, 300.0, 12137.4]
+    df = spark.createDataFrame([(x,) for x in g], "z double")
+    for x, r in zip(g, df.select(ln_gamma(F.col("z")).alias("g")).collect(), strict=True):
+        assert math.isclose(r.g, math.lgamma(x), rel_tol=1e-12, abs_tol=1e-12)
 
 
 def test_mann_whitney_matches_brute_force_ranks(spark):
