@@ -2,11 +2,15 @@
 
 Every line is judged by itself; lines that fail a rule go:
 
-* navigation: three or more ``|`` or bullet separators,
+* navigation: three or more ``|`` or bullet separators, at least one in ``SPREAD`` characters,
 * symbols: more than one in ten characters of the line is a markup symbol,
-* punctuation: three or more runs of doubled exclamation or question marks, or ten
-  or more words without any punctuation mark at all,
-* boilerplate: one of the phrases of page furniture (``BOILERPLATE``).
+* punctuation: three or more runs of doubled exclamation or question marks, at least
+  one in ``SPREAD`` characters, or ten or more words without any punctuation mark at all,
+* boilerplate: one of the phrases of page furniture (``BOILERPLATE``) in a line of at most
+  ``SHORT_LINE`` characters.
+
+So no rule takes a long line of running text for one phrase or a few marks, and every rule
+reads a line a fixed number of times, whatever is in it.
 
 A document fails if less than half of its text is left, or if it fails the base
 rules (fewer than 50 words, or more than half of its words in repeated 3-word
@@ -35,6 +39,7 @@ BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms
                "enable javascript", "click here", "subscribe to our", "sign up for", "powered by", "lorem ipsum",
                "skip to content", "back to top")
 MIN_WORDS, MIN_LEFT_PERCENT = 50, 50
+SPREAD, SHORT_LINE = 200, 400
 
 
 def _let(value: Column, body) -> Column:
@@ -82,11 +87,13 @@ def line_fails(line: Column) -> Column:
     boilerplate = F.lit(False)
     for phrase in BOILERPLATE:
         boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-    navigation = _left(line, r"[^|»›•]+") >= 3
+    separators = _left(line, r"[^|»›•]+")
+    navigation = (separators >= 3) & (SPREAD * separators >= size)
     symbols = 10 * _left(line, r"[^#*$%&|<>{}~^=_+\\]+") > size
-    shouting = line.rlike(r"(?s)[!?]{2}.*[^!?][!?]{2,}.*[^!?][!?]{2}")
+    runs = F.regexp_count(line, F.lit(r"[!?]{2,}"))
+    shouting = (runs >= 3) & (SPREAD * runs >= size)
     endless = ~line.rlike(r"[.,;:!?…。，！？]") & line.rlike(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){9}[^\x20\x09-\x0D]")
-    return (size > 0) & (navigation | symbols | shouting | endless | boilerplate)
+    return (size > 0) & (navigation | symbols | shouting | endless | (boilerplate & (size <= SHORT_LINE)))
 
 
 def clean(df: DataFrame, text: str = "text", out: str = "rules") -> DataFrame:

@@ -138,12 +138,12 @@ rep AS (SELECT r, count(DISTINCT i + k) AS n FROM win, (SELECT unnest([0, 1, 2])
 c AS (SELECT w.*, coalesce(rep.n, 0) AS n_repeat_words,
   list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines,
   list_filter(l, lambda x: NOT (length(x) > 0 AND (
-    length(regexp_replace(x, '[^|»›•]+', '', 'g')) >= 3
+    (length(regexp_replace(x, '[^|»›•]+', '', 'g')) >= 3 AND 200 * length(regexp_replace(x, '[^|»›•]+', '', 'g')) >= length(x))
     OR 10 * length(regexp_replace(x, '[^#*$%&|<>{{}}~^=_+\\]+', '', 'g')) > length(x)
-    OR regexp_matches(x, '(?s)[!?]{{2}}.*[^!?][!?]{{2,}}.*[^!?][!?]{{2}}')
+    OR (len(regexp_extract_all(x, '[!?]{{2,}}')) >= 3 AND 200 * len(regexp_extract_all(x, '[!?]{{2,}}')) >= length(x))
     OR (NOT regexp_matches(x, '[.,;:!?…。，！？]') AND
         regexp_matches(x, '^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{9}}[^\x20\x09-\x0D]'))
-    OR {_BOILERPLATE}))) AS lines_left
+    OR (length(x) <= 400 AND ({_BOILERPLATE}))))) AS lines_left
   FROM w LEFT JOIN rep USING (r)),
 b AS (SELECT *, len(w) < 50 OR 100 * n_repeat_words > 50 * len(w) AS base_failed FROM c)
 SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

@@ -30,6 +30,7 @@ table gives no shard.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -52,6 +53,8 @@ BLOCK = 64  # bytes between stored ranks
 SHARD_TOKENS = 1 << 24
 #: Pieces and words whose ids a worker keeps; the rest is encoded again.
 MEMO_ENTRIES, MEMO_WORDS = 800_000, 400_000
+#: Longer pieces are not remembered, so the memo is bounded in bytes too.
+MEMO_BYTES = 64
 
 
 class WaveletMatrix:
@@ -193,7 +196,15 @@ def load(raw: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     return WaveletMatrix(n, levels, planes, zeros, ranks), ids, take("<u8", docs).astype(np.int64)
 
 
-#: The splitter of the vocabulary file, and the texts that need no normaliser but lower case.
+# The normaliser and splitter that the fast path stands for; a file that
+# says anything else is left to the library whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: The same splitter here, and the texts that need no normaliser but lower case.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 PLAIN = re.compile("[\\x00-\u012f\u0131-\u017f]*").fullmatch
 #: Byte-level alphabet: printable bytes stand for themselves, the others for U+0100 and on.
@@ -202,13 +213,20 @@ BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in
 
 
 class TextEncoder:
-    """Ids of whole texts from a tokenizers file, distinct pieces once."""
+    """Ids of whole texts from a tokenizers file, as its library gives them without adding
+    special tokens: distinct pieces once, texts that hold a string of an added token by
+    the library itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        self.known = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == SPLITTER \
+            and not any(t["normalized"] for t in added)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)).search if added else lambda text: None
         self.levels = max(1, (self.tokenizer.get_vocab_size(True) - 1).bit_length())
         self.memo: dict[bytes, bytes] = {}
 
@@ -218,11 +236,13 @@ class TextEncoder:
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) >= MEMO_WORDS:
-                self.words.clear()
             plain = word.isascii() and word.isprintable()
             level = word if plain else word.encode().decode("latin-1").translate(BYTE_LEVEL)
-            got = self.words[word] = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
+            got = array("I", [t.id for t in self.model.tokenize(level)]).tobytes()
+            if len(word) <= MEMO_BYTES:
+                if len(self.words) >= MEMO_WORDS:
+                    self.words.clear()
+                self.words[word] = got
         return got
 
     def _plain(self, pieces: list[bytes]) -> list[bytes]:
@@ -235,9 +255,10 @@ class TextEncoder:
                     out[k] = self._word(text)
                 else:
                     out[k] = b"".join([self._word(w) for w in WORD(text.lower())])
-                if len(self.memo) >= MEMO_ENTRIES:
-                    self.memo.clear()
-                self.memo[piece] = out[k]
+                if len(piece) <= MEMO_BYTES:
+                    if len(self.memo) >= MEMO_ENTRIES:
+                        self.memo.clear()
+                    self.memo[piece] = out[k]
         return out
 
     def _plain_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -274,19 +295,25 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and their number for each text."""
-        plain = np.array([PLAIN(t) is not None for t in texts], bool)
-        if plain.all():
+        kind = np.array([2 if not self.known or self.added(t) else int(PLAIN(t) is None) for t in texts], np.int8)
+        ways = (self._plain_texts, self._any_texts, self._library)
+        if not kind.any():
             return self._plain_texts(texts)
-        parts = {}
-        for kind, encode in ((True, self._plain_texts), (False, self._any_texts)):
-            parts[kind] = encode([t for t, p in zip(texts, plain, strict=True) if p == kind])
+        parts = {k: ways[k]([t for t, p in zip(texts, kind, strict=True) if p == k]) for k in np.unique(kind).tolist()}
         counts = np.empty(len(texts), np.int64)
-        counts[plain], counts[~plain] = parts[True][1], parts[False][1]
+        for k, (_, n) in parts.items():
+            counts[kind == k] = n
         out = np.empty(int(counts.sum()), np.uint32)
-        mine = np.repeat(plain, counts)
-        out[mine], out[~mine] = parts[True][0], parts[False][0]
+        of = np.repeat(kind, counts)
+        for k, (ids, _) in parts.items():
+            out[of == k] = ids
         return out, counts
 
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the library, text by text."""
+        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.array([len(x) for x in found], np.int64)
+
 
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers of all runs start, start + 1, ... of the given sizes, joined."""

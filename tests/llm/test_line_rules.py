@@ -54,3 +54,24 @@ def test_line_verdicts(spark):
     junk = spark.createDataFrame([(1, good + "\n" + "a | b | c | d\n" * 200)], "doc_id long, text string")
     x = R.clean(junk).first().rules
     assert not x.kept and x.text == good + "\n"
+
+
+def test_long_running_text_is_not_lost_for_a_phrase_or_a_few_marks(spark):
+    words = " ".join(f"word{i}," if i % 7 == 0 else f"word{i}" for i in range(5000))
+    cases = [words + " click here.", "Yes!! " + words + " no?? well!!", "a | b | c | " + words + ".",
+             "short click here, then.", "click here, " + "|" * 30]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert [r.rules.text != "" for r in sorted(R.clean(df).collect())] == [True, True, True, False, False]
+    assert [r.rules.kept for r in sorted(R.clean(df).collect())] == [True, True, True, False, False]
+
+
+def test_a_line_of_a_million_marks_is_judged_in_linear_time(spark):
+    import time
+    R.clean(spark.createDataFrame([(1, "!?! a" * 10)], "doc_id long, text string")).collect()
+    seconds = []
+    for n in (250_000, 1_000_000):
+        df = spark.createDataFrame([(1, "!" * n)], "doc_id long, text string")
+        start = time.time()
+        R.clean(df).collect()
+        seconds.append(time.time() - start)
+    assert seconds[1] < 8 * seconds[0] + 3

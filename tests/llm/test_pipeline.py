@@ -46,3 +46,11 @@ def test_empty_and_odd_rows(spark):
     assert C.rules(spark, odd, SF_SMALL).count() == 0
     for _, stage in C.STAGES:
         assert stage(spark, docs.limit(0), SF_SMALL).count() == 0
+
+
+def test_stages_keep_columns_with_their_own_names(spark):
+    names = ["_score", "_rules", "_hits"]
+    docs = written(table(spark, SF_SMALL, "documents").selectExpr("*", *[f"doc_id * {i + 1} as {c}" for i, c in enumerate(names)]), "clash")
+    for stage in (C.classifier, C.rules, C.benchmark):
+        rows = stage(spark, docs, SF_SMALL).collect()
+        assert rows and all([r[c] for c in names] == [r.doc_id, 2 * r.doc_id, 3 * r.doc_id] for r in rows)

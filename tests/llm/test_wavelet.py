@@ -18,9 +18,7 @@ PATH = P.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)  # as it comes
 
 
 @pytest.mark.parametrize(("n", "levels"), [(0, 3), (1, 1), (7, 3), (511, 4), (512, 4), (5000, 6), (3000, 18)])
@@ -79,3 +77,25 @@ def test_shards_nulls_repeats_and_empty(spark):
     assert all(a[0] + a[2] == b[0] for a, b in zip(rows, rows[1:], strict=False)) and rows[0][0] == 0
     empty = W.read(W.write(df.limit(0), PATH, end_id=2))
     assert empty.columns == ["doc_id", "start", "ids"] and empty.count() == 0
+
+
+def test_strings_of_added_tokens_and_long_pieces(library):
+    texts = ["a <|endoftext|> b", "<|startoftext|>A<|endoftext|>", "x<|ENDOFTEXT|>y", "<|endoftext|", "plain", "", "w" * 5000,
+             "é <|endoftext|>\n É ﬁ", "ß" * 300 + " <|endoftext|>" * 3]
+    ids, n = W.TextEncoder(PATH).encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert want[0] == [320, 49407, 321]
+
+
+def test_a_file_with_another_normaliser_is_left_to_the_library(tmp_path):
+    import json
+    spec = json.load(open(PATH, encoding="utf-8"))
+    assert W.TextEncoder(PATH).known
+    spec["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    texts = ["Upper Case", "a  b", "plain"]
+    got, encoder = Tokenizer.from_file(str(other)), W.TextEncoder(str(other))
+    assert not encoder.known
+    assert encoder.encode(texts)[0].tolist() == [i for t in texts for i in got.encode(t, add_special_tokens=False).ids]
