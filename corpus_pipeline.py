@@ -26,20 +26,30 @@ from orderscope.llm import byte_bpe, decontaminate, line_rules, near_dedup, qual
 from orderscope.llm.common import table, tune, written
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the quality model accepts."""
     tune(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_score").where(F.col("_score") >= quality.ACCEPT).drop("_score")
+    out = _free(docs, "_score")
+    return quality.score(docs, model, out=out).where(F.col(out) >= quality.ACCEPT).drop(out)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes failing lines, and documents that fail or lose too much."""
-    found = line_rules.clean(docs, out="_rules")
+    out = _free(docs, "_rules")
+    found = line_rules.clean(docs, out=out)
     # a generator, not a filter: a filter would be pushed below and judge every line twice
-    kept = F.explode(F.filter(F.array("_rules"), lambda r: r["kept"]))
-    found = found.withColumn("_rules", kept).withColumn("text", F.col("_rules.text"))
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).drop("_rules").select(docs.columns)
+    kept = F.explode(F.filter(F.array(out), lambda r: r["kept"]))
+    found = found.withColumn(out, kept).withColumn("text", F.col(f"{out}.text"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +67,9 @@ def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are not contaminated by the benchmark."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out="_hits")
-    return found.where(~decontaminate.contaminated("_hits")).drop("_hits")
+    out = _free(docs, "_hits")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), out=out)
+    return found.where(~decontaminate.contaminated(out)).drop(out)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
