@@ -21,7 +21,8 @@ times the tokens of a mean transaction.  No token is lost by its place in the UR
 
 Defined results: a null url, or one without ``://``, has empty host and path and no
 tokens, so it is allowed; repeated rows get equal rows; without labelled URLs no
-rule is mined; an empty table gives no rows; output columns replace the input's.
+rule is mined; an empty table gives no rows; output columns replace the input's, all
+other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +36,6 @@ from pyspark.sql import functions as F
 from .common import is_empty, written
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.02, 0.8
-#: Host labels, path segments and query keys that count: all.
-HOST_LABELS = SEGMENTS = KEYS = None
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -127,19 +126,25 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
 
 def judge(df: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """Add host, path, rule, verdict and ``confidence`` (of the mined rule, else null)."""
-    u = F.col(f"`{url}`").cast("string")
-    rows = df.withColumn("host", host_of(u)).withColumn("path", path_of(u))
-    rows = rows.withColumn("_fixed", fixed(F.col("host"), F.col("path"), rules))
-    seen = rows.withColumn("tokens", tokens(u, F.col("host"), F.col("path")))
-    labelled = written(seen.where("_fixed is not null").select(
-        F.monotonically_increasing_id().alias("id"), "tokens", F.col("_fixed.verdict").alias("verdict")), "url-labelled")
+    # the input's columns travel as one struct, so none can clash with those made here
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{url}`").cast("string").alias("url"))
+    rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    rows = rows.withColumn("fixed", fixed(F.col("host"), F.col("path"), rules))
+    seen = rows.withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path")))
+    labelled = written(seen.where("fixed is not null").select(
+        F.monotonically_increasing_id().alias("id"), "tokens", F.col("fixed.verdict").alias("verdict")), "url-labelled")
     names = classes(labelled)
     index = mine(_classed(labelled, names, "id", "verdict"))
-    open_ = _classed(seen.where("_fixed is null").select(u.alias("_url"), "tokens").distinct(), names, "_url")
+    is_open = F.col("fixed").isNull() & F.col("url").isNotNull()
+    open_ = _classed(seen.where(is_open).select("url", "tokens").distinct(), names, "url")
     hits = open_.withColumn("key", F.explode("items")).join(index, "key")
     hits = hits.where(F.size(F.array_except("antecedent", "items")) == 0)
-    best = hits.groupBy("_url").agg(F.max(F.struct("confidence", "verdict")).alias("_best"))
-    out = rows.join(best, (u == F.col("_url")) & F.col("_fixed").isNull(), "left")
-    return (out.withColumn("rule", F.col("_fixed.rule"))
-            .withColumn("verdict", F.coalesce("_fixed.verdict", "_best.verdict", F.lit("allow")))
-            .withColumn("confidence", F.col("_best.confidence")).drop("_fixed", "_best", "_url"))
+    # written first: a join with a table that is read can split a hot URL
+    best = written(hits.groupBy("url").agg(F.max(F.struct("confidence", "verdict")).alias("best")), "url-best")
+    out = rows.where(is_open).join(best, "url", "left")
+    none = F.lit(None).cast("struct<confidence:double,verdict:string>")
+    out = out.unionByName(rows.where(~is_open).withColumn("best", none))
+    made = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("fixed.rule"),
+            "verdict": F.coalesce("fixed.verdict", "best.verdict", F.lit("allow")), "confidence": F.col("best.confidence")}
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c.lower() not in made]
+    return out.select(*kept, *[c.alias(name) for name, c in made.items()])

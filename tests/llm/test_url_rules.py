@@ -25,10 +25,10 @@ def ruled(host, path):
 
 def token_set(url):
     host, path, query = split(url)
-    labels = [x for x in host.split(".") if x][::-1][:U.HOST_LABELS]
-    parts = [x for x in path.split("/") if x][:U.SEGMENTS]
+    labels = [x for x in host.split(".") if x][::-1]
+    parts = [x for x in path.split("/") if x]
     keys = [x.split("=")[0] for x in query.split("&")]
-    return {f"h:{x}" for x in labels} | {f"p:{x}" for x in parts} | {f"q:{x}" for x in [k for k in keys if k][:U.KEYS]}
+    return {f"h:{x}" for x in labels} | {f"p:{x}" for x in parts} | {f"q:{x}" for x in [k for k in keys if k]}
 
 
 def expected(urls):
@@ -79,3 +79,12 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "http://q.net/de/x")], "page_id long, url string")
     plan = U.judge(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_with_any_names_are_kept(spark):
+    names = ["_url", "_best", "_fixed", "tokens", "fixed", "best", "row", "key", "items"]
+    rows = [(1, "http://a.org/x"), (2, None), (3, "http://b.net/de/y?z=1"), (3, "http://b.net/de/y?z=1"), (4, "no url")]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", *[f"page_id + {i} as {c}" for i, c in enumerate(names)], "'old' as verdict")
+    out = U.judge(df).collect()
+    assert len(out) == 5 and all([r[c] for c in names] == [r.page_id + i for i in range(len(names))] for r in out)
+    assert {r.verdict for r in out} == {"allow"} and {r.url for r in out} == {x for _, x in rows}
