@@ -226,7 +226,7 @@ class TextEncoder:
         added = spec.get("added_tokens") or []
         self.known = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == SPLITTER \
             and not any(t["normalized"] for t in added)
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)).search if added else lambda text: None
+        self.added = [t["content"] for t in added]
         self.levels = max(1, (self.tokenizer.get_vocab_size(True) - 1).bit_length())
         self.memo: dict[bytes, bytes] = {}
 
@@ -295,7 +295,7 @@ class TextEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and their number for each text."""
-        kind = np.array([2 if not self.known or self.added(t) else int(PLAIN(t) is None) for t in texts], np.int8)
+        kind = np.array([2 if not self.known or any(x in t for x in self.added) else int(PLAIN(t) is None) for t in texts], np.int8)
         ways = (self._plain_texts, self._any_texts, self._library)
         if not kind.any():
             return self._plain_texts(texts)
