@@ -18,6 +18,7 @@ from ..plans.quantiles import medians
 from ..plans.ranks import values_below
 from ..plans.scalars import attach_row
 from ..plans.store import stored
+from .ranktests import with_exact_p
 
 ALPHA = 0.05
 
@@ -125,11 +126,15 @@ def q4_monthly_split(monthly: DataFrame) -> DataFrame:
 
 
 def hypothesis_report(weekend: DataFrame, mw: DataFrame, pearson: DataFrame, q4: DataFrame) -> DataFrame:
-    """One row per test with statistic, df, p-value and the verdict ``p < 0.05``."""
+    """One row per test with statistic, df, p-value and the verdict ``p < 0.05``.
+
+    Mann-Whitney is exact where a sample has at most eight values and none are tied,
+    asymptotic otherwise."""
     w = weekend.select(F.lit("weekend_vs_weekday_aov").alias("test"), F.col("t").alias("statistic"),
                        F.col("df"), t_pvalue(F.col("t"), F.col("df")).alias("p_value"))
-    m = mw.select(F.lit("email_vs_social_ltv").alias("test"), F.col("u1").alias("statistic"),
-                  F.lit(None).cast("double").alias("df"), z_pvalue(F.col("z")).alias("p_value"))
+    m = with_exact_p(mw.withColumn("test", F.lit("email_vs_social_ltv")), ["test"])
+    m = m.select("test", F.col("u1").alias("statistic"), F.lit(None).cast("double").alias("df"),
+                 F.coalesce("p_exact", z_pvalue(F.col("z"))).alias("p_value"))
     p = pearson.select(F.lit("frequency_vs_ltv_pearson").alias("test"), F.col("r").alias("statistic"),
                        F.col("df"),
                        F.when(F.abs("r") >= 1.0, F.lit(0.0)).otherwise(t_pvalue(F.col("t"), F.col("df")))

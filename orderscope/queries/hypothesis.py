@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import hypothesis as J
 from ..operators import trends as T
+from ..operators.ranktests import rank_tests
 from ..operators.rfm import rfm_base
 from ..oracles import D, H, exact_double, lit, q_quantiles, with_base
 from ..registry import register
@@ -114,6 +117,31 @@ def q_welch_q4(spark, sf):
     return J.welch_stats(_q4(spark, sf), "cents", "is_q4")
 
 
+# every subset of the ranks 1..12, by size, largest rank and total
+_Q4_RANKS = with_base(
+    _Q4,
+    ("rk", f"SELECT year(year_month) AS y, is_q4, {D('rank() OVER w')} + ({D('count(*) OVER t')} - {lit(1.0)}) / {lit(2.0)} AS r, "
+           "count(*) OVER t AS c FROM q4 WINDOW w AS (PARTITION BY year(year_month) ORDER BY cents), "
+           "t AS (PARTITION BY year(year_month), cents)"),
+    ("yr", f"SELECT y, count(*) FILTER (is_q4) AS n1, count(*) FILTER (NOT is_q4) AS n2, "
+           f"coalesce(sum(r) FILTER (is_q4), 0) - {D('n1')} * ({D('n1')} + {lit(1.0)}) / {lit(2.0)} AS u1, "
+           f"{D('sum(c * c - 1)')} AS tie_term FROM rk GROUP BY y"),
+    ("sub", """SELECT 0 AS k, 0 AS last, 0 AS total
+  UNION ALL
+  SELECT k + 1, CAST(r AS INTEGER), total + CAST(r AS INTEGER) FROM sub, (SELECT unnest(range(1, 13)) AS r) WHERE r > last"""),
+    ("tl", f"SELECT y, least({lit(1.0)}, {lit(2.0)} * {D('count(*) FILTER (total - k * (k + 1) / 2 <= least(u1, n1 * n2 - u1))')} "
+           f"/ {D('count(*)')}) AS p FROM yr JOIN sub ON k = n1 AND last <= n1 + n2 WHERE n1 > 0 AND n2 > 0 AND tie_term = 0 GROUP BY y"),
+    final=f"SELECT CAST(yr.y AS INTEGER) AS year, n1, n2, u1, {D('n1')} * {D('n2')} - u1 AS u2, tie_term, p AS p_exact "
+          "FROM yr LEFT JOIN tl ON yr.y = tl.y").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("mannwhitney_q4_by_year", group="hypothesis", doubles=["u1", "u2", "tie_term", "p_exact"], sql=_Q4_RANKS)
+def q_mannwhitney_q4_by_year(spark, sf):
+    """J3 on small samples: monthly revenue of quarter 4 against the year's other months."""
+    months = _q4(spark, sf).select(F.year("year_month").alias("year"), F.when(F.col("is_q4"), 1).otherwise(2).alias("sample"), "cents")
+    return rank_tests(months, "cents", ["year"])
+
+
 _PEARSON = f"""SELECT r, n, CASE WHEN abs(r) >= 1.0 THEN NULL ELSE r * sqrt({D('n - 2')} / (1.0::DOUBLE - r * r)) END AS t,
   {D('n - 2')} AS df FROM (SELECT corr(frequency, monetary) AS r, count(*) AS n FROM rfm)"""
 _Z = f"(greatest(u1, {_N1N2} - u1) - {_N1N2} / {lit(2.0)} - {lit(0.5)}) / sigma"
