@@ -2,8 +2,9 @@
 
 Every round is two partial aggregations and two joins over the remaining links,
 written as Parquet in the shared folder; only two scalars (a count and a
-checksum) reach the driver.  A hub with very many links is a skewed join key that
-AQE splits, never one group in one task.
+checksum) reach the driver.  The aggregates are written before the links are joined
+with them: so the joined side is no aggregate on the join key, and AQE can split the
+partition of a hub with very many links.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from .common import written
 
 
 def _largest(links: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node moves to the node's smallest one (``links``: written)."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-low")
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _smallest(links: DataFrame) -> DataFrame:
-    low = links.groupBy("u").agg(F.min("v").alias("m"))
+    """Every smaller neighbour of a node, and the node, move to the smallest (``links``: written)."""
+    low = written(links.groupBy("u").agg(F.min("v").alias("m")), "links-low")
     near = links.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(low.select("u", F.col("m").alias("v"))).distinct()
 
@@ -39,4 +42,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if total == seen or not total["n"]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = total
-        now = written(_smallest(_largest(now)), "links")
+        now = written(_smallest(written(_largest(now), "links-large")), "links")

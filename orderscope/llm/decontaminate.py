@@ -13,9 +13,13 @@ shingles, ordered by rarity, is its rarest one.
    and length bounds: it must lie inside the document); what remains is verified
    word by word, on the words themselves.
 
-The items are a stated query set: they go to the tasks in blocks of at most
-``BLOCK_BYTES`` of text, one lookup column a block, so nothing of unknown size is
-broadcast and documents are never shuffled, however often a passage occurs.
+The items are a stated query set: they go to the tasks in blocks of about
+``BLOCK_BYTES`` of text.  One block is a lookup column: documents are never shuffled,
+however often a passage occurs.  With several, each block has its own passes, which
+write the hits of the distinct texts that have any (by SHA-256 of the text); its
+windows leave driver and workers before the next block.  The hits of all blocks are merged by
+text, written and joined to the documents, where AQE can split the partition of a text with
+very many copies.
 
 Defined results: null and empty texts have no words; items without words have no
 windows; repeated items count once by their id, a null id reads as an empty
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +47,17 @@ BLOCK_BYTES = 2 << 20
 _BITS = 1 << 22
 _FOLD_BYTES = bytes(textvec.FOLD)
 
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 HITS = T.StructType([
     T.StructField("n_words", T.LongType()),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()),
-                                                     T.StructField("end", T.LongType())]))),
+    T.StructField("spans", _SPANS),
     T.StructField("items", T.ArrayType(T.StringType())),
 ])
 
 
+_FOUND = T.StructType([T.StructField("key", T.StringType()), T.StructField("spans", _SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+
+
 class Windows:
     """The distinct windows of a block of items: word hashes, words and items."""
 
@@ -210,20 +218,36 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-@F.arrow_udf(HITS)
-def _both(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-    """The union of two blocks' hits."""
-    for one, other in batches:
+@F.arrow_udf(_SPANS)
+def _merged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Sorted spans (of several blocks) as the maximal runs that they cover."""
+    for arr in batches:
         out = []
-        for a, b in zip(one.to_pylist(), other.to_pylist(), strict=True):
+        for found in arr.to_pylist():
             spans: list[dict] = []
-            for x in sorted(a["spans"] + b["spans"], key=lambda s: s["start"]):
+            for x in found:
                 if spans and x["start"] <= spans[-1]["end"]:
                     spans[-1]["end"] = max(x["end"], spans[-1]["end"])
                 else:
                     spans.append(dict(x))
-            out.append({"n_words": a["n_words"], "spans": spans, "items": sorted({*a["items"], *b["items"]})})
-        yield pa.array(out, _arrow(HITS))
+            out.append(spans)
+        yield pa.array(out, _arrow(_SPANS))
+
+
+@F.arrow_udf(T.LongType())
+def _word_count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for arr in batches:
+        yield pa.array(textvec.words(arr, textvec.ALNUM).counts, pa.int64())
+
+
+def _hits_of(index: Index):
+    """The rows (key, spans, items) of the texts with hits."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"key": k, "spans": r["spans"], "items": r["items"]}
+                    for k, r in zip(batch.column(0).to_pylist(), index.rows(batch.column(1)), strict=True) if r["items"]]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(f.name, _arrow(f.dataType)) for f in _FOUND]))
+    return find
 
 
 def _finder(index: Index):
@@ -233,6 +257,12 @@ def _finder(index: Index):
     return F.arrow_udf(find, HITS)
 
 
+def _index(df: DataFrame, items: DataFrame, text: str) -> Index:
+    """The index of a block of items (id, text), which is collected."""
+    windows = Windows([(r.id, r.text) for r in items.orderBy("id", "text").collect()])
+    return Index(windows, rarity(df, windows, text) if len(windows.size) else {})
+
+
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
                   item_text: str = "text", out: str = "hits") -> DataFrame:
     """Add ``out``: n_words, the merged word spans that windows cover, and the
@@ -241,16 +271,27 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
                              F.col(f"`{item_text}`").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
+    whole = F.col(f"`{text}`").cast("string")
+    if blocks == 1:
+        return df.withColumn(out, _finder(_index(df, items, text))(whole))
+
     parts = []
+    keyed = df.select(F.sha2(whole, 256).alias("key"), whole.alias("text")).where("key is not null")
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).orderBy("id", "text").collect()
-        windows = Windows([(r.id, r.text) for r in own])
-        counts = rarity(df, windows, text) if len(windows.size) else {}
-        parts.append(_finder(Index(windows, counts))(F.col(f"`{text}`").cast("string")))
-    hits = parts[0]
-    for more in parts[1:]:
-        hits = _both(hits, more)
-    return df.withColumn(out, hits)
+        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
+        found = keyed.mapInArrow(_hits_of(_index(df, own, text)), _FOUND)
+        # equal texts have equal hits
+        parts.append(written(found.groupBy("key").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits"))
+    every = reduce(DataFrame.union, parts).groupBy("key").agg(  # at most one row a block and text
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    taken = {c.lower() for c in df.columns}
+    key, spans, names = (next(c for i in range(len(taken) + 1) if (c := f"_{n}{i}") not in taken) for n in ("key", "spans", "items"))
+    every = written(every.select(F.col("key").alias(key), _merged("spans").alias(spans), F.col("items").alias(names)), "hits")
+    hit = F.struct(_word_count(whole).alias("n_words"), F.coalesce(spans, F.array().cast(_SPANS)).alias("spans"),
+                   F.coalesce(names, F.array().cast("array<string>")).alias("items"))
+    rows = df.withColumn(key, F.sha2(whole, 256)).join(every, key, "left")
+    return rows.withColumn(out, hit).drop(key, spans, names).select(df.withColumn(out, F.lit(0)).columns)  # its order of columns
 
 
 def covered(hits: str = "hits"):

@@ -61,3 +61,32 @@ def test_short_items_overlaps_blocks_and_odd_rows(spark, monkeypatch):
         assert [(r.hits.n_words, r.n, r.hits["items"]) for r in rows] == want
     assert D.decontaminate(df.limit(0), bench).count() == 0
     assert all(not r.hits.spans for r in D.decontaminate(df, bench.limit(0)).collect())
+
+
+def test_several_blocks_keep_one_index_each(spark, monkeypatch):
+    """Items of many blocks, a text with many copies, columns that bear internal names."""
+    tune(spark)
+    rng = random.Random(9)
+    word = lambda: "w%d" % rng.randrange(40)
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 40)))) for i in range(30)]
+    docs = [" ".join([word(), items[i % 30][1], word()]) for i in range(40)] + [items[2][1]] * 50 + [None, "", "w1 w1"]
+    df = spark.createDataFrame([(i, t, "k", "s") for i, t in enumerate(docs)], "doc_id long, text string, _key0 string, _spans0 string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    alive, most = [], []
+    build = D.Index.__init__
+
+    def counted(self, *args):
+        build(self, *args)
+        import gc
+        import weakref
+        gc.collect()
+        alive.append(weakref.ref(self))
+        most.append(sum(a() is not None for a in alive))
+    monkeypatch.setattr(D.Index, "__init__", counted)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 400)
+    found = D.decontaminate(df, bench, out="_hits")
+    assert found.columns == [*df.columns, "_hits"]
+    rows = sorted(found.select("doc_id", "_hits", "_key0", "_spans0", D.covered("_hits").alias("n")).collect())
+    assert [(r["_hits"].n_words, r.n, r["_hits"]["items"]) for r in rows] == expected(docs, items)
+    assert {(r["_key0"], r["_spans0"]) for r in rows} == {("k", "s")}
+    assert len(alive) > 5 and max(most) <= 2  # the last one may still be named

@@ -104,3 +104,26 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(links).collect()}
     assert got == {k: 0 for k in range(1, n)} | {101: 100}
+
+
+def test_links_of_one_hub_are_split(spark):
+    from pyspark.sql import functions as F
+
+    from orderscope.llm import components as C
+    from orderscope.llm.common import written
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0"}
+    old = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        hub = written(spark.range(1, 200_001, numPartitions=8).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v")), "hub")
+        moved = C._largest(hub)
+        rows = moved.collect()
+        assert len(rows) == 200_000 and all(r.v == 0 for r in rows)
+        assert "skew=true" in moved._jdf.queryExecution().executedPlan().toString()
+        assert C.components(hub, "u", "v").agg(F.count("*"), F.max("label")).first() == (200_000, 0)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
