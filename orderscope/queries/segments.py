@@ -7,6 +7,7 @@ The reports are checked by SQL on the deterministic seed-centroid assignment
 from __future__ import annotations
 
 from ..operators import segments as G
+from ..operators.silhouette import silhouette_bounds
 from ..oracles import D, H, exact_double, lit, rhe, with_base
 from ..registry import register
 from .rfm import SCORES_CTES, customers, rfm_scores_df
@@ -103,6 +104,26 @@ def q_customer_segments(spark, sf):
     return G.customer_segments(found, G.segment_labels(G.cluster_profile(found)))
 
 
+_CELL = ", ".join(f"greatest(-16, least(16, floor({z} / {lit(0.25)})))" for z in ZD)
+_CELL_D = " + ".join(_sq(f"a.{z} - c.{z}") for z in ZD)
+_SIL = "CASE WHEN size = 1 OR {a} = {b} THEN 0.0::DOUBLE ELSE ({b} - {a}) / greatest({a}, {b}) END"
+
+
+@register("silhouette_euclidean", group="segments", doubles=["silhouette_low", "silhouette_high"], sql=with_base(
+    *SEG_CTES,
+    ("ce", f"SELECT cluster, count(*) AS n, {', '.join(f'avg({z}) AS {z}' for z in ZD)}, "
+           f"{' + '.join(f'var_pop({z})' for z in ZD)} AS v FROM asg GROUP BY cluster, {_CELL}"),
+    ("cd", f"SELECT a.customer_id, a.cluster = c.cluster AS own, c.cluster, sum(n) AS size, sum(n * sqrt({_CELL_D})) AS lo, "
+           f"sum(n * sqrt({_CELL_D} + v)) AS hi FROM asg a, ce c GROUP BY a.customer_id, a.cluster, c.cluster"),
+    ("cs", "SELECT customer_id, max(size) FILTER (own) AS size, max(lo / greatest(size - 1, 1)) FILTER (own) AS al, "
+           "max(hi / greatest(size - 1, 1)) FILTER (own) AS ah, min(lo / size) FILTER (NOT own) AS bl, "
+           "min(hi / size) FILTER (NOT own) AS bh FROM cd GROUP BY customer_id"),
+    final="SELECT count(*) AS customers, (SELECT count(DISTINCT cluster) FROM asg) AS clusters, "
+          f"avg({_SIL.format(a='ah', b='bl')}) AS silhouette_low, avg({_SIL.format(a='al', b='bh')}) AS silhouette_high FROM cs"))
+def q_silhouette_euclidean(spark, sf):
+    return silhouette_bounds(_assigned(spark, sf))
+
+
 _SUMMARY = ["avg_recency", "avg_frequency", "avg_monetary", "total_revenue", "revenue_share"]
 
 
