@@ -10,6 +10,7 @@ from __future__ import annotations
 from ..operators import kmeans as M
 from ..operators import kpis as L
 from ..operators import segments as G
+from ..operators.silhouette import silhouette_bounds
 from ..oracles import D, lit, with_base
 from ..registry import REGISTRY, register
 from ..sources.sales import ROLES, derived, load_sales
@@ -140,6 +141,12 @@ def q_kmeans_silhouette(spark, sf):
     return _sweep(spark, sf).select("k", "silhouette")
 
 
+@register("silhouette_euclidean_kmeans", group="kmeans", doubles=REGISTRY["silhouette_euclidean"].doubles,
+          sql=on_clusters("silhouette_euclidean"))
+def q_silhouette_euclidean_kmeans(spark, sf):
+    return silhouette_bounds(_assigned(spark, sf))
+
+
 @register("rfm_clusters", group="kmeans", sql=on_clusters("customer_segments"))
 def q_rfm_clusters(spark, sf):
     return _segments(spark, sf).select("customer_id", "cluster", "segment")
