@@ -262,7 +262,8 @@ def _hubs(members: DataFrame, links: _Links) -> None:
 
 def _mixed(members: DataFrame, links: _Links) -> DataFrame:
     """Members of the buckets that hold several components: key, id, label and
-    ``main`` (label of the bucket's largest component)."""
+    ``main`` (label of the bucket's largest component).  As in ``_members``, the
+    aggregate is written first, so that AQE can split a crowded bucket."""
     if links.labels is None:
         named = members.select("key", "id", F.col("id").alias("label"))
     else:
@@ -272,7 +273,7 @@ def _mixed(members: DataFrame, links: _Links) -> DataFrame:
     parts = named.groupBy("key", "label").count()
     of_key = parts.groupBy("key").agg(
         F.count("*").alias("labels"), F.max(F.struct("count", F.expr("-label").alias("l"))).alias("top"))
-    of_key = of_key.where("labels > 1").select("key", F.expr("-top.l").alias("main"))
+    of_key = written(of_key.where("labels > 1").select("key", F.expr("-top.l").alias("main")), "dedup-several")
     return written(named.join(of_key, "key"), "dedup-mixed")
 
 
@@ -315,9 +316,12 @@ def _rest(mixed: DataFrame, links: _Links) -> DataFrame:
 
 
 def _members(keyed: DataFrame) -> DataFrame:
-    """Rows (key, id) of the keys with several members, and the key's smallest member."""
-    full = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
-    return written(keyed.join(full.select("key", "hub"), "key"), "dedup-members")
+    """Rows (key, id) of the keys with several members, and the key's smallest member.
+    The hubs are written before the rows are joined with them: an aggregate on the join
+    key itself would keep a crowded bucket in one task."""
+    hubs = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
+    hubs = written(hubs.select("key", "hub"), "dedup-hubs")
+    return written(keyed.join(hubs, "key"), "dedup-members")
 
 
 def _own(sk: DataFrame, classes: DataFrame, set_key: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from orderscope.llm import near_dedup as N
 from orderscope.llm.common import tune
@@ -106,24 +107,59 @@ def test_components_of_a_path(spark):
     assert got == {k: 0 for k in range(1, n)} | {101: 100}
 
 
-def test_links_of_one_hub_are_split(spark):
-    from pyspark.sql import functions as F
-
-    from orderscope.llm import components as C
-    from orderscope.llm.common import written
+@pytest.fixture()
+def low_thresholds(spark):
+    """Joins of small tables behave like those of large ones: shuffled, and split where skewed."""
     small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
              "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
-             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0"}
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.shuffle.partitions": "16",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # a split needs several map tasks
     old = {k: spark.conf.get(k, None) for k in small}
     for k, v in small.items():
         spark.conf.set(k, v)
-    try:
-        hub = written(spark.range(1, 200_001, numPartitions=8).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v")), "hub")
-        moved = C._largest(hub)
-        rows = moved.collect()
-        assert len(rows) == 200_000 and all(r.v == 0 for r in rows)
-        assert "skew=true" in moved._jdf.queryExecution().executedPlan().toString()
-        assert C.components(hub, "u", "v").agg(F.count("*"), F.max("label")).first() == (200_000, 0)
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _splits(df):
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_one_hub_are_split(spark, low_thresholds):
+    from pyspark.sql import functions as F
+
+    from orderscope.llm import components as C
+    from orderscope.llm.common import written
+    hub = written(spark.range(1, 200_001, numPartitions=8).select(F.col("id").alias("u"), F.lit(0).cast("long").alias("v")), "hub")
+    moved = C._largest(hub)
+    rows = moved.collect()
+    assert len(rows) == 200_000 and all(r.v == 0 for r in rows)
+    assert _splits(moved)
+    assert C.components(hub, "u", "v").agg(F.count("*"), F.max("label")).first() == (200_000, 0)
+
+
+def test_rows_of_one_crowded_bucket_are_split(spark, low_thresholds, monkeypatch):
+    """A bucket with a third of all rows, in the joins with the buckets' hubs and main labels."""
+    from pyspark.sql import functions as F
+
+    joined = []
+
+    def kept(df, name):
+        if name in ("dedup-members", "dedup-mixed"):
+            rows = df.collect()
+            joined.append((name, len(rows), _splits(df)))
+        return plain(df, name)
+
+    plain = N.written
+    monkeypatch.setattr(N, "written", kept)
+    n = 150_000
+    keyed = plain(spark.range(n, numPartitions=8).select(
+        "id", F.when(F.col("id") % 3 == 0, -1).otherwise(F.floor(F.col("id") / 6)).cast("long").alias("key")), "keyed")
+    members = N._members(keyed)
+    assert members.where("key = -1").agg(F.count("*"), F.max("hub")).first() == (n // 3, 0)
+    links = N._Links(None, None, 75)
+    links.labels = plain(keyed.where("id % 3 = 0").selectExpr("id AS node", "id - id % 300 AS label"), "names")
+    mixed = N._mixed(members, links)
+    assert mixed.where("key = -1").agg(F.count("*"), F.min("main"), F.max("main")).first() == (n // 3, 0, 0)
+    assert joined == [("dedup-members", members.count(), True), ("dedup-mixed", mixed.count(), True)]
