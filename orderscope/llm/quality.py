@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,6 +159,12 @@ def best_bin(sp: np.ndarray, su: np.ndarray, nu: np.ndarray | None = None, delta
     return float(np.clip(qu[ok][best] / qp[ok][best], 0.02, 0.98))
 
 
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    out = x - mean
+    out /= scale
+    return np.clip(out, -8, 8, out=out).astype(np.float32, copy=False)
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, every=None, steps: int = 250, rate: float = 0.03,
           decay: float = 2e-3) -> Model:
     """The model from features of trusted positives and of unlabelled texts; the
@@ -168,8 +175,8 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, every=None, steps: int =
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, 0.5)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), np.maximum(both.std(0), 1e-3)
-    p, u = ((x - mean) / scale for x in (positive, unlabelled))
-    p, u = p.clip(-8, 8).astype(np.float32), u.clip(-8, 8).astype(np.float32)
+    del both  # the driver's memory is small
+    p, u = (_scaled(x, mean, scale) for x in (positive, unlabelled))
     model = lambda w: Model(mean, scale, w[:-1], float(w[-1]), prior)
     prior, decay = 0.5, decay + 6 / len(p)
     if len(p) >= 4 and len(u) >= 4:
@@ -243,6 +250,17 @@ def _some(df: DataFrame, id: str, most: int) -> DataFrame:
     return some.distinct().limit(2 * most)
 
 
+def _gathered(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the trusted rows and of the others, in an order that no layout changes."""
+    got = got.sort_by([("id", "ascending"), ("x", "ascending")])
+    mark = got["trusted"].combine_chunks()
+
+    def part(rows: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.to_pylist()), np.float32).reshape(-1, WIDTH)
+
+    return part(got["x"].filter(mark)), part(got["x"].filter(pc.invert(mark)))
+
+
 def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality",
         positives: int = POSITIVES, sample: int = SAMPLE) -> Model:
     """Fit to trusted positives (label 1, not held out) and all texts that are not held out."""
@@ -258,11 +276,9 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.binary())], ["id", "trusted", "x"])
 
     kind = some.schema["id"].dataType.simpleString()
-    got = some.select("id", "text", "trusted").mapInArrow(rows, f"id {kind}, trusted boolean, x binary")
-    got = got.toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
-    mark = np.asarray(got["trusted"])
-    return train(x[mark], x[~mark], Every(texts.where(~held_out("id") & F.col("id").isNotNull())))
+    some = some.select("id", "text", "trusted").mapInArrow(rows, f"id {kind}, trusted boolean, x binary")
+    positive, unlabelled = _gathered(some.toArrow())
+    return train(positive, unlabelled, Every(texts.where(~held_out("id") & F.col("id").isNotNull())))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
