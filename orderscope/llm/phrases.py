@@ -50,6 +50,8 @@ DEPTH = 4
 LEAST = 30
 TOP = 2_000
 BITS = 1 << 26
+#: Bytes of text that a task counts at once, about: its arrays take some 50 times as much.
+GATHER = 4 << 20
 #: Suffixes that one task sorts, about.
 ROUTED = 500_000
 
@@ -91,7 +93,7 @@ class Suffixes:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in tally.gathered(batches):
+    for b in tally.gathered(batches, size=GATHER):
         s = Suffixes(b)
         w, key = s.words, s.word_keys()
         if not len(key):
@@ -113,7 +115,7 @@ def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _pairs(words):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(words.value, np.uint8)
-        for b in tally.gathered(batches):
+        for b in tally.gathered(batches, size=GATHER):
             s = Suffixes(b)
             keys, n = tally.summed(s.pair_keys()[s.pairs(_in(frequent, s.word_keys()))])
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
@@ -123,7 +125,7 @@ def _pairs(words):
 def _suffixes(words, pairs):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, leading = np.frombuffer(words.value, np.uint8), np.frombuffer(pairs.value, np.uint8)
-        for b in tally.gathered(batches):
+        for b in tally.gathered(batches, size=GATHER):
             s = Suffixes(b)
             h = s.words.hash
             more = s.pairs(_in(frequent, s.word_keys())) & _in(leading, s.pair_keys())

@@ -1,7 +1,10 @@
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from orderscope.llm import phrases as P
 from orderscope.llm.queries import ORACLES, QUERIES
@@ -99,3 +102,17 @@ def test_nulls_ties_repeats_long_texts_empty_tables_and_other_columns(spark):
     clash = df.selectExpr("*", "1 as w", "2 as h", "3 as n", "4 as a", "5 as rank", "6 as key", "7 as word")
     assert ours(clash) == want
     assert ours(df.limit(0)) == [] and ours(df.where("lang is null")) == []
+
+
+def test_tasks_hold_bounded_arrays_whatever_the_text():
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(5000)])
+    text = " ".join(words[rng.zipf(1.3, 10_000) % 5000])
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 32), pa.array(["en"] * 32)], ["text", "lang"])
+    every = SimpleNamespace(value=b"\xff" * (P.BITS // 8))
+    for stage in (P._words, P._pairs(every), P._suffixes(every, every)):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in stage(iter([batch] * 12)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows and peak < 260 << 20, (stage, peak >> 20)
